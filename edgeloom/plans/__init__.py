@@ -1,5 +1,6 @@
 """Registered queries over the test tables, with the SQL that checks them."""
 
 from edgeloom.plans import labelling as labelling
+from edgeloom.plans import set_plans as set_plans
 from edgeloom.plans.registry import ORACLES as ORACLES
 from edgeloom.plans.registry import QUERIES as QUERIES

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from edgeloom.operators import labels
+from edgeloom.operators import configs, labels, stats
 from edgeloom.plans.registry import query
-from edgeloom.plans.views import EDGE_SQL, false_edges, total_edges, true_edges
+from edgeloom.plans.views import EDGE_SQL, false_edges, table, total_edges, true_edges
+from edgeloom.schema import KEY
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,3 +23,96 @@ COUNTS_SQL = """count(*) AS total_edges, count(*) FILTER (is_true) AS true_edges
 def label_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: label every edge of every configuration and count the classes."""
     return labels.class_counts(labelled(spark, sf_dir))
+
+
+@query("label_edges", f"WITH {EDGE_SQL} SELECT *, CASE WHEN is_true AND is_false THEN 'conflict' WHEN is_true THEN 'true' WHEN is_false THEN 'false' ELSE 'unknown' END AS edge_class FROM labelled")
+def label_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labelled(spark, sf_dir)
+
+
+@query("label_column", f'WITH {EDGE_SQL} SELECT program, tool, config_id, method, "offset", target, CASE WHEN is_false THEN 0 WHEN is_true THEN 1 ELSE -1 END AS label FROM labelled')
+def label_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = labelled(spark, sf_dir)
+    return found.select("program", "tool", "config_id", *KEY, labels.label_column(F.col("is_true"), F.col("is_false")).alias("label"))
+
+
+@query("label_unknown_edges", f'WITH {EDGE_SQL} SELECT program, tool, config_id, method, "offset", target FROM labelled WHERE NOT is_true AND NOT is_false')
+def label_unknown_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.unknown_edges(total_edges(spark, sf_dir), true_edges(spark, sf_dir), false_edges(spark, sf_dir))
+
+
+@query("label_unknown_without_boot", f"WITH {EDGE_SQL} SELECT program, tool, config_id, method, \"offset\", target FROM labelled WHERE NOT is_true AND NOT is_false AND NOT starts_with(method, 's/1')")
+def label_unknown_without_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return configs.unknown_without_boot(total_edges(spark, sf_dir), true_edges(spark, sf_dir), false_edges(spark, sf_dir), "s/1")
+
+
+def config_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One configuration per ship year: option ``analysis`` is the year's place, ``reflection`` groups the years."""
+    ids = total_edges(spark, sf_dir).select("tool", "config_id").distinct()
+    year = F.substring("config_id", 2, 3).cast("int")
+    options = F.create_map(F.lit("analysis"), F.concat(F.lit("a"), (year - 1).cast("string")), F.lit("reflection"), F.when(year <= 4, "on").otherwise("off"))
+    return ids.select("tool", "config_id", options.alias("options"))
+
+
+ORDERS = [("analysis", "a3", "MPT", "a4"), ("analysis", "a4", "MPT", "a2"), ("analysis", "a1", "MPT", "a2"), ("analysis", "a6", "MPT", "a5"), ("reflection", "on", "MPT", "off")]
+PAIR_SQL = """orders_given("left", "right") AS (VALUES ('a3', 'a4'), ('a4', 'a2'), ('a1', 'a2'), ('a6', 'a5')),
+  conf AS (SELECT DISTINCT tool, config_id, 'a' || CAST(CAST(substr(config_id, 2) AS int) - 1 AS varchar) AS analysis, CAST(substr(config_id, 2) AS int) <= 4 AS reflection FROM total_edges),
+  pairs AS (SELECT DISTINCT c.tool, c.config_id AS coarse, f.config_id AS fine FROM conf c JOIN conf f ON c.tool = f.tool AND c.reflection = f.reflection JOIN orders_given o ON o."left" = f.analysis AND o."right" = c.analysis)"""
+DERIVED_SQL = f"""{PAIR_SQL},
+  derived AS (SELECT p.tool, p.coarse, p.fine, e.program, e.method, e."offset", e.target FROM pairs p JOIN total_edges e ON e.tool = p.tool AND e.config_id = p.coarse
+    WHERE EXISTS (SELECT 1 FROM total_edges x WHERE x.tool = p.tool AND x.config_id = p.fine AND x.program = e.program)
+      AND NOT EXISTS (SELECT 1 FROM total_edges x WHERE x.tool = p.tool AND x.config_id = p.fine AND x.program = e.program AND x.method = e.method AND x."offset" = e."offset" AND x.target = e.target))"""
+
+
+def orders(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ORDERS, "option string, left string, order string, right string")
+
+
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = configs.config_pairs(config_table(spark, sf_dir), orders(spark))
+    return configs.derive_false_edges(total_edges(spark, sf_dir), pairs)
+
+
+@query("config_pairs", f"WITH {EDGE_SQL}, {PAIR_SQL} SELECT * FROM pairs")
+def config_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return configs.config_pairs(config_table(spark, sf_dir), orders(spark))
+
+
+@query("label_derive_false", f"WITH {EDGE_SQL}, {DERIVED_SQL} SELECT * FROM derived")
+def label_derive_false(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derived(spark, sf_dir)
+
+
+@query("label_union_false", f'WITH {EDGE_SQL}, {DERIVED_SQL} SELECT DISTINCT program, method, "offset", target FROM derived')
+def label_union_false(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return configs.union_false_edges(derived(spark, sf_dir))
+
+
+@query("label_false_for_config", f"WITH {EDGE_SQL}, {DERIVED_SQL} SELECT DISTINCT program, method, \"offset\", target FROM derived WHERE coarse = 'v3'")
+def label_false_for_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return configs.false_for_config(derived(spark, sf_dir), "ship", "v3")
+
+
+@query(
+    "label_transitive_closure",
+    """WITH RECURSIVE base AS (SELECT DISTINCT 's' || l_suppkey AS "left", 'p' || l_partkey AS "right" FROM lineitem WHERE l_returnflag = 'A' AND l_quantity = 1
+      UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 2),
+    walk AS (SELECT * FROM base UNION SELECT w."left", b."right" FROM walk w JOIN base b ON w."right" = b."left")
+    SELECT "left", "right" FROM walk WHERE "left" <> "right" """,
+)
+def label_transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = table(spark, sf_dir, "lineitem")
+    s, p = (F.concat(F.lit(c), F.col(n).cast("string")) for c, n in (("s", "l_suppkey"), ("p", "l_partkey")))
+    there = line.filter("l_returnflag = 'A' and l_quantity = 1").select(s.alias("left"), p.alias("right"))
+    back = line.filter("l_returnflag = 'R' and l_quantity = 2").select(p.alias("left"), s.alias("right"))
+    return configs.transitive_closure(there.union(back).distinct())
+
+
+@query(
+    "stats_distinct_class_counts",
+    f"""WITH {EDGE_SQL}, b AS (SELECT program, method, "offset", target, is_true, is_false FROM labelled UNION ALL SELECT '*', method, "offset", target, is_true, is_false FROM labelled),
+    e AS (SELECT program, bool_or(is_true) AS t, bool_or(is_false) AS f, bool_or(NOT is_true AND NOT is_false) AS u FROM b GROUP BY program, method, "offset", target)
+    SELECT program, count(*) FILTER (t) AS true_edges, count(*) FILTER (f) AS false_edges, count(*) FILTER (u) AS unknown_edges, count(*) AS total_edges FROM e GROUP BY program""",
+)
+def stats_distinct_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.distinct_class_counts(labelled(spark, sf_dir))
