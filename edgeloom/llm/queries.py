@@ -6,16 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from edgeloom.llm.attribution import op8_section_tokens
 from edgeloom.llm.byte_bpe import op9_byte_bpe
+from edgeloom.llm.context_mixing import op2_context_mixing
+from edgeloom.llm.licences import op7_licences
 from edgeloom.llm.mixing import OP5_SQL, op5_mix_sources
 from edgeloom.llm.pii import op1_personal_data
 from edgeloom.llm.quality import op3_quality_rules
+from edgeloom.llm.rp_forest import op4_nearest_vectors
 from edgeloom.llm.simhash import op10_near_duplicates
+from edgeloom.llm.toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": op1_personal_data,
+    "op2_context_mixing": op2_context_mixing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_nearest_vectors": op4_nearest_vectors,
     "op5_mix_sources": op5_mix_sources,
+    "op6_toxicity": op6_toxicity,
+    "op7_licences": op7_licences,
+    "op8_section_tokens": op8_section_tokens,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_duplicates": op10_near_duplicates,
 }
