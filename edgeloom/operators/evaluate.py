@@ -142,3 +142,10 @@ def cluster_composition(clustered: DataFrame, cluster: str = "cluster_id", label
 def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each group; Spark cuts each task's rows to n before the shuffle."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= n)
+
+
+def attach_ground_truth(labelled: DataFrame, manual: DataFrame, key: Sequence[str] = PROGRAM_KEY, label: str = "label") -> DataFrame:
+    """``ground_truth``: the hand label of edges that no truth set decides, null for all others."""
+    given = manual.select(*key, F.col(label).alias("_hand")).dropDuplicates(list(key))
+    unknown = ~F.col("is_true") & ~F.col("is_false")
+    return labelled.join(given, list(key), "left").withColumn("ground_truth", F.when(unknown, F.col("_hand"))).drop("_hand")

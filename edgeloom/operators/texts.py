@@ -45,7 +45,7 @@ def normalize_edges(edges: DataFrame) -> DataFrame:
     out = edges.filter(~F.regexp_like("target", F.lit(BOOT_CALLERS)))
     boot = F.regexp_like("method", F.lit(BOOT_CALLERS))
     for side in ("method", "target"):
-        name = F.regexp_replace(side, LAMBDA, "lambda$$$1")
+        name = F.regexp_replace(side, LAMBDA, r"lambda\$$1")
         for long, short in ARRAY_COPY.items():
             name = F.when(name == long, F.lit(short)).otherwise(name)
         out = out.withColumn(side, name)
