@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; a temporary folder only where it is unset (tests, a laptop)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """What ``spark.checkpoint.dir`` names; a temporary folder only where nothing is set (tests, a laptop)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -23,7 +23,11 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again."""
+    """``df`` written as a table in the shared folder and read again.
+
+    This cuts lineage, keeps what was computed when executors are lost, and computes each
+    row once however often it is used.
+    """
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
