@@ -67,7 +67,11 @@ class LicenceIndex:
             for g in grams:
                 self.holding[g].append(i)
         sizes = [len(g) for _, g in self.grams]
-        self.smallest, self.largest = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
+        self.smallest, self.largest = self._bounds(min(sizes))[0], self._bounds(max(sizes))[1]
+
+    def _bounds(self, size: int) -> tuple[float, float]:
+        """Least and largest number of bigrams that can reach the threshold with a template of ``size``."""
+        return size * self.least / (2 - self.least) - 1e-9, size * (2 - self.least) / self.least + 1e-9
 
     def best(self, words: list[str]) -> tuple[str, float] | None:
         """Name and Dice of the nearest template at ``least`` or more; ties by name."""
@@ -81,7 +85,8 @@ class LicenceIndex:
         found = []
         for i, c in common.items():
             name, grams = self.grams[i]
-            if len(grams) * self.least / (2 - self.least) <= len(own) <= len(grams) * (2 - self.least) / self.least:
+            low, high = self._bounds(len(grams))
+            if low <= len(own) <= high:
                 found.append((-2 * c / (len(own) + len(grams)), name))
         best = min(found, default=None)
         return (best[1], -best[0]) if best and -best[0] >= self.least else None
