@@ -4,33 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.functions.signatures import canonical_signature, collapse_blanks, stub_code, struct_signature, token_pair, words_and_signs
 
-#: Text lines of the register-finalizer, and the alias of array copies.
-REGISTER_FINALIZE = "<register-finalize"
-ARRAY_COPY = {"java/lang/System.arraycopy:(Ljava/lang/Object;ILjava/lang/Object;II)V": "java/lang/System.arraycopy"}
-BOOT_CALLERS = r"^(com/ibm/wala/FakeRootClass|<boot>)"
-LAMBDA = r"[lL]ambda\$([A-Za-z0-9_<>]+)\$[0-9a-f$_]+"
+#: Pseudo methods and spellings in raw edges.
+REGISTER_FINALIZE = "register-finalize"
+BOOT_CALLERS = ("com/ibm/wala/FakeRootClass.fakeRootMethod:()V", "com/ibm/wala/FakeRootClass.fakeWorldClinit:()V")
+BOOT_TARGET = "com/ibm/wala/FakeRootClass.fakeWorldClinit:()V"
+LAMBDA_FACTORY = "java/lang/invoke/LambdaMetafactory."
+ARRAY_COPY = "com/ibm/wala/model/java/lang/System.arraycopy:(Ljava/lang/Object;Ljava/lang/Object;)V"
+JAVA_ARRAY_COPY = "java/lang/System.arraycopy:(Ljava/lang/Object;ILjava/lang/Object;II)V"
+LAMBDA = r"^wala/lambda\$(.+)\$([^$.:]+)\.([^.:]+).*$"
 
 
 def parse_text_edges(lines: DataFrame, value: str = "value") -> DataFrame:
     """Edges from tab-separated lines (context, ``<signature>/callee/index``, context, ``<signature>``), unreadable lines dropped.
 
-    A line is dropped unless it has four fields, the call site has a slash after its
-    closing parenthesis and bracket, its index is digits, and it isn't a register-finalize
-    entry. The index becomes the offset.
+    A line is dropped unless it has four fields, the call site has a slash, a closing
+    parenthesis and a bracket after it, its index is digits, and it isn't a
+    register-finalize entry. The index becomes the offset.
     """
-    fields = F.split(value, "\t")
+    fields = F.split(F.regexp_replace(value, r"^\s+|\s+$", ""), "\t")
     site, target = F.get(fields, F.lit(1)), F.get(fields, F.lit(3))
-    end = F.length(F.regexp_extract(site, r"^(.*\)>)", 1))
-    caller, rest = F.substring(site, F.lit(1), end), F.substring(site, end + 1, F.lit(1 << 30))
-    index = F.substring_index(rest, "/", -1)
-    strip = lambda c: canonical_signature(F.regexp_replace(c, "^<|>$", ""))
-    good = (F.size(fields) == 4) & (end > 0) & rest.contains("/") & ~site.startswith(REGISTER_FINALIZE) & F.regexp_like(index, F.lit("^[0-9]+$"))
-    return lines.filter(good).select(strip(caller).alias("method"), index.cast("long").alias("offset"), strip(target).alias("target"))
+    index = F.substring_index(site, "/", -1)
+    front = F.substring(site, F.lit(1), F.length(site) - F.length(index) - 1)
+    caller = F.regexp_extract(front, r"^.([^)]*\)[^>]*)>", 1)
+    good = (F.size(fields) == 4) & site.contains("/") & (caller != "") & ~caller.startswith(REGISTER_FINALIZE) & F.regexp_like(index, F.lit("^[0-9]+$"))
+    named = canonical_signature(F.regexp_replace(target, "^[<>]+|[<>]+$", ""))
+    return lines.filter(good).select(canonical_signature(caller).alias("method"), index.cast("long").alias("offset"), named.alias("target"))
 
 
 def flatten_callsite_json(methods: DataFrame) -> DataFrame:
@@ -40,16 +43,22 @@ def flatten_callsite_json(methods: DataFrame) -> DataFrame:
     return site.select("method", F.col("s.pc").cast("long").alias("offset"), F.explode("s.targets").alias("t")).select("method", "offset", struct_signature(F.col("t")).alias("target"))
 
 
+def _canonical_name(name: Column) -> Column:
+    """A lambda class as a member of its owner, the modelled array copy as the library's."""
+    part = lambda i: F.regexp_extract(name, LAMBDA, i)
+    lifted = F.concat(F.translate(part(1), "$", "/"), F.lit(".<lambda/"), part(3), F.lit("$"), part(2), F.lit(">:()V"))
+    return F.when(F.regexp_like(name, F.lit(LAMBDA)), lifted).when(name == ARRAY_COPY, F.lit(JAVA_ARRAY_COPY)).otherwise(name)
+
+
 def normalize_edges(edges: DataFrame) -> DataFrame:
-    """Canonical names: lambda classes without their numbers, the array-copy alias, boot callers as ``<boot>`` at offset 0, edges into boot code dropped."""
-    out = edges.filter(~F.regexp_like("target", F.lit(BOOT_CALLERS)))
-    boot = F.regexp_like("method", F.lit(BOOT_CALLERS))
-    for side in ("method", "target"):
-        name = F.regexp_replace(side, LAMBDA, r"lambda\$$1")
-        for long, short in ARRAY_COPY.items():
-            name = F.when(name == long, F.lit(short)).otherwise(name)
-        out = out.withColumn(side, name)
-    return out.withColumns({"offset": F.when(boot, F.lit(0)).otherwise(F.col("offset")).cast("long"), "method": F.when(boot, F.lit("<boot>")).otherwise(F.col("method"))})
+    """Canonical names: lambda classes and the array copy renamed, boot callers as ``<boot>`` at offset 0.
+
+    Edges into the boot initialiser and those from or to the lambda factory are dropped.
+    """
+    out = edges.filter((F.col("target") != BOOT_TARGET) & ~F.col("method").startswith(LAMBDA_FACTORY) & ~F.col("target").startswith(LAMBDA_FACTORY))
+    boot = F.col("method").isin(*BOOT_CALLERS)
+    method = F.when(boot, F.lit("<boot>")).otherwise(_canonical_name(F.col("method")))
+    return out.withColumns({"offset": F.when(boot, F.lit(0)).otherwise(F.col("offset")).cast("long"), "method": method, "target": _canonical_name(F.col("target"))})
 
 
 def edge_text(edges: DataFrame, code: DataFrame, keys: Sequence[str], signature: str = "signature", text: str = "code") -> DataFrame:

@@ -128,14 +128,15 @@ def text_flatten_callsites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "text_normalize_edges",
-    f"""WITH {EDGE_SQL} SELECT program, CASE WHEN starts_with(method, 's/1') THEN '<boot>' ELSE 'a/B.lambda$' || substr(method, 3, 1) || ':()V' END AS method, CASE WHEN starts_with(method, 's/1') THEN 0 ELSE "offset" END AS "offset",
-    CASE WHEN "offset" = 2 THEN 'java/lang/System.arraycopy' ELSE target END AS target FROM true_edges WHERE "offset" <> 5""",
+    f"""WITH {EDGE_SQL} SELECT program, CASE WHEN starts_with(method, 's/1') THEN '<boot>' ELSE 'a/B.<lambda/run$' || substr(method, 3, 1) || '>:()V' END AS method, CASE WHEN starts_with(method, 's/1') THEN 0 ELSE "offset" END AS "offset",
+    CASE WHEN "offset" = 2 THEN 'java/lang/System.arraycopy:(Ljava/lang/Object;ILjava/lang/Object;II)V' ELSE target END AS target FROM true_edges WHERE "offset" NOT IN (5, 6)""",
 )
 def text_normalize_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = true_edges(spark, sf_dir)
-    method = F.when(F.col("method").startswith("s/1"), F.lit("com/ibm/wala/FakeRootClass.fakeRootMethod:()V")).otherwise(F.concat(F.lit("a/B.lambda$"), F.substring("method", 3, 1), F.lit("$17:()V")))
-    target = F.when(F.col("offset") == 2, F.lit(next(iter(texts.ARRAY_COPY)))).when(F.col("offset") == 5, F.lit("com/ibm/wala/FakeRootClass.<clinit>:()V")).otherwise(F.col("target"))
-    return texts.normalize_edges(edges.select("program", method.alias("method"), "offset", target.alias("target")))
+    """Suppliers as boot callers or lambda classes, some targets as array copies, boot code or the lambda factory."""
+    at = F.col("offset")
+    method = F.when(F.col("method").startswith("s/1"), F.lit(texts.BOOT_CALLERS[0])).otherwise(F.concat(F.lit("wala/lambda$a$B$"), F.substring("method", 3, 1), F.lit(".run:(I)V")))
+    target = F.when(at == 2, F.lit(texts.ARRAY_COPY)).when(at == 5, F.lit(texts.BOOT_TARGET)).when(at == 6, F.lit(texts.LAMBDA_FACTORY + "metafactory:()V")).otherwise(F.col("target"))
+    return texts.normalize_edges(true_edges(spark, sf_dir).select("program", method.alias("method"), "offset", target.alias("target")))
 
 
 def _signed(spark: SparkSession, sf_dir: str) -> DataFrame:
