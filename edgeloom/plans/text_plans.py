@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from edgeloom.functions import signatures
 from edgeloom.operators import texts
+from edgeloom.plans.labelling import labelled
 from edgeloom.plans.registry import query
 from edgeloom.plans.views import EDGE_SQL, raw_edges, table, total_edges, true_edges
 from edgeloom.schema import EDGE
@@ -25,10 +26,7 @@ def source_read_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     for row in edges.select("program", "config_id").distinct().orderBy("program", "config_id").collect():  # names of files, not edges
         one = edges.filter((F.col("program") == row["program"]) & (F.col("config_id") == row["config_id"])).select("method", "offset", "target")
         one.write.option("header", True).mode("append").csv(f"{path}/all/{row['program']}/ship_v1_{row['config_id'][1:]}.csv")
-    rows = spark.read.schema(EDGE).option("header", True).option("recursiveFileLookup", True).csv(path)
-    at = F.col("_metadata.file_path")
-    parts = [F.regexp_extract(at, r"([^/]+)/([^/_]+)_([^/_]+)_([^/_]+)\.csv/[^/]*$", i).alias(n) for i, n in enumerate(("program", "tool", "version", "config_id"), 1)]
-    return rows.select(*parts, *EDGE.fieldNames())
+    return sources.read_edges(spark, path)
 
 
 @query("source_read_or_empty", f"WITH {EDGE_SQL} SELECT method, \"offset\", target FROM true_edges WHERE program = 'A'")
@@ -41,8 +39,6 @@ def source_read_or_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("source_edge_db", f"WITH {EDGE_SQL} SELECT program, tool, config_id, method, \"offset\", target, CASE WHEN is_true AND is_false THEN 'conflict' WHEN is_true THEN 'true' WHEN is_false THEN 'false' ELSE 'unknown' END AS edge_class FROM labelled")
 def source_edge_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the labelled database twice (a rerun replaces what it wrote) and read it."""
-    from edgeloom.plans.labelling import labelled
-
     path = shared_path(spark, "edge-db")
     found = labelled(spark, sf_dir).drop("is_true", "is_false")
     sources.write_edge_db(found, path)

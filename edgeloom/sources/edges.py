@@ -12,8 +12,8 @@ from edgeloom.functions.signatures import packed_vector
 from edgeloom.operators.sets import PROGRAM_KEY
 from edgeloom.schema import EDGE
 
-#: program directory / tool _ version _ config .csv
-EDGE_PATH = r"([^/]+)/([^/_]+)_([^/_]+)_([^/_]+)\.csv$"
+#: program directory / tool _ version _ config .csv, a file or a folder of part files
+EDGE_PATH = r"([^/]+)/([^/_]+)_([^/_]+)_([^/_]+)\.csv(?:/[^/]*)?$"
 
 
 def read_edges(spark: SparkSession, path: str, schema: T.StructType = EDGE) -> DataFrame:
