@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +39,12 @@ TEMPLATES = {
     "All-Rights-Reserved": ["All rights reserved."],
 }
 LEAST_DICE = 0.8
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_WORD = re.compile(r"[^\W_]+")
 
 
 def normalised(text: str) -> list[str]:
-    """Words in lower case: runs of letters and digits, all else is between words; licence and license are one word."""
-    return ["license" if w == "licence" else w for w in _WORD.findall(text.lower())]
+    """Words in lower case: runs of letters and digits, all else is between words; licence is spelt license."""
+    return _WORD.findall(text.lower().replace("licence", "license"))
 
 
 def bigrams(words: list[str]) -> frozenset[tuple[str, ...]]:
@@ -73,10 +74,23 @@ class LicenceIndex:
         """Least and largest number of bigrams that can reach the threshold with a template of ``size``."""
         return size * self.least / (2 - self.least) - 1e-9, size * (2 - self.least) / self.least + 1e-9
 
+    def _own(self, words: list[str]) -> frozenset[tuple[str, ...]] | None:
+        """Distinct bigrams, or None as soon as there are too many for any template."""
+        if len(words) <= self.largest:
+            return bigrams(words)
+        own: set[tuple[str, ...]] = set()
+        for start in range(0, len(words) - 1, 64):
+            own.update(zip(words[start : start + 64], words[start + 1 : start + 65], strict=False))
+            if len(own) > self.largest:
+                return None
+        return frozenset(own)
+
     def best(self, words: list[str]) -> tuple[str, float] | None:
         """Name and Dice of the nearest template at ``least`` or more; ties by name."""
-        own = bigrams(words)
-        if not self.smallest <= len(own) <= self.largest:
+        if len(words) - 1 < self.smallest and len(words) != 1:
+            return None
+        own = self._own(words)
+        if own is None or not self.smallest <= len(own) <= self.largest or own.isdisjoint(self.holding):
             return None
         common: dict[int, int] = defaultdict(int)
         for g in own:
@@ -98,23 +112,21 @@ class LicenceIndex:
         holds several lines and names a licence that none of its lines does.
         """
         found: dict[tuple[int, str], float] = {}
-        paragraph: list[str] = []
-        start, lines = 0, text.split("\n")
-        for at, line in enumerate([*lines, ""]):
-            words = normalised(line)
+        paragraph: list[list[str]] = []
+        start, lines = 0, [normalised(line) for line in text.split("\n")]
+        for at, words in enumerate([*lines, []]):
             if words:
                 if not paragraph:
                     start = at
                 if hit := self.best(words):
                     found[at, hit[0]] = hit[1]
-                paragraph += words
-            elif paragraph:
-                hit = self.best(paragraph)
-                if hit and not any(n == hit[0] and start <= p < at for p, n in found):
+                paragraph.append(words)
+            else:
+                if len(paragraph) > 1 and (hit := self.best(list(chain(*paragraph)))) and not any(n == hit[0] and start <= p < at for p, n in found):
                     found[start, hit[0]] = hit[1]
                 paragraph = []
-        whole = self.best([w for line in lines for w in normalised(line)]) if len(text) <= 40 * self.largest else None
-        if whole and not any(n == whole[0] for _, n in found):
+        full = [words for words in lines if words]
+        if len(full) > 1 and (whole := self.best(list(chain(*full)))) and not any(n == whole[0] for _, n in found):
             found[0, whole[0]] = whole[1]
         return sorted((p, n, d) for (p, n), d in found.items())
 
@@ -132,8 +144,8 @@ def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
     A null text counts as empty and, like it, has none; a null id is returned as null.
     Repeated rows give repeated results, an empty table an empty one. Other columns
-    aren't read. Lines of any length are looked at; those too long or short for every
-    template are passed over by the size bounds alone.
+    aren't read. Passages of any length are looked at; the size bounds alone pass over
+    those with too many or too few bigrams for every template.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
