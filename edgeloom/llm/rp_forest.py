@@ -20,10 +20,12 @@ QUERY_STEP = 20
 TREES, LEAF_ROWS, SEED = 8, 256, 42
 #: Rows that the trees are fitted on at most; all rows are indexed.
 MAX_SAMPLE = 40_000
-#: Leaves that a query visits over all trees together.
-VISITS = 200
+#: Leaves that a query visits over all trees together: this share of them, and ``LEAST_VISITS`` if that is more.
+VISIT_SHARE, LEAST_VISITS = 0.1, 200
 #: Rows of one leaf, and queries that visit one leaf, that meet in one task; larger leaves are dealt in blocks.
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 2_048
+#: Visits that a task writes at once.
+VISIT_ROWS = 51_200
 
 
 @dataclass(frozen=True)
@@ -43,8 +45,13 @@ class Forest:
                 node[:, t] = 2 * node[:, t] + (margin > 0)
         return node
 
-    def visits(self, point: np.ndarray, most: int = VISITS) -> list[tuple[int, int]]:
+    def most_visits(self) -> int:
+        """Leaves that a query visits: their number follows that of the leaves, so that recall holds as rows grow."""
+        return max(LEAST_VISITS, math.ceil(VISIT_SHARE * (len(self.planes) << self.depth)))
+
+    def visits(self, point: np.ndarray, most: int | None = None) -> list[tuple[int, int]]:
         """The most promising (tree, leaf) pairs: all trees share a queue ordered by the least margin on the way."""
+        most = self.most_visits() if most is None else most
         margins = self.planes @ point - self.cuts
         queue = [(-math.inf, t, 1) for t in range(len(self.planes))]
         found: list[tuple[int, int]] = []
@@ -116,11 +123,12 @@ def _placed(batches: Iterator[pa.RecordBatch], forest: Forest, longest: float, w
             yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t), pa.int32()), pa.array(leaves[:, t].astype(np.int32)), *batch.columns], names=["tree", "leaf", "node", "vec"])
 
 
-def _visited(batches: Iterator[pa.RecordBatch], forest: Forest, width: int, most: int) -> Iterator[pa.RecordBatch]:
+def _visited(batches: Iterator[pa.RecordBatch], forest: Forest, width: int, most: int | None) -> Iterator[pa.RecordBatch]:
     """(tree, leaf, node, vec) of every leaf that a query visits."""
     for whole in batches:
-        for start in range(0, whole.num_rows, 256):
-            batch = whole.slice(start, 256)
+        step = max(1, VISIT_ROWS // (most or forest.most_visits()))
+        for start in range(0, whole.num_rows, step):
+            batch = whole.slice(start, step)
             points = _matrix(batch.column(1), width)
             points = points / np.linalg.norm(points, axis=1, keepdims=True)
             places = [forest.visits(p, most) for p in np.column_stack([points, np.zeros(len(points))])]
@@ -148,7 +156,7 @@ def _best(key: tuple, rows: pa.Table, width: int, most: int) -> pa.Table:
     return pa.table([np.concatenate(c) for c in zip(*found, strict=True)], schema=shape)
 
 
-def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", query_step: int = QUERY_STEP, k: int = NEIGHBOURS, trees: int = TREES, visits: int = VISITS, max_sample: int = MAX_SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", query_step: int = QUERY_STEP, k: int = NEIGHBOURS, trees: int = TREES, visits: int | None = None, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """The ``k`` rows of largest inner product found for every row whose id is divisible by ``query_step``.
 
     Columns ``query_id``, ``rank`` (from 1), ``vec_id``, ``score`` (double precision on the
@@ -158,7 +166,7 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     other row of that vector can be among a query's ``k`` best, so a vector that a third
     of all rows share costs as much as any. Trees are fitted on at most ``max_sample``
     points, and every point is placed in every tree. A query visits ``visits`` leaves
-    over all trees; leaves larger than ``BLOCK_ROWS`` and those visited by more than
+    over all trees (if None, a share of all leaves); leaves larger than ``BLOCK_ROWS`` and those visited by more than
     ``BLOCK_QUERIES`` queries are dealt in blocks. With 4,096 points or fewer all leaves
     are visited and the result is exact.
 

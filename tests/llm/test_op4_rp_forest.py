@@ -54,3 +54,21 @@ def test_recall_of_a_searched_forest():
         best = np.argsort(-scores)[:20]
         hits, total, visited = hits + seen[best].sum(), total + 20, visited + seen.sum()
     assert hits / total >= 0.9 and visited / 20 < 0.6 * len(points)
+
+
+def test_recall_holds_with_many_leaves():
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(16_000, 64))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    lifted = rp_forest.lifted(points, 1.0)
+    forest = rp_forest.fit_forest(lifted, len(points), leaf_rows=16)
+    leaves = forest.leaves(lifted)
+    hits = 0
+    for q in range(0, 16_000, 400):
+        visited = forest.visits(np.append(points[q], 0))
+        assert len(visited) >= 0.1 * 8 * 1024
+        seen = np.zeros(len(points), bool)
+        for tree, leaf in visited:
+            seen |= leaves[:, tree] == leaf
+        hits += seen[np.argsort(-(points @ points[q]))[:20]].sum()
+    assert hits / (40 * 20) >= 0.9
