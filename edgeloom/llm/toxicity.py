@@ -21,7 +21,8 @@ BUCKETS, WIDTH = 1 << 16, 8
 MAX_PER_CLASS = 2_500
 FOLDS = 5
 ROUNDS, BATCH, RATE, DECAY, SEED = 30, 128, 0.05, 1e-5, 42
-MEMO_WORDS = 500_000
+#: Words whose scores a task keeps, and characters of a word that is kept.
+MEMO_WORDS, MEMO_CHARS = 500_000, 100
 _EDGES = ".,;:!?\"'()[]{}<>#*$%&|-_"
 
 
@@ -32,7 +33,7 @@ def words_of(text: str) -> list[str]:
 
 def grams_of(word: str) -> list[int]:
     """Buckets of a word's character n-grams and of the whole word."""
-    marked = f"<{word[:100]}>"
+    marked = f"<{word}>"
     parts = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)} | {marked}
     return [zlib.crc32(p.encode()) % BUCKETS for p in parts]
 
@@ -141,8 +142,9 @@ def _scored(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator
                 if None in found:
                     if len(known) > MEMO_WORDS:
                         known.clear()
-                    known.update((w, model.word_score(w)) for w in {w for w, s in zip(words, found, strict=True) if s is None})
-                    found = [s if s is not None else known.get(w, 0.0) for w, s in zip(words, found, strict=True)]
+                    fresh = {w: model.word_score(w) for w in {w for w, s in zip(words, found, strict=True) if s is None}}
+                    known.update((w, s) for w, s in fresh.items() if len(w) <= MEMO_CHARS)
+                    found = [s if s is not None else fresh[w] for w, s in zip(words, found, strict=True)]
                 scores[i] += math.fsum(found) / len(found)
         scores = 1 / (1 + np.exp(-np.clip(scores, -500, 500)))
         columns = [*batch.columns[:2], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]

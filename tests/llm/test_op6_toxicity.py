@@ -49,3 +49,13 @@ def test_held_out_labels_are_never_learned(scored, spark):
     flipped = known.selectExpr("doc_id", "quality", "case when crc32(cast(doc_id as string)) % 5 = 0 then 1 - toxic else toxic end as toxic")
     again = toxicity.score_toxicity(df, toxicity.fit_toxicity(df, flipped)).collect()
     assert sorted((r["doc_id"] or -1, r["score"]) for r in again) == sorted((r["doc_id"] or -1, r["score"]) for r in rows)
+
+
+def test_a_long_word_counts_to_its_end(spark):
+    run = "-".join(["quiet", "river"] * 10)
+    assert len(run) > 100
+    slopes = toxicity.np.zeros(toxicity.BUCKETS, toxicity.np.float32)
+    slopes[toxicity.zlib.crc32(b"umba") % toxicity.BUCKETS] = 500
+    df = spark.createDataFrame([(1, run + "-scumbag"), (2, run + "-gardens")], "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df, toxicity.ToxicityModel(slopes, -1.0)).collect()}
+    assert found[1] > found[2]
