@@ -18,7 +18,7 @@ from edgeloom.llm.common import documents, durable, slices, utf8
 WINDOW_WORDS = 5
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
-#: Common words of a language's reference, and languages that get one of their own (the largest; others use the reference of all documents).
+#: Common words of a language's reference, and languages (the largest) whose references every task holds; those of all others are joined.
 COMMON_WORDS, MAX_LANGUAGES = 100, 256
 #: Below so many characters or words a histogram is too thin to judge a text.
 MIN_CLASS_CHARS, MIN_JUDGED_WORDS = 200, 40
@@ -130,30 +130,44 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(counts)
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str | None, Reference]:
-    """A reference for each of the largest languages, and one of all documents under None.
+def _reference(parts: list, total: int) -> Reference:
+    """A reference of (kind, word, n, rank) of its classes and common words, and the number of all words."""
+    ref = Reference()
+    for row in sorted(parts, key=lambda r: (r["kind"], r["rank"])):
+        if row["kind"]:
+            ref.classes[CLASSES.index(bytes(row["word"]).decode())] = row["n"]
+        else:
+            ref.words.append(bytes(row["word"]))
+            ref.counts = np.append(ref.counts[:-1], [row["n"], 0])
+    ref.counts[-1] = total - ref.counts.sum()
+    return ref
+
+
+def language_references(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = MAX_LANGUAGES) -> tuple[dict[str | None, Reference], DataFrame | None]:
+    """References of the ``most`` largest languages, one of all documents under None; and a table of those of all other languages.
 
     All texts are counted, into partial sums before any shuffle. What reaches the driver
-    is bounded: ``COMMON_WORDS`` words and a few classes for ``MAX_LANGUAGES`` languages
-    at most.
+    is bounded: ``COMMON_WORDS`` words and a few classes for ``most`` languages at most.
+    The table (``_of``, ``_parts``, ``_total``) has a row for each further language and is
+    None if there is none.
     """
     narrow = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     partial = narrow.mapInArrow(_counted, "lang string, kind int, word binary, n long")
     of = F.explode(F.array_compact(F.array(F.lit("*"), F.concat(F.lit("="), F.col("lang"))))).alias("of")
     counts = durable(partial.select(of, "kind", "word", "n").groupBy("of", "kind", "word").agg(F.sum("n").alias("n")), "quality-counts")
-    largest = counts.filter("kind = 0").groupBy("of").agg(F.sum("n").alias("total")).orderBy(F.expr("of <> '*'"), F.desc("total"), "of").limit(MAX_LANGUAGES + 1)
+    totals = counts.filter("kind = 0").groupBy("of").agg(F.sum("n").alias("total"))
+    largest = totals.orderBy(F.expr("of <> '*'"), F.desc("total"), "of").limit(most + 2).collect()
+    held, more = {r["of"]: r["total"] for r in largest[: most + 1]}, len(largest) > most + 1
     rank = F.row_number().over(Window.partitionBy("of", "kind").orderBy(F.desc("n"), "word"))
     common = counts.withColumn("rank", rank).filter(F.col("rank") <= COMMON_WORDS)
-    found: dict[str | None, Reference] = {}
-    for row in sorted(common.join(largest, "of").collect(), key=lambda r: (r["of"], r["kind"], r["rank"])):
-        ref = found.setdefault(None if row["of"] == "*" else row["of"][1:], Reference())
-        if row["kind"]:
-            ref.classes[CLASSES.index(bytes(row["word"]).decode())] = row["n"]
-        else:
-            ref.words.append(bytes(row["word"]))
-            ref.counts = np.append(ref.counts[:-1], [row["n"], 0])
-            ref.counts[-1] = row["total"] - ref.counts.sum()
-    return found
+    found: dict[str, list] = {}
+    for row in common.filter(F.col("of").isin(list(held))).collect():
+        found.setdefault(row["of"], []).append(row)
+    references = {None if name == "*" else name[1:]: _reference(parts, held[name]) for name, parts in found.items()}
+    if not more:
+        return references, None
+    rest = common.filter(~F.col("of").isin(list(held))).groupBy("of").agg(F.collect_list(F.struct("kind", "word", "n", "rank")).alias("_parts")).join(totals, "of")
+    return references, durable(rest.select(F.substring("of", 2, 1 << 30).alias("_of"), "_parts", F.col("total").alias("_total")), "quality-references")
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, class_distance double, word_distance double, kept boolean"
@@ -171,16 +185,23 @@ def judge(text: bytes, reference: Reference | None) -> tuple:
     return (len(words), characters - int(octets[list(SPACES)].sum()), int(octets[list(SYMBOLS)].sum()), repeated_lines(text), repeats, failed, by_class, by_word, not (failed or far))
 
 
-def _judged(batches: Iterator[pa.RecordBatch], references: dict[str | None, Reference]) -> Iterator[pa.RecordBatch]:
+def _judged(batches: Iterator[pa.RecordBatch], references: dict[str | None, Reference], width: int) -> Iterator[pa.RecordBatch]:
+    """The first ``width`` columns and the verdicts; text and language follow them, and, where it was joined, the language's reference."""
     schema = pa.schema([(c.split()[0], {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]]) for c in COLUMNS.split(", ")])
+    joined: dict[str, Reference] = {}
     for batch in slices(batches):
-        langs, texts = batch.column(batch.num_columns - 1).to_pylist(), utf8(batch.column(batch.num_columns - 2))
-        found = [judge(t, references.get(lang) or references.get(None)) for lang, t in zip(langs, texts, strict=True)]
+        texts, langs = utf8(batch.column(width)), batch.column(width + 1).to_pylist()
+        if batch.num_columns > width + 2:
+            joined.clear()
+            for i, lang in enumerate(langs):
+                if lang not in joined and (parts := batch.column(width + 2)[i].as_py()) is not None:
+                    joined[lang] = _reference(parts, batch.column(width + 3)[i].as_py())
+        found = [judge(t, joined.get(lang) or references.get(lang) or references.get(None)) for lang, t in zip(langs, texts, strict=True)]
         columns = [pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=[*batch.schema.names[:-2], *schema.names])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:width], *columns], names=[*batch.schema.names[:width], *schema.names])
 
 
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, most: int = MAX_LANGUAGES) -> DataFrame:
     """The columns ``keep`` (all if None) of ``docs`` and those of ``COLUMNS``.
 
     A text is kept if it has at least ``MIN_WORDS`` words, at most a fifth of them in
@@ -190,17 +211,25 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep:
     under ``MIN_CLASS_CHARS`` characters or ``MIN_JUDGED_WORDS`` words aren't judged by
     the histogram in question, whose distance is then null.
 
-    Nulls: a null text counts as empty and isn't kept; a null language, or one that is
-    not among the largest, is compared with the reference of all documents. Repeated rows
+    Every language has its own reference: tasks hold those of the ``most`` largest, and
+    documents of all others are joined with a table of theirs.
+
+    Nulls: a null text counts as empty and isn't kept; a null language is compared with the reference of all documents. Repeated rows
     are judged alike. An empty table gives an empty table. Columns named like the added
     ones are replaced.
     """
     added = [c.split()[0] for c in COLUMNS.split(", ")]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
-    references = language_references(docs, text, lang)
+    references, rest = language_references(docs, text, lang, most)
     narrow = docs.select(*kept, F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
     kinds = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in kept]
-    return narrow.mapInArrow(lambda batches: _judged(batches, references), ", ".join([*kinds, COLUMNS]))
+    shape, width = ", ".join([*kinds, COLUMNS]), len(kept)
+    verdicts = lambda df: df.mapInArrow(lambda batches: _judged(batches, references, width), shape)
+    if rest is None:
+        return verdicts(narrow)
+    held = F.col("_lang").isNull() | F.col("_lang").isin([x for x in references if x is not None])
+    joined = narrow.filter(~held).join(rest, F.col("_lang") == F.col("_of"), "left").drop("_of")
+    return verdicts(narrow.filter(held)).unionByName(verdicts(joined))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

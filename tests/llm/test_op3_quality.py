@@ -54,3 +54,14 @@ def test_empty_and_repeated(spark):
     assert quality.quality_rules(df.limit(0)).count() == 0
     twice = quality.quality_rules(df.union(df)).groupBy("doc_id").agg({"kept": "count"}).collect()
     assert {r[1] for r in twice} == {2}
+
+
+def test_every_language_has_its_own_reference(spark):
+    rng = np.random.default_rng(2)
+    letters = ["abcdefgh", "нопрстуф", "αβγδεζηθ", "אבגדהוזח"]
+    lists = [["".join(rng.choice(list(a), 5)) for _ in range(12)] for a in letters]
+    rows = [(100 * g + i, " ".join(rng.choice(words, 120)), f"l{g}") for g, words in enumerate(lists) for i in range(20 if g == 0 else 4 - g)]
+    df = spark.createDataFrame([*rows, (900, rows[0][1], None), (901, "", "l9")], "doc_id long, text string, lang string")
+    one, all_ = ({r["doc_id"]: r for r in quality.quality_rules(df, most=m).collect()} for m in (1, 256))
+    assert one == all_ and len(one) == len(rows) + 2
+    assert all(one[i]["kept"] for i, _, _ in rows)
