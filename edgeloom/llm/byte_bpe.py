@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import documents, slices
+from edgeloom.llm.common import documents, others, own_names, slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The pattern for texts below U+0100, with its classes spelt out for the standard library, which splits faster.
@@ -185,17 +185,37 @@ def encode_documents(docs: DataFrame, text: str = "text", vocabulary: str | None
 
     ``vocabulary``: path of a rank file that every executor can read. A null text counts
     as empty; a text of any length is encoded whole, piece by piece. Repeated rows are
-    kept and an empty table gives an empty table. Columns named like the added ones are
-    replaced.
+    kept and an empty table gives an empty table. Columns named like the added ones, in
+    whatever case, are replaced.
     """
     path = vocabulary or public_tokenizers.path(RANKS)
-    kept = [c for c in docs.columns if c not in (text, "n_tokens", "ids", "ids_sha256", "decoded_sha256")]
-    narrow = docs.select(*kept, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    kept = others(docs.columns, (text, "n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+    narrow = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text).cast("string"), F.lit("")).alias(own_names(docs, "_text")[0]))
     kinds = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in kept]
     schema = ", ".join([*kinds, "n_tokens long", *["ids array<int>"] * ids, "ids_sha256 string", "decoded_sha256 string"])
     return narrow.mapInArrow(lambda batches: (_encoded if ids else _digests)(batches, path), schema)
 
 
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    own = codec(path)
+    for batch in slices(batches, 256):
+        found = [own.decode(np.array(x or [], "<u4").tobytes()) for x in batch.column(batch.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x.decode("utf-8", "replace") for x in found])], names=[*batch.schema.names[:-1], "text"])
+
+
+def decode_documents(encoded: DataFrame, ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
+    """The other columns of ``encoded`` with ``text``, what the token ids stand for.
+
+    Ids that no text has, cut within a character, decode to replacement characters there.
+    Null ids count as none. A column ``text`` is replaced. An empty table gives an empty one.
+    """
+    path = vocabulary or public_tokenizers.path(RANKS)
+    kept = others(encoded.columns, (ids, "text"))
+    narrow = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(ids).alias(own_names(encoded, "_ids")[0]))
+    kinds = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in kept]
+    return narrow.mapInArrow(lambda batches: _decoded(batches, path), ", ".join([*kinds, "text string"]))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every whole document, as digests, and the digest of what they decode to."""
     return encode_documents(documents(spark, sf_dir).select("doc_id", "text"), ids=False)

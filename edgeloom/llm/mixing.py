@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import WORD_PATTERN, documents, durable
+from edgeloom.llm.common import WORD_PATTERN, documents, durable, others, own_names
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -72,27 +72,30 @@ def mix_sources(rows: DataFrame, size: str = "size", source: str = "source", doc
     all tasks.
 
     Nulls: a null source is a source of its own, last in order; a null id hashes as
-    empty; a null size counts as 0. Repeated rows are separate documents. An empty table
-    gives an empty table. Input columns named like the added ones are replaced.
+    empty; a null size counts as 0. Repeated rows are separate documents; rows of one id
+    and size follow a hash of their other columns. An empty table gives an empty table.
+    Input columns named like the added ones, in whatever case, are replaced.
     """
     added = ("source_size", "target", "taken")
-    kept = [c for c in rows.columns if c not in added]
-    amount, key = F.coalesce(F.col(size), F.lit(0)).cast("long"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
-    keyed = rows.select(*kept).withColumns({"_mix_n": amount, "_mix_key": key, "_mix_source": source_key(F.col(source))})
-    keyed = keyed.withColumn("_mix_bucket", F.substring("_mix_key", 1, BUCKET_DIGITS))
-    goals = source_targets(keyed, "_mix_source", "_mix_n", weights, budget, max_epochs)
+    kept = others(rows.columns, added)
+    n, key, own, bucket, tie, start, whole, rest, before = own_names(rows, "_mix_n", "_mix_key", "_mix_source", "_mix_bucket", "_mix_tie", "_mix_start", "_mix_whole", "_mix_rest", "_mix_before")
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
+    plain = [F.col(f"`{c}`") for c in kept]
+    keyed = rows.select(*plain, F.coalesce(F.col(size), F.lit(0)).cast("long").alias(n), hashed.alias(key), source_key(F.col(source)).alias(own), F.xxhash64(*plain).alias(tie))
+    keyed = keyed.withColumn(bucket, F.substring(key, 1, BUCKET_DIGITS))
+    goals = source_targets(keyed, own, n, weights, budget, max_epochs)
     goals = goals.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     goals = goals.withColumn("rest", F.floor("target").cast("long") - F.col("whole") * F.col("source_size"))
 
-    buckets = keyed.groupBy("_mix_source", "_mix_bucket").agg(F.sum("_mix_n").alias("bucket_size"))
-    before = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumn("start", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
-    placed = buckets.join(goals, F.col("_mix_source") == F.col("source")).select("_mix_source", "_mix_bucket", F.col("start").alias("_mix_start"), "source_size", "target", F.col("whole").alias("_mix_whole"), F.col("rest").alias("_mix_rest"))
-    at = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_key", "_mix_n").rowsBetween(Window.unboundedPreceding, -1)
-    running = keyed.withColumn("_mix_before", F.coalesce(F.sum("_mix_n").over(at), F.lit(0)))
-    joined = running.join(placed, ["_mix_source", "_mix_bucket"])
-    part = F.greatest(F.lit(0), F.least(F.col("_mix_n"), F.col("_mix_rest") - F.col("_mix_start") - F.col("_mix_before")))
-    return joined.select(*kept, "source_size", "target", (F.col("_mix_whole") * F.col("_mix_n") + part).cast("long").alias("taken"))
+    buckets = keyed.groupBy(own, bucket).agg(F.sum(n).alias("bucket_size"))
+    earlier = Window.partitionBy(own).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.withColumn("start", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)))
+    placed = buckets.join(goals, F.col(own) == F.col("source")).select(own, bucket, F.col("start").alias(start), "source_size", "target", F.col("whole").alias(whole), F.col("rest").alias(rest))
+    at = Window.partitionBy(own, bucket).orderBy(key, n, tie).rowsBetween(Window.unboundedPreceding, -1)
+    running = keyed.withColumn(before, F.coalesce(F.sum(n).over(at), F.lit(0)))
+    joined = running.join(placed, [own, bucket])
+    part = F.greatest(F.lit(0), F.least(F.col(n), F.col(rest) - F.col(start) - F.col(before)))
+    return joined.select(*plain, "source_size", "target", (F.col(whole) * F.col(n) + part).cast("long").alias("taken"))
 
 
 def repetitions(mixed: DataFrame, size: str, columns: Sequence[str]) -> DataFrame:
@@ -102,7 +105,8 @@ def repetitions(mixed: DataFrame, size: str, columns: Sequence[str]) -> DataFram
     wanted. Documents without words are never taken.
     """
     times = F.when(F.col(size) > 0, F.round(F.col("taken") / F.col(size))).otherwise(F.lit(0)).cast("int")
-    return mixed.withColumn("_times", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).filter(times >= 1).select(*columns)
+    (turn,) = own_names(mixed, "_turn")
+    return mixed.withColumn(turn, F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1))))).filter(times >= 1).select(*columns)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import documents, durable, slices, utf8
+from edgeloom.llm.common import documents, durable, others, own_names, slices, utf8
 
 WINDOW_WORDS = 5
 MIN_WORDS = 10
@@ -214,21 +214,24 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep:
     Every language has its own reference: tasks hold those of the ``most`` largest, and
     documents of all others are joined with a table of theirs.
 
-    Nulls: a null text counts as empty and isn't kept; a null language is compared with the reference of all documents. Repeated rows
-    are judged alike. An empty table gives an empty table. Columns named like the added
-    ones are replaced.
+    Nulls: a null text counts as empty and isn't kept; a null language is compared with the
+    reference of all documents. Repeated rows are judged alike. An empty table gives an
+    empty table. Columns named like the added ones, in whatever case, are replaced; others
+    may bear any name.
     """
     added = [c.split()[0] for c in COLUMNS.split(", ")]
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in added]
+    kept = others(docs.columns if keep is None else keep, added)
     references, rest = language_references(docs, text, lang, most)
-    narrow = docs.select(*kept, F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
+    own_text, own_lang, of = own_names(docs, "_text", "_lang", "_of")
+    narrow = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias(own_text), F.col(lang).cast("string").alias(own_lang))
     kinds = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in kept]
     shape, width = ", ".join([*kinds, COLUMNS]), len(kept)
     verdicts = lambda df: df.mapInArrow(lambda batches: _judged(batches, references, width), shape)
     if rest is None:
         return verdicts(narrow)
-    held = F.col("_lang").isNull() | F.col("_lang").isin([x for x in references if x is not None])
-    joined = narrow.filter(~held).join(rest, F.col("_lang") == F.col("_of"), "left").drop("_of")
+    held = F.col(own_lang).isNull() | F.col(own_lang).isin([x for x in references if x is not None])
+    rest = rest.toDF(of, *own_names(docs, "_parts", "_total"))
+    joined = narrow.filter(~held).join(rest, F.col(own_lang) == F.col(of), "left").drop(of)
     return verdicts(narrow.filter(held)).unionByName(verdicts(joined))
 
 

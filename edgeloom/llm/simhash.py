@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import documents, durable, slices, utf8
+from edgeloom.llm.common import documents, durable, own_names, slices, utf8
 from edgeloom.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -19,6 +19,9 @@ HASH_SEED = 42
 BITS = 64
 #: Fingerprints that differ in so many bits at most are linked. The method below is exact for 2.
 MAX_DISTANCE = 2
+SEGMENTS, SEGMENT_BITS = 2, 32
+#: Prints of one segment value above which the value is split by the other segment.
+HEAVY = 8
 
 
 def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
@@ -49,35 +52,63 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``print`` (the 64 bits as a signed long) of every row."""
-    narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return narrow.mapInArrow(_fingerprint_batches, "doc_id long, print long")
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return narrow.mapInArrow(_fingerprint_batches, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, print long")
 
 
-def fingerprint_links(prints: DataFrame) -> DataFrame:
+def _segment(bits: Column, number: int | Column) -> Column:
+    """The value of a segment of a print, 0 to 2 ** 32 - 1."""
+    shifted = F.when(F.lit(number) == 0, bits).otherwise(F.shiftrightunsigned(bits, SEGMENT_BITS))
+    return shifted.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
+
+
+def _ball(value: Column) -> Column:
+    """A segment value and all that differ from it in one bit."""
+    return F.transform(F.array(*[F.lit(flip).cast("long") for flip in (0, *(1 << i for i in range(SEGMENT_BITS)))]), lambda flip: value.bitwiseXOR(flip))
+
+
+def fingerprint_links(prints: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """Links (``src``, ``dst``) that join all distinct ``print`` at 2 or fewer differing bits.
 
-    Multi-index hashing over two 32-bit segments: in each segment the ball of radius 1
-    around the segment's value is enumerated, and a segment's table is keyed by the
-    enumerated value together with the value of the other segment. Two prints at
-    distance 2 or less always meet: the differing bits lie in one segment (both prints
-    reach the value between them) or in both (one print's ball in the first segment meets
-    the other's in the second). Because a key holds all 64 bits, no table entry has more
-    than 65 prints, whatever the data, so dense groups of near copies make neither a hot
-    key nor all pairs: each entry links its members to its least one, and every link is
-    verified by its full distance.
+    Multi-index hashing: a print is cut into two segments of 32 bits, and a table holds
+    every print under (segment, value). Of two prints at distance 2 or less, one segment
+    differs in one bit at most. So each print looks up the ball of radius 1 around its
+    value in each segment, 33 values, fetches what the table has there, and the complete
+    distance of each pair is verified.
+
+    A value that more than ``heavy`` prints share, as in a dense group of near copies,
+    would meet its whole ball in pairs. Its rows are split by the other segment instead:
+    those that have the value itself enumerate the ball of their other segment, those that
+    came one bit off keep theirs. Two prints within distance 2 that meet under a heavy
+    value always share such an entry, and all prints of an entry are within distance 2 of
+    each other, so each is linked to the entry's least one: rows grow with the prints, no
+    entry has more than 66 of them, and nothing is dropped.
     """
-    flips = F.array(*[F.lit(flip).cast("long") for flip in (0, *(1 << i for i in range(BITS - 1)), -(1 << (BITS - 1)))])
-    probes = prints.select("print", F.explode(flips).alias("flip")).select("print", F.col("print").bitwiseXOR(F.col("flip")).alias("entry"))
-    met = probes.withColumn("least", F.min("print").over(Window.partitionBy("entry"))).filter("print <> least")
-    near = F.bit_count(F.col("print").bitwiseXOR(F.col("least"))) <= MAX_DISTANCE
-    return met.filter(near).select(F.col("print").alias("src"), F.col("least").alias("dst")).distinct()
+    segments = F.posexplode(F.array(*[_segment(F.col("print"), i) for i in range(SEGMENTS)])).alias("segment", "value")
+    table = prints.select("print", segments)
+    hot = durable(table.groupBy("segment", "value").agg(F.count("*").alias("n")).filter(F.col("n") > heavy).select("segment", "value"), "simhash-heavy")
+    probes = table.select("print", "segment", F.col("value").alias("home"), F.explode(_ball(F.col("value"))).alias("value"))
+    light = table.join(hot, ["segment", "value"], "left_anti").withColumnRenamed("print", "other")
+    met = probes.join(light.hint("shuffle_hash"), ["segment", "value"]).filter(F.col("print") > F.col("other"))
+    near = F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= MAX_DISTANCE
+    pairs = met.filter(near).select(F.col("print").alias("src"), F.col("other").alias("dst"))
+
+    rest = _segment(F.col("print"), 1 - F.col("segment"))
+    members = probes.join(hot, ["segment", "value"], "left_semi").withColumn("rest", rest)
+    entries = members.select("print", "segment", "value", F.explode(F.when(F.col("home") == F.col("value"), _ball(F.col("rest"))).otherwise(F.array("rest"))).alias("rest"))
+    least = F.min("print").over(Window.partitionBy("segment", "value", "rest"))
+    split = entries.withColumn("least", least).filter("print <> least")
+    verified = F.bit_count(F.col("print").bitwiseXOR(F.col("least"))) <= MAX_DISTANCE
+    return pairs.unionByName(split.filter(verified).select(F.col("print").alias("src"), F.col("least").alias("dst"))).distinct()
 
 
 def print_components(prints: DataFrame) -> DataFrame:
     """``print``, ``component`` and ``component_id`` (least id of the component) of every distinct print.
 
     ``prints``: ``doc_id`` and ``print`` of all rows. Rows of one print are a class that
-    enters the search once, whatever its size.
+    enters the search once, whatever its size. Joins by component have one row per key on
+    one side; the other, on which a component with most of the prints is one key, is one
+    that adaptive execution splits.
     """
     classes = durable(prints.groupBy("print").agg(F.min("doc_id").alias("rep")), "simhash-classes")
     links = durable(fingerprint_links(classes.select("print")), "simhash-links")
@@ -95,10 +126,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ``component_id`` is the smallest id that can be reached over links between equal
     fingerprints or such at 2 or fewer differing bits, the row's own included.
 
-    Nulls: a null text counts as empty (fingerprint zero, linked like any other); a null
-    id never names a component unless all its ids are null. Repeated rows are kept. An
-    empty table gives an empty table. Other columns aren't read, so their names can't
-    clash.
+    Ids may be of any type that has an order. Nulls: a null text counts as empty
+    (fingerprint zero, linked like any other); a null id never names a component unless
+    all its ids are null. Repeated rows are kept. An empty table gives an empty table.
+    Other columns aren't read, so their names can't clash.
     """
     prints = durable(fingerprints(docs, doc_id, text), "simhash-prints")
     hexed = F.lpad(F.lower(F.hex("print")), 16, "0")
@@ -113,19 +144,21 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``docs`` with one row of each near-duplicate group: that of the smallest id.
 
     Of rows that repeat this id, or of a group in which every id is null, the first in
-    the order of the other columns stays.
+    the order of the other columns stays. A null text counts as empty: all rows without
+    words are one group. Columns may bear any name. An empty table gives an empty one.
     """
     prints = durable(fingerprints(docs, doc_id, text), "simhash-prints")
     components = durable(print_components(prints), "simhash-components")
     repeated = prints.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    kept, bits, component, least, rank = own_names(docs, "_kept", "_print", "_component", "_least", "_rank")
     if repeated.isEmpty():
         # ids name rows: the text needs neither a second hashing nor a sort
-        return docs.join(components.select(F.col("component_id").alias("_kept")).distinct(), F.col(doc_id) == F.col("_kept"), "left_semi")
-    marked = docs.withColumn("_print", F.pandas_udf(_print_of, "long")(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    least = marked.join(components.select(F.col("print").alias("_print"), F.col("component").alias("_component"), F.col("component_id").alias("_least")), "_print")
-    least = least.filter(F.col(doc_id).eqNullSafe(F.col("_least")))
-    rank = F.row_number().over(Window.partitionBy("_component").orderBy(*[F.col(c) for c in docs.columns]))
-    return least.withColumn("_rank", rank).filter("_rank = 1").select(*docs.columns)
+        return docs.join(components.select(F.col("component_id").alias(kept)).distinct(), F.col(doc_id) == F.col(kept), "left_semi")
+    marked = docs.withColumn(bits, F.pandas_udf(_print_of, "long")(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    found = marked.join(components.select(F.col("print").alias(bits), F.col("component").alias(component), F.col("component_id").alias(least)), bits)
+    found = found.filter(F.col(doc_id).eqNullSafe(F.col(least)))
+    first = F.row_number().over(Window.partitionBy(component).orderBy(*[F.col(f"`{c}`") for c in docs.columns]))
+    return found.withColumn(rank, first).filter(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

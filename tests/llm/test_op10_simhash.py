@@ -1,7 +1,9 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from edgeloom.llm import simhash
 
@@ -39,7 +41,10 @@ def components(prints):
     return [root(i) for i in range(len(prints))]
 
 
-def test_links_and_components_equal_brute_force(spark):
+@pytest.mark.parametrize("heavy", [0, 2, 1000])
+def test_links_and_components_equal_brute_force(spark, heavy, monkeypatch):
+    original = simhash.fingerprint_links
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda prints: original(prints, heavy))
     rng = random.Random(5)
     prints = [0, (1 << 64) - 1]
     for _ in range(12):
@@ -74,3 +79,14 @@ def test_edge_cases(spark):
 def test_one_of_each_with_unique_ids(spark):
     df = spark.createDataFrame([(2, "a b c d e f", "p"), (1, "a b c d e f", "q"), (3, "u v w x y z", "r")], "doc_id long, text string, source string")
     assert sorted((r["doc_id"], r["source"]) for r in simhash.one_of_each(df).collect()) == [(1, "q"), (3, "r")]
+
+
+def test_ids_may_be_strings_and_columns_bear_any_name(spark):
+    rows = [("b", "a b c d e f", "p", 1), ("a", "a b c d e f", "q", 2), ("c", "u v w x y z", "r", 3), ("c", "u v w x y z", "r", 3)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _Print string, _kept int").withColumn("_component", F.lit(7)).withColumn("_LEAST", F.lit(8)).withColumn("_rank", F.lit(9))
+    assert {(r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [("a", "a b c d e f", "q", 2, 7, 8, 9), ("c", "u v w x y z", "r", 3, 7, 8, 9)]
+    unique = simhash.one_of_each(df.filter("doc_id <> 'c'"))
+    assert [tuple(r)[:4] for r in unique.collect()] == [("a", "a b c d e f", "q", 2)]
