@@ -3,51 +3,124 @@
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import documents, id_hash, slices, texts
+from edgeloom.llm.common import documents, durable, id_hash, slices, texts
 
 GRAMS = (3, 4, 5)
-BUCKETS, WIDTH = 1 << 16, 8
-#: Labelled documents of each class that the model is fitted on at most.
-MAX_PER_CLASS = 2_500
+BUCKET_BITS, WIDTH = 16, 8
+BUCKETS = 1 << BUCKET_BITS
+#: Labelled documents of each class that the model is fitted on at most, and entries of their bags together.
+MAX_PER_CLASS, MAX_ENTRIES = 2_500, 16_000_000
 FOLDS = 5
 ROUNDS, BATCH, RATE, DECAY, SEED = 30, 128, 0.05, 1e-5, 42
-#: Words whose scores a task keeps, and characters of a word that is kept.
-MEMO_WORDS, MEMO_CHARS = 500_000, 100
-_EDGES = ".,;:!?\"'()[]{}<>#*$%&|-_"
+#: Characters that are worked on at once; a run without a break counts as a new word after so many characters.
+PIECE_CHARS, LONGEST_WORD = 1 << 19, 1_000
+#: Characters between words, besides the null byte: ASCII white space and signs.
+_BETWEEN = " \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>#*$%&|-_/\\"
+_IS_BETWEEN = np.isin(np.arange(256), [0, *map(ord, _BETWEEN)])
+_FACTOR, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-cased words without signs around them."""
-    return [w for w in (x.strip(_EDGES) for x in text.lower().split()) if w]
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash factor, and of its inverse, modulo 2 ** 64."""
+    inverse = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
+    return tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, x)])) for x in (_FACTOR, inverse))
 
 
-def grams_of(word: str) -> list[int]:
-    """Buckets of a word's character n-grams and of the whole word."""
-    marked = f"<{word}>"
-    parts = {marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)} | {marked}
-    return [zlib.crc32(p.encode()) % BUCKETS for p in parts]
+@dataclass(frozen=True)
+class Words:
+    """The words of a piece of text: where each begins, and its subwords as (bucket, counts or not) by the place of their second character."""
+
+    starts: np.ndarray
+    subwords: list[tuple[np.ndarray, np.ndarray]]
+    whole: np.ndarray
+
+    def sums(self, slopes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the slopes of each word's subwords, and their number; a word as a whole is one of them."""
+        if not len(self.starts):
+            return np.zeros(0), np.zeros(0)
+        total, many = np.zeros(len(self.subwords[0][0]) + 2), np.zeros(len(self.subwords[0][0]) + 2, np.int32)
+        for buckets, counts in self.subwords:
+            total[1 : len(buckets) + 1] += np.where(counts, slopes[buckets], 0)
+            many[1 : len(buckets) + 1] += counts
+        return np.add.reduceat(total, self.starts) + slopes[self.whole], np.add.reduceat(many, self.starts) + 1
+
+
+def words_of(text: str) -> Words:
+    """The words of a text and the hash buckets of their character n-grams.
+
+    A word is a run without white space or signs, lower-cased; after ``LONGEST_WORD``
+    characters a run goes on as another word. An n-gram lies in a word with a break before
+    and after, so beginnings and ends are n-grams of their own; the whole word is one too.
+    Every character counts, whatever the length of text and words.
+    """
+    codes = np.frombuffer(("\0" + text.lower() + "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    apart = _IS_BETWEEN[np.minimum(codes, 255)] & (codes < 256)
+    codes[apart] = 0
+    inside = ~apart
+    first = inside[1:] & apart[:-1]
+    begin = np.flatnonzero(first) + 1
+    if not len(begin):
+        return Words(begin, [], begin)
+    # a long run begins anew
+    run = np.zeros(len(codes), np.int64)
+    run[begin] = begin
+    run = np.maximum.accumulate(run)
+    starts = np.flatnonzero(inside & ((np.arange(len(codes)) - run) % LONGEST_WORD == 0))
+    subwords, hashed, counts = [], codes[:-1] * _FACTOR + codes[1:], np.ones(len(codes) - 1, bool)
+    for n in range(3, max(GRAMS) + 1):
+        hashed = hashed[:-1] * _FACTOR + codes[n - 1 :]
+        counts = counts[:-1] & inside[n - 2 : -1]
+        if n in GRAMS:
+            mixed = (hashed ^ hashed >> np.uint64(29)) * _SPREAD
+            subwords.append(((mixed >> np.uint64(64 - BUCKET_BITS)).view(np.int64), counts))
+    powers, inverse = _powers(1 << max(20, int(len(codes)).bit_length()))
+    # sums of powers give a word's hash from two places of one running sum
+    running = np.cumsum(codes * powers[: len(codes)])
+    ends = np.append(starts[1:], len(codes)) - 1
+    words = (running[ends] - running[starts - 1]) * inverse[starts]
+    words = (words ^ words >> np.uint64(31)) * _SPREAD + np.uint64(1)
+    return Words(starts, subwords, ((words ^ words >> np.uint64(29)) * _SPREAD >> np.uint64(64 - BUCKET_BITS)).view(np.int64))
+
+
+def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
+    """A text in parts of ``most`` characters at most, cut at a blank or line end where there is one in the last tenth."""
+    start = 0
+    while len(text) - start > most:
+        near = start + most - most // 10
+        cut = max(text.rfind(" ", near, start + most), text.rfind("\n", near, start + most))
+        cut = cut + 1 if cut > 0 else start + most
+        yield text[start:cut]
+        start = cut
+    yield text[start:] if start else text
 
 
-def bag_of(text: str) -> dict[int, float]:
-    """A text as weights of buckets: the mean over its words of the mean over a word's n-grams."""
-    counts = Counter(words_of(text))
-    total, bag = sum(counts.values()), Counter()
-    for word, n in counts.items():
-        grams = grams_of(word)
-        share = n / total / len(grams)
-        for g in grams:
-            bag[g] += share
-    return bag
+def bag_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text as buckets and weights that sum to 1: the mean over its words of the mean over a word's subwords."""
+    bag, total = np.zeros(BUCKETS), 0
+    for part in pieces(text):
+        words = words_of(part)
+        if not len(words.starts):
+            continue
+        total += len(words.starts)
+        _, many = words.sums(np.zeros(BUCKETS))
+        share = 1 / many
+        bag += np.bincount(words.whole, share, BUCKETS)
+        spans = np.diff(np.append(words.starts, len(words.subwords[0][0]) + 2))
+        at = np.concatenate([np.zeros(words.starts[0]), np.repeat(share, spans)])
+        for buckets, counts in words.subwords:
+            bag += np.bincount(buckets[counts], at[1 : len(buckets) + 1][counts], BUCKETS)
+    used = np.flatnonzero(bag)
+    return used, bag[used] / max(1, total)
 
 
 @dataclass(frozen=True)
@@ -57,8 +130,21 @@ class ToxicityModel:
     slopes: np.ndarray
     offset: float
 
-    def word_score(self, word: str) -> float:
-        return float(self.slopes[grams_of(word)].mean())
+    def log_odds(self, group: list[str]) -> np.ndarray:
+        """Log odds of each of several texts: the offset alone for one without words."""
+        found = np.full(len(group), self.offset)
+        if sum(map(len, group)) > PIECE_CHARS and len(group) == 1:
+            parts = [words_of(p).sums(self.slopes) for p in pieces(group[0])]
+            means = np.concatenate([total / many for total, many in parts])
+            return found + (means.sum() / len(means) if len(means) else 0)
+        words = words_of("\0".join(group))
+        if len(words.starts):
+            total, many = words.sums(self.slopes)
+            ends = np.cumsum([len(t.lower()) + 1 for t in group])
+            owner = np.searchsorted(ends, words.starts - 1, side="right")
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            found[owner[first]] += np.add.reduceat(total / many, first) / np.diff(np.append(first, len(owner)))
+        return found
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight: np.ndarray) -> ToxicityModel:
@@ -70,14 +156,18 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight:
     if not len(toxic) or toxic.min() == toxic.max():
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(4 * toxic[0] - 2) * 2 if len(toxic) else -4.0)
     rng = np.random.default_rng(SEED)
-    params = [rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32), rng.normal(0, 1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)]
+    # only buckets that the bags hold are learned; all others stay at zero
+    used, places = np.unique(np.concatenate([slots for slots, _ in bags]), return_inverse=True)
+    ends = np.cumsum([len(slots) for slots, _ in bags])[:-1]
+    bags = list(zip(np.split(places, ends), (shares.astype(np.float32) for _, shares in bags), strict=True))
+    params = [rng.normal(0, 1 / WIDTH, (len(used), WIDTH)).astype(np.float32), rng.normal(0, 1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
     for turn in range(ROUNDS):
         rate = RATE * (1 - turn / ROUNDS)
         order = rng.permutation(len(toxic))
         for chosen in np.array_split(order, max(1, len(order) // BATCH)):
-            slots = np.concatenate([bags[i][0] for i in chosen]).astype(np.int64)
+            slots = np.concatenate([bags[i][0] for i in chosen])
             shares = np.concatenate([bags[i][1] for i in chosen])
             owner = np.repeat(np.arange(len(chosen)), [len(bags[i][0]) for i in chosen])
             table, soft, bias = params
@@ -88,30 +178,33 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight:
             p[np.arange(len(chosen)), toxic[chosen]] -= 1
             p *= (weight[chosen] / weight[chosen].sum())[:, None]
             back = (p @ soft.T)[owner] * shares[:, None]
-            grads = [np.stack([np.bincount(slots, back[:, k], BUCKETS) for k in range(WIDTH)], axis=1) + DECAY * table, mean.T @ p, p.sum(axis=0)]
+            grads = [np.stack([np.bincount(slots, back[:, k], len(used)) for k in range(WIDTH)], axis=1) + DECAY * table, mean.T @ p, p.sum(axis=0)]
             step += 1
             for i, g in enumerate(grads):
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.99 * second[i] + 0.01 * g * g
                 params[i] = (params[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     table, soft, bias = params
-    return ToxicityModel((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    slopes = np.zeros(BUCKETS, np.float32)
+    slopes[used] = table @ (soft[:, 1] - soft[:, 0])
+    return ToxicityModel(slopes, float(bias[1] - bias[0]))
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        bags = [bag_of(t) for t in texts(batch.column(1))]
-        columns = [batch.column(0), pa.array([list(b) for b in bags], pa.list_(pa.int32())), pa.array([list(b.values()) for b in bags], pa.list_(pa.float32()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["toxic", "slots", "shares"])
+        bags = [bag_of(t) for t in texts(batch.column(2))]
+        columns = [*batch.columns[:2], pa.array([b.astype(np.int32) for b, _ in bags], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for _, w in bags], pa.list_(pa.float32()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "slots", "shares"])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, max_entries: int = MAX_ENTRIES) -> ToxicityModel:
     """A model fitted on the labelled rows whose crc32(doc_id) mod 5 isn't 0.
 
     Of each class about ``max_per_class`` documents are taken, chosen by a hash of their
-    id; their whole texts become bags in Spark's tasks, and only those bags reach the
-    driver. Rows without a label are left out; an id with several labels is toxic if one
-    says so.
+    id; their whole texts become bags in Spark's tasks. Of an id with several texts the
+    first in order is taken. The bags reach the driver, with ``max_entries`` entries
+    together at most: were there more, as many are left out, again by hash. Rows without a
+    label are left out; an id with several labels is toxic if one says so.
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("toxic").isin(0, 1) & (id_hash(F.col("doc_id")) % FOLDS != 0))
@@ -120,8 +213,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PE
     for label, n in sizes.items():
         parts = F.when(F.col("toxic") == label, math.ceil(1_000_003 * min(1.0, max_per_class / n))).otherwise(parts)
     chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < parts)
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # max_per_class rows of a class
-    rows = sample.select("toxic", "text").mapInArrow(_bags, "toxic int, slots array<int>, shares array<float>").toArrow()
+    sample = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # max_per_class rows of a class
+    one = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = durable(one.mapInArrow(_bags, f"doc_id {kind}, toxic int, slots array<int>, shares array<float>"), "toxicity-bags")
+    entries = made.agg(F.sum(F.size("slots"))).first()[0] or 0
+    fits = F.pmod(F.xxhash64(F.lit("entries"), "doc_id"), F.lit(1_000_003)) < math.ceil(1_000_003 * min(1.0, 0.9 * max_entries / max(1, entries)))
+    rows = (made if entries <= max_entries else made.filter(fits)).select("toxic", "slots", "shares").toArrow()
     toxic = np.array(rows["toxic"].to_pylist(), np.int64)
     slots, shares = ([c.values.to_numpy(zero_copy_only=False)[a:b] for c in rows[name].chunks for a, b in zip(c.offsets.to_pylist(), c.offsets.to_pylist()[1:], strict=False)] for name in ("slots", "shares"))
     seen = np.bincount(toxic, minlength=2)
@@ -131,22 +229,23 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PE
     return train([(slots[i], shares[i]) for i in order], toxic[order], weight[order])
 
 
+def _groups(group: list[str], most: int = PIECE_CHARS) -> Iterator[list[str]]:
+    """Texts in order, about ``most`` characters at a time; a longer text alone."""
+    own, size = [], 0
+    for text in group:
+        if own and size + len(text) > most:
+            yield own
+            own, size = [], 0
+        own.append(text)
+        size += len(text)
+    if own:
+        yield own
+
+
 def _scored(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
-    known: dict[str, float] = {}
     for batch in slices(batches):
-        scores = np.full(batch.num_rows, model.offset)
-        for i, text in enumerate(texts(batch.column(2))):
-            words = words_of(text)
-            if words:
-                found = list(map(known.get, words))
-                if None in found:
-                    if len(known) > MEMO_WORDS:
-                        known.clear()
-                    fresh = {w: model.word_score(w) for w in {w for w, s in zip(words, found, strict=True) if s is None}}
-                    known.update((w, s) for w, s in fresh.items() if len(w) <= MEMO_CHARS)
-                    found = [s if s is not None else fresh[w] for w, s in zip(words, found, strict=True)]
-                scores[i] += math.fsum(found) / len(found)
-        scores = 1 / (1 + np.exp(-np.clip(scores, -500, 500)))
+        odds = [model.log_odds(g) for g in _groups(texts(batch.column(2)))]
+        scores = 1 / (1 + np.exp(-np.clip(np.concatenate([np.zeros(0), *odds]), -500, 500)))
         columns = [*batch.columns[:2], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 

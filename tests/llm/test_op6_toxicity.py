@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from edgeloom.llm import toxicity
@@ -51,11 +52,73 @@ def test_held_out_labels_are_never_learned(scored, spark):
     assert sorted((r["doc_id"] or -1, r["score"]) for r in again) == sorted((r["doc_id"] or -1, r["score"]) for r in rows)
 
 
+def plain_words(text):
+    """Words with the sum of their subwords' slopes and their number, character by character."""
+    found, word = [], ""
+    for c in text.lower() + " ":
+        if c == "\0" or c in toxicity._BETWEEN:
+            found += [word] * bool(word)
+            word = ""
+        else:
+            word += c
+    return found
+
+
+def bucket(codes):
+    h = 0
+    for c in codes:
+        h = (h * int(toxicity._FACTOR) + c) % (1 << 64)
+    return (((h ^ h >> 29) * int(toxicity._SPREAD)) % (1 << 64)) >> (64 - toxicity.BUCKET_BITS)
+
+
+def test_subwords_equal_a_plain_version():
+    rng = random.Random(8)
+    slopes = np.random.default_rng(1).normal(size=toxicity.BUCKETS).astype(np.float32)
+    for text in ("", "...", "a", "Idiot!", "foo-bar  BAZ\n\u00e9t\u00e9 \U0001f600x", " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(50))):
+        words, own = plain_words(text), toxicity.words_of(text)
+        total, many = own.sums(slopes)
+        assert len(total) == len(words)
+        for word, t, n, whole in zip(words, total, many, own.whole, strict=True):
+            marked = [0, *map(ord, word), 0]
+            grams = [marked[i : i + k] for k in toxicity.GRAMS for i in range(len(marked) - k + 1)]
+            assert n == len(grams) + 1
+            assert abs(t - sum(float(slopes[bucket(g)]) for g in grams) - slopes[whole]) < 1e-4
+        assert [a == b for a in words for b in words] == [a == b for a in own.whole for b in own.whole]
+        slots, shares = toxicity.bag_of(text)
+        model = toxicity.ToxicityModel(slopes, 0.5)
+        expected = 0.5 + float((slopes[slots] * shares).sum())
+        assert abs(model.log_odds([text])[0] - expected) < 1e-4
+    group = ["a bad one", "", "x", "\u0130stanbul river", "..."]
+    assert np.allclose(model.log_odds(group), [model.log_odds([t])[0] for t in group])
+
+
+def test_pieces_lose_no_character(monkeypatch):
+    text = " ".join(["word"] * 300) + "x" * 500 + " end"
+    assert "".join(toxicity.pieces(text, 100)) == text
+    slopes = np.random.default_rng(1).normal(size=toxicity.BUCKETS).astype(np.float32)
+    whole = toxicity.ToxicityModel(slopes, 0.0).log_odds(["river stone " * 500])
+    monkeypatch.setattr(toxicity, "PIECE_CHARS", 1000)
+    assert np.allclose(whole, toxicity.ToxicityModel(slopes, 0.0).log_odds(["river stone " * 500]))
+
+
 def test_a_long_word_counts_to_its_end(spark):
-    run = "-".join(["quiet", "river"] * 10)
-    assert len(run) > 100
-    slopes = toxicity.np.zeros(toxicity.BUCKETS, toxicity.np.float32)
-    slopes[toxicity.zlib.crc32(b"umba") % toxicity.BUCKETS] = 500
-    df = spark.createDataFrame([(1, run + "-scumbag"), (2, run + "-gardens")], "doc_id long, text string")
+    run = "quietriver" * 300
+    slopes = np.zeros(toxicity.BUCKETS, np.float32)
+    slopes[bucket(map(ord, "umba"))] = 5000
+    df = spark.createDataFrame([(1, run + "scumbag"), (2, run + "gardens")], "doc_id long, text string")
     found = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df, toxicity.ToxicityModel(slopes, -1.0)).collect()}
     assert found[1] > found[2]
+
+
+def test_fitting_is_bounded_by_ids_and_entries(spark):
+    rows = [(i, f"river word{i} stone") for i in range(200)] + [(7, f"again {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    seen = []
+    original, toxicity.train = toxicity.train, lambda bags, toxic, weight: seen.append(bags) or original(bags, toxic, weight)
+    try:
+        toxicity.fit_toxicity(docs, labels)
+        toxicity.fit_toxicity(docs, labels, max_entries=1000)
+    finally:
+        toxicity.train = original
+    assert len(seen[0]) < 200 and 0 < sum(len(b) for b, _ in seen[1]) <= 1000
