@@ -2,42 +2,19 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm.common import documents, slices, texts
+from edgeloom.llm.licence_texts import TEMPLATES
 
-#: Short notices and statements of well-known licences, by SPDX name.
-TEMPLATES = {
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
-    ],
-    "MIT": [
-        "Released under the MIT License.",
-        "This project is licensed under the MIT License.",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
-    ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "BSD-3-Clause": [
-        "Use of this source code is governed by a BSD-style license.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    ],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "All-Rights-Reserved": ["All rights reserved."],
-}
 LEAST_DICE = 0.8
 _WORD = re.compile(r"[^\W_]+")
 
@@ -47,88 +24,105 @@ def normalised(text: str) -> list[str]:
     return _WORD.findall(text.lower().replace("licence", "license"))
 
 
-def bigrams(words: list[str]) -> frozenset[tuple[str, ...]]:
-    """Distinct pairs of neighbours; a single word stands for itself."""
-    return frozenset(zip(words, words[1:], strict=False)) if len(words) > 1 else frozenset([tuple(words)] if words else [])
+def bigrams(words: list[str]) -> frozenset[tuple[str, str]]:
+    """Distinct pairs of neighbours."""
+    return frozenset(zip(words, words[1:], strict=False))
 
 
 class LicenceIndex:
-    """Templates by number of bigrams, and by bigram.
+    """Templates by the bigrams that they hold, with the sizes that a passage can have to match one.
 
-    Dice, 2c / (a + b) for c common bigrams among a and b, can reach t only if a lies
-    between b t / (2 - t) and b (2 - t) / t: sizes outside prune a template before any
-    comparison. A template that shares no bigram isn't looked at either.
+    Dice, 2c / (a + b) for c common bigrams among a and b distinct ones, can reach t only
+    if a lies between b t / (2 - t) and b (2 - t) / t, and then c is b t / (2 - t) or
+    more: these bounds prune a template before any comparison.
     """
 
     def __init__(self, templates: dict[str, list[str]] = TEMPLATES, least: float = LEAST_DICE):
         self.least = least
-        self.grams = [(name, bigrams(normalised(t))) for name, forms in templates.items() for t in forms]
-        self.holding: dict[tuple[str, ...], list[int]] = defaultdict(list)
-        for i, (_, grams) in enumerate(self.grams):
+        self.forms = [(name, grams) for name, forms in sorted(templates.items()) for t in forms if (grams := bigrams(normalised(t)))]
+        self.holding: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for i, (_, grams) in enumerate(self.forms):
             for g in grams:
                 self.holding[g].append(i)
-        sizes = [len(g) for _, g in self.grams]
-        self.smallest, self.largest = self._bounds(min(sizes))[0], self._bounds(max(sizes))[1]
-
-    def _bounds(self, size: int) -> tuple[float, float]:
-        """Least and largest number of bigrams that can reach the threshold with a template of ``size``."""
-        return size * self.least / (2 - self.least) - 1e-9, size * (2 - self.least) / self.least + 1e-9
-
-    def _own(self, words: list[str]) -> frozenset[tuple[str, ...]] | None:
-        """Distinct bigrams, or None as soon as there are too many for any template."""
-        if len(words) <= self.largest:
-            return bigrams(words)
-        own: set[tuple[str, ...]] = set()
-        for start in range(0, len(words) - 1, 64):
-            own.update(zip(words[start : start + 64], words[start + 1 : start + 65], strict=False))
-            if len(own) > self.largest:
-                return None
-        return frozenset(own)
-
-    def best(self, words: list[str]) -> tuple[str, float] | None:
-        """Name and Dice of the nearest template at ``least`` or more; ties by name."""
-        if len(words) - 1 < self.smallest and len(words) != 1:
-            return None
-        own = self._own(words)
-        if own is None or not self.smallest <= len(own) <= self.largest or own.isdisjoint(self.holding):
-            return None
-        common: dict[int, int] = defaultdict(int)
-        for g in own:
-            for i in self.holding.get(g, ()):
-                common[i] += 1
+        self.fewest = [math.ceil(len(g) * least / (2 - least) - 1e-9) for _, g in self.forms]
+        self.most = [math.floor(len(g) * (2 - least) / least + 1e-9) for _, g in self.forms]
+
+    def _best_end(self, pairs: list[tuple[str, str]], start: int, hits: set[int], form: int) -> tuple[float, int]:
+        """The best Dice of the passages that begin at a place, and the last bigram of the first such; (0, start) if none is large enough."""
+        grams, most = self.forms[form][1], self.most[form]
+        seen: set[tuple[str, str]] = set()
+        common, best, end = 0, 0.0, start
+        for at in range(start, len(pairs)):
+            pair = pairs[at]
+            if pair not in seen:
+                seen.add(pair)
+                if len(seen) > most:
+                    break
+                common += pair in grams
+            elif at - start > 4 * most:
+                break
+            if at in hits and (dice := 2 * common / (len(seen) + len(grams))) > best + 1e-12:
+                best, end = dice, at
+        return best, end
+
+    def passages(self, words: list[str]) -> list[tuple[int, int, str, float]]:
+        """(first word, last word, name, Dice) of the passages of a text that match a template, none of which overlap.
+
+        A passage begins and ends with a bigram of the template. From the left, the first
+        place from which one matches is taken, moved on to the best place within it; the
+        next begins after its end. Of overlapping passages of several templates the one
+        with most common bigrams stays, then that of higher Dice, then by name.
+        """
+        pairs = list(zip(words, words[1:], strict=False))
+        placed: dict[int, list[int]] = defaultdict(list)
+        for at, forms in enumerate(map(self.holding.get, pairs)):
+            if forms:
+                for i in forms:
+                    placed[i].append(at)
         found = []
-        for i, c in common.items():
-            name, grams = self.grams[i]
-            low, high = self._bounds(len(grams))
-            if low <= len(own) <= high:
-                found.append((-2 * c / (len(own) + len(grams)), name))
-        best = min(found, default=None)
-        return (best[1], -best[0]) if best and -best[0] >= self.least else None
+        for form, places in placed.items():
+            need, most, hits, grams = self.fewest[form], 4 * self.most[form], set(places), self.forms[form][1]
+            if len(places) < need:
+                continue
+            k = 0
+            while k + need <= len(places):
+                start = places[k]
+                if places[k + need - 1] - start > most:
+                    k += 1
+                    continue
+                dice, end = self._best_end(pairs, start, hits, form)
+                if dice < self.least - 1e-12:
+                    k += 1
+                    continue
+                for later in places[k + 1 : bisect_right(places, start + max(2, len(grams) // 4))]:
+                    other, at = self._best_end(pairs, later, hits, form)
+                    if other > dice + 1e-12:
+                        start, dice, end = later, other, at
+                common = round(dice * (len(set(pairs[start : end + 1])) + len(grams)) / 2)
+                found.append((-common, -dice, self.forms[form][0], start, end + 1))
+                k = bisect_right(places, end)
+        # of overlapping passages the best stay: later ones can only be hidden by words that are taken
+        taken: set[int] = set()
+        kept = []
+        for _, dice, name, first, last in sorted(found):
+            if taken.isdisjoint(range(first, last + 1)):
+                taken.update(range(first, last + 1))
+                kept.append((first, last, name, -dice))
+        return sorted(kept)
 
     def scan(self, text: str) -> list[tuple[int, str, float]]:
-        """(place, name, Dice) of the licences in a text: its lines, its paragraphs, and the whole.
-
-        Place is the number of the first line. A paragraph or the whole counts where it
-        holds several lines and names a licence that none of its lines does.
-        """
-        found: dict[tuple[int, str], float] = {}
-        paragraph: list[list[str]] = []
-        start, lines = 0, [normalised(line) for line in text.split("\n")]
-        for at, words in enumerate([*lines, []]):
-            if words:
-                if not paragraph:
-                    start = at
-                if hit := self.best(words):
-                    found[at, hit[0]] = hit[1]
-                paragraph.append(words)
-            else:
-                if len(paragraph) > 1 and (hit := self.best(list(chain(*paragraph)))) and not any(n == hit[0] and start <= p < at for p, n in found):
-                    found[start, hit[0]] = hit[1]
-                paragraph = []
-        full = [words for words in lines if words]
-        if len(full) > 1 and (whole := self.best(list(chain(*full)))) and not any(n == whole[0] for _, n in found):
-            found[0, whole[0]] = whole[1]
-        return sorted((p, n, d) for (p, n), d in found.items())
+        """(line, name, Dice) of the licence passages in a text, whose first word stands on that line."""
+        found = self.passages(normalised(text))
+        if not found:
+            return []
+        lines, line, done, at = [], 0, 0, 0
+        for i, word in enumerate(_WORD.finditer(text.lower().replace("licence", "license"))):
+            if at < len(found) and found[at][0] == i:
+                line += word.string.count("\n", done, word.start())
+                done = word.start()
+                lines.append((line, found[at][2], found[at][3]))
+                at += 1
+        return lines
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,10 +136,10 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``licences`` (line, licence, dice) of every whole text.
 
-    A null text counts as empty and, like it, has none; a null id is returned as null.
-    Repeated rows give repeated results, an empty table an empty one. Other columns
-    aren't read. Passages of any length are looked at; the size bounds alone pass over
-    those with too many or too few bigrams for every template.
+    Passages of any place and length are found, whether they fill lines or not; those of
+    equal evidence go by Dice, then by licence name. A null text counts as empty and, like
+    it, has none; a null id is returned as null. Repeated rows give repeated results, an
+    empty table an empty one. Other columns aren't read.
     """
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
