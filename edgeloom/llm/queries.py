@@ -13,7 +13,7 @@ from edgeloom.llm.licences import op7_licences
 from edgeloom.llm.mixing import OP5_SQL, op5_mix_sources
 from edgeloom.llm.pii import op1_personal_data
 from edgeloom.llm.quality import op3_quality_rules
-from edgeloom.llm.rp_forest import op4_nearest_vectors
+from edgeloom.llm.rp_forest import OP4_SQL, op4_nearest_vectors
 from edgeloom.llm.simhash import op10_near_duplicates
 from edgeloom.llm.toxicity import op6_toxicity
 
@@ -31,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_nearest_vectors": OP4_SQL,
     "op5_mix_sources": OP5_SQL,
 }

@@ -20,8 +20,8 @@ QUERY_STEP = 20
 TREES, LEAF_ROWS, SEED = 8, 256, 42
 #: Rows that the trees are fitted on at most; all rows are indexed.
 MAX_SAMPLE = 40_000
-#: Leaves that a query visits over all trees together: this share of them, and ``LEAST_VISITS`` if that is more.
-VISIT_SHARE, LEAST_VISITS = 0.1, 200
+#: Leaves that a query visits over all trees together: the share of them that brings ``RECALL`` of the neighbours of ``TRIALS`` sample points, and ``LEAST_VISITS`` if that is more.
+RECALL, TRIALS, LEAST_VISITS = 0.97, 48, 200
 #: Rows of one leaf, and queries that visit one leaf, that meet in one task; larger leaves are dealt in blocks.
 BLOCK_ROWS, BLOCK_QUERIES = 8_192, 2_048
 #: Visits that a task writes at once.
@@ -45,13 +45,13 @@ class Forest:
                 node[:, t] = 2 * node[:, t] + (margin > 0)
         return node
 
-    def most_visits(self) -> int:
-        """Leaves that a query visits: their number follows that of the leaves, so that recall holds as rows grow."""
-        return max(LEAST_VISITS, math.ceil(VISIT_SHARE * (len(self.planes) << self.depth)))
+    @property
+    def size(self) -> int:
+        """Leaves of all trees."""
+        return len(self.planes) << self.depth
 
-    def visits(self, point: np.ndarray, most: int | None = None) -> list[tuple[int, int]]:
+    def visits(self, point: np.ndarray, most: int) -> list[tuple[int, int]]:
         """The most promising (tree, leaf) pairs: all trees share a queue ordered by the least margin on the way."""
-        most = self.most_visits() if most is None else most
         margins = self.planes @ point - self.cuts
         queue = [(-math.inf, t, 1) for t in range(len(self.planes))]
         found: list[tuple[int, int]] = []
@@ -110,6 +110,32 @@ def lifted(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.column_stack([scaled, rest]).astype(np.float32)
 
 
+def visits_needed(forest: Forest, sample: np.ndarray, longest: float, k: int, recall: float = RECALL, trials: int = TRIALS) -> int:
+    """Leaves that a query must visit so that this share of its neighbours lies in one of them.
+
+    Measured on the sample: of some of its points the ``k`` nearest of the sample are
+    found by looking at all, and how many visits it takes until each lies in a visited
+    leaf. As a share of all leaves this holds on the whole table, whose nearest are nearer
+    than the sample's. So data with structure is searched in few leaves, data without any
+    in many, and recall doesn't depend on the number of rows.
+    """
+    if len(sample) <= k + 1 or forest.size <= LEAST_VISITS:
+        return forest.size
+    placed = forest.leaves(lifted(sample, longest))
+    taken: list[int] = []
+    for q in np.linspace(0, len(sample) - 1, min(trials, len(sample))).astype(int):
+        scores = sample @ sample[q]
+        scores[q] = -np.inf
+        nearest_rows = np.argpartition(-scores, k - 1)[:k]
+        direction = sample[q] / np.linalg.norm(sample[q])
+        turn = np.full((len(forest.planes), 1 << forest.depth), forest.size)
+        for i, (tree, leaf) in enumerate(forest.visits(np.append(direction, 0.0), forest.size)):
+            turn[tree, leaf - (1 << forest.depth)] = i
+        own = placed[nearest_rows] - (1 << forest.depth)
+        taken += turn[np.arange(len(forest.planes)), own].min(axis=1).tolist()
+    return max(LEAST_VISITS, sorted(taken)[math.ceil(recall * len(taken)) - 1] + 1)
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Rows of a column of float lists as a matrix."""
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
@@ -123,10 +149,10 @@ def _placed(batches: Iterator[pa.RecordBatch], forest: Forest, longest: float, w
             yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t), pa.int32()), pa.array(leaves[:, t].astype(np.int32)), *batch.columns], names=["tree", "leaf", "node", "vec"])
 
 
-def _visited(batches: Iterator[pa.RecordBatch], forest: Forest, width: int, most: int | None) -> Iterator[pa.RecordBatch]:
+def _visited(batches: Iterator[pa.RecordBatch], forest: Forest, width: int, most: int) -> Iterator[pa.RecordBatch]:
     """(tree, leaf, node, vec) of every leaf that a query visits."""
     for whole in batches:
-        step = max(1, VISIT_ROWS // (most or forest.most_visits()))
+        step = max(1, VISIT_ROWS // most)
         for start in range(0, whole.num_rows, step):
             batch = whole.slice(start, step)
             points = _matrix(batch.column(1), width)
@@ -149,10 +175,15 @@ def _best(key: tuple, rows: pa.Table, width: int, most: int) -> pa.Table:
     ids, points = ids[order], points[order]
     names, asked, found = queries["node"].to_numpy(), _matrix(queries["vec"].combine_chunks(), width), []
     for start in range(0, len(names), 256):
-        scores = asked[start : start + 256] @ points.T
+        part = asked[start : start + 256]
+        scores = part @ points.T
         least = np.partition(scores, -most, axis=1)[:, -most, None] if len(ids) > most else np.full((len(scores), 1), -np.inf)
-        at, which = np.nonzero(scores >= least)
-        found.append((names[start + at], ids[which], scores[at, which]))
+        at, which = np.nonzero(scores >= least - 1e-9 * np.abs(least))
+        # products added one after the other: a pair has the same score wherever it meets, and equal ones stay equal
+        exact = np.zeros(len(at))
+        for left, right in zip(part.T, points.T, strict=True):
+            exact += left[at] * right[which]
+        found.append((names[start + at], ids[which], exact))
     return pa.table([np.concatenate(c) for c in zip(*found, strict=True)], schema=shape)
 
 
@@ -166,9 +197,9 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     other row of that vector can be among a query's ``k`` best, so a vector that a third
     of all rows share costs as much as any. Trees are fitted on at most ``max_sample``
     points, and every point is placed in every tree. A query visits ``visits`` leaves
-    over all trees (if None, a share of all leaves); leaves larger than ``BLOCK_ROWS`` and those visited by more than
-    ``BLOCK_QUERIES`` queries are dealt in blocks. With 4,096 points or fewer all leaves
-    are visited and the result is exact.
+    over all trees (if None, as many as ``visits_needed`` finds); leaves larger than
+    ``BLOCK_ROWS`` and those visited by more than ``BLOCK_QUERIES`` queries are dealt in
+    blocks. With 6,400 points or fewer all leaves are visited and the result is exact.
 
     Rows take no part whose id or vector is null, whose vector is zero, holds a null or a
     number that isn't finite, or has another length than most. Repeated rows count once.
@@ -193,13 +224,15 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     share = F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < math.ceil(min(1.0, max_sample / size["n"]) * 1_000_003)
     sample = points.filter(share).select("node", "vec").orderBy("node").toArrow()
     longest = size["longest"]
-    forest = fit_forest(lifted(_matrix(sample["vec"].combine_chunks(), width), longest) if sample.num_rows else np.zeros((0, width + 1), np.float32), size["n"], trees)
+    known = _matrix(sample["vec"].combine_chunks(), width) if sample.num_rows else np.zeros((0, width))
+    forest = fit_forest(lifted(known, longest) if sample.num_rows else np.zeros((0, width + 1), np.float32), size["n"], trees)
+    most = visits or visits_needed(forest, known, longest, k)
 
     asked = rows.filter(F.col("id") % query_step == 0).join(points.select("vec", "node"), "vec").select(F.col("id").alias("query_id"), "node")
     asked = durable(asked, "forest-asked")
     shape = "tree int, leaf int, node long, vec array<double>"
     index = points.select("node", "vec").mapInArrow(lambda b: _placed(b, forest, longest, width), shape)
-    queries = points.select("node", "vec").join(asked.select("node").distinct(), "node").select("node", "vec").mapInArrow(lambda b: _visited(b, forest, width, visits), shape)
+    queries = points.select("node", "vec").join(asked.select("node").distinct(), "node").select("node", "vec").mapInArrow(lambda b: _visited(b, forest, width, most), shape)
     cells = index.groupBy("tree", "leaf").agg(F.count("*").alias("n")).join(queries.groupBy("tree", "leaf").agg(F.count("*").alias("q")), ["tree", "leaf"])
     cells = durable(cells.select("tree", "leaf", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("n_blocks"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("q_blocks")), "forest-cells")
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -221,3 +254,18 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
 def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every query row, over the whole table."""
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All pairs: on the given tables every leaf is visited, so the search is exact there. Products are added in order, as the query adds them.
+OP4_SQL = """
+WITH vecs AS (
+  SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = (SELECT len(embedding) FROM embeddings WHERE embedding IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1)
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])), lambda a, b: a + b) AS score
+  FROM vecs q JOIN vecs c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 20
+"""
