@@ -19,9 +19,21 @@ from edgeloom.llm.quality import quality_rules
 from edgeloom.llm.simhash import one_of_each
 
 
+def neutral(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows under column names that no operator adds, and the new name of each column."""
+    names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that ``neutral`` renamed, under their own names."""
+    return df.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    plain, names = neutral(docs)
+    return restored(quality_rules(plain, names["text"], names["lang"]).filter("kept"), names)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +48,10 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source mix takes them."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
-    return repetitions(mix_sources(sized, size="_size"), "_size", docs.columns)
+    plain, names = neutral(docs)
+    sized = plain.withColumn("size", word_count(F.col(names["text"])))
+    mixed = mix_sources(sized, source=names["source"], doc_id=names["doc_id"])
+    return restored(repetitions(mixed, "size", list(names.values())), names)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
