@@ -203,8 +203,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PE
     Of each class about ``max_per_class`` documents are taken, chosen by a hash of their
     id; their whole texts become bags in Spark's tasks. Of an id with several texts the
     first in order is taken. The bags reach the driver, with ``max_entries`` entries
-    together at most: were there more, as many are left out, again by hash. Rows without a
-    label are left out; an id with several labels is toxic if one says so.
+    together at most: bags are taken in the order of a hash while there is room. Rows
+    without a label are left out; an id with several labels is toxic if one says so.
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.filter(F.col("toxic").isin(0, 1) & (id_hash(F.col("doc_id")) % FOLDS != 0))
@@ -217,9 +217,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PE
     one = sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = durable(one.mapInArrow(_bags, f"doc_id {kind}, toxic int, slots array<int>, shares array<float>"), "toxicity-bags")
-    entries = made.agg(F.sum(F.size("slots"))).first()[0] or 0
-    fits = F.pmod(F.xxhash64(F.lit("entries"), "doc_id"), F.lit(1_000_003)) < math.ceil(1_000_003 * min(1.0, 0.9 * max_entries / max(1, entries)))
-    rows = (made if entries <= max_entries else made.filter(fits)).select("toxic", "slots", "shares").toArrow()
+    order = F.xxhash64(F.lit("entries"), "doc_id")
+    room, last = max_entries, None
+    for row in made.select(order.alias("at"), F.size("slots").alias("n")).orderBy("at").collect():  # a row for each chosen id
+        if (room := room - row["n"]) < 0:
+            break
+        last = row["at"]
+    rows = made.filter(order <= F.lit(last)).select("toxic", "slots", "shares").toArrow()
     toxic = np.array(rows["toxic"].to_pylist(), np.int64)
     slots, shares = ([c.values.to_numpy(zero_copy_only=False)[a:b] for c in rows[name].chunks for a, b in zip(c.offsets.to_pylist(), c.offsets.to_pylist()[1:], strict=False)] for name in ("slots", "shares"))
     seen = np.bincount(toxic, minlength=2)
