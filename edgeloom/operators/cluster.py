@@ -6,14 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.operators.neighbours import nearest_points
 from edgeloom.storage import durable
 
 NOISE = -1
-#: Seeds that exact neighbour search compares every row with, at most; beyond it use an index.
-MAX_SEEDS = 20_000
 EPSILON = 1e-8
 
 
@@ -22,35 +21,31 @@ def exact_matches(rows: DataFrame, seeds: DataFrame, vector: str = "vector") ->
     return rows.join(seeds.select(vector).distinct(), vector, "left_semi")
 
 
-def near_matches(rows: DataFrame, seeds: DataFrame, key: Sequence[str], vector: str = "vector", epsilon: float = EPSILON) -> DataFrame:
+def near_matches(rows: DataFrame, seeds: DataFrame, vector: str = "vector", epsilon: float = EPSILON) -> DataFrame:
     """Rows within ``epsilon`` (Euclidean) of a seed.
 
-    Vectors that near have component sums within sqrt(width) * epsilon of each other, so
-    both sides are put into cells of that width along the sum, joined on neighbouring
-    cells, and compared in full.
+    Vectors that near have component sums, and sums of alternating sign, within
+    sqrt(width) * epsilon of each other, so both sides are put into cells of that width
+    along both, joined on neighbouring cells, and compared in full. Equal seeds count once.
     """
-    total = F.aggregate(vector, F.lit(0.0), lambda a, x: a + x)
-    cell = F.floor(total / (F.lit(epsilon) * F.sqrt(F.greatest(F.size(vector), F.lit(1)))))
-    ours = rows.withColumn("_cell", cell)
-    theirs = seeds.select(F.col(vector).alias("_seed")).distinct().withColumn("_c", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: d + F.floor(F.aggregate("_seed", F.lit(0.0), lambda a, x: a + x) / (F.lit(epsilon) * F.sqrt(F.greatest(F.size("_seed"), F.lit(1))))))))
-    gap = F.aggregate(F.zip_with(F.col(vector), F.col("_seed"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    return ours.join(theirs, (F.col("_cell") == F.col("_c")) & (gap <= F.lit(epsilon) ** 2), "left_semi").drop("_cell")
+    wide = F.lit(epsilon) * F.sqrt(F.greatest(F.size(vector), F.lit(1)))
+
+    def cell(of: str, sign: int) -> Column:
+        signed = F.transform(of, lambda x, i: x * F.when(i % 2 == 1, F.lit(float(sign))).otherwise(F.lit(1.0)))
+        return F.floor(F.aggregate(signed, F.lit(0.0), lambda a, x: a + x) / wide)
 
+    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    ours = rows.withColumns({"_cell": cell(vector, 1), "_other": cell(vector, -1)})
+    theirs = seeds.select(vector).distinct().withColumn("_c", F.explode(F.transform(near, lambda d: d + cell(vector, 1)))).withColumn("_o", F.explode(F.transform(near, lambda d: d + cell(vector, -1))))
+    theirs = theirs.withColumnRenamed(vector, "_seed")
+    gap = F.aggregate(F.zip_with(F.col(vector), F.col("_seed"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+    return ours.join(theirs, (F.col("_cell") == F.col("_c")) & (F.col("_other") == F.col("_o")) & (gap <= F.lit(epsilon) ** 2), "left_semi").drop("_cell", "_other")
 
-def seed_neighbours(rows: DataFrame, seeds: DataFrame, key: Sequence[str], k: int, vector: str = "vector", label: str = "label", most_seeds: int = MAX_SEEDS) -> DataFrame:
-    """The ``k`` nearest seeds of every row: key, ``place``, ``seed_label``, ``distance``.
 
-    Exact: every row is compared with every seed, which is refused beyond ``most_seeds``;
-    seeds are a stated, checked set, and only its size times the rows is computed.
-    """
-    n = seeds.count()
-    if n > most_seeds:
-        raise ValueError(f"{n} seeds; exact search takes {most_seeds} at most")
-    known = seeds.select(F.col(vector).alias("_seed"), F.col(label).alias("seed_label"), F.xxhash64(vector, label).alias("_tie"))
-    gap = F.sqrt(F.aggregate(F.zip_with(F.col(vector), F.col("_seed"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x))
-    pairs = rows.select(*key, vector).crossJoin(F.broadcast(known)).select(*key, "seed_label", "_tie", gap.alias("distance"))
-    place = F.row_number().over(Window.partitionBy(*key).orderBy("distance", "seed_label", "_tie"))
-    return pairs.withColumn("place", place).filter(F.col("place") <= k).drop("_tie")
+def seed_neighbours(rows: DataFrame, seeds: DataFrame, key: Sequence[str], k: int, vector: str = "vector", label: str = "label") -> DataFrame:
+    """The ``k`` nearest seeds of every row: key, ``place``, ``seed_label``, ``distance``; equal distances go by label, null first. Exact, for any number of seeds."""
+    known = seeds.select(F.col(vector), F.col(label).alias("label"))
+    return nearest_points(rows, known, key, k, vector, order=["label"], columns=["label"])
 
 
 def nearest_seed_label(rows: DataFrame, seeds: DataFrame, key: Sequence[str], vector: str = "vector", label: str = "label") -> DataFrame:
@@ -80,7 +75,7 @@ def dense_groups(rows: DataFrame, vector: str = "vector", min_size: int = 5) ->
     hash of the vector, so it doesn't depend on the other rows.
     """
     groups = rows.groupBy(vector).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_size)
-    marked = groups.select(F.col(vector).alias("_g"), F.abs(F.xxhash64(vector)).alias("_id"))
+    marked = groups.select(F.col(vector).alias("_g"), F.xxhash64(vector).bitwiseAND(F.lit((1 << 63) - 1)).alias("_id"))
     return rows.join(marked, F.col(vector) == F.col("_g"), "left").withColumn("cluster_id", F.coalesce("_id", F.lit(NOISE))).drop("_g", "_id")
 
 
@@ -133,3 +128,20 @@ def flat_pipeline(rows: DataFrame, key: Sequence[str], vector: str = "vector", l
     truths = clustered.filter(F.col(is_seed) & (F.col(label) == 1))
     matched = exact_matches(clustered.filter(F.col("cluster_id") == NOISE), truths, vector).select(*key).withColumn("predicted_label", F.lit(1))
     return assign_labels(clustered, seed_vote(clustered, true_only, label, is_seed), key, matched)
+
+
+def program_pipeline(rows: DataFrame, key: Sequence[str], program: str = "program", least: int = 5, vector: str = "vector", label: str = "label", is_seed: str = "is_seed", min_size: int = 5, true_only: bool = False) -> DataFrame:
+    """``flat_pipeline`` for each program by itself: groups, votes and matches never cross programs; programs of fewer than ``least`` rows are left out.
+
+    All programs in one job: the program is part of a group's identity, so one with most
+    of the rows is dealt by its vectors like any other.
+    """
+    sizes = rows.groupBy(program).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= least).select(F.col(program).alias("_program"))
+    kept = rows.join(sizes, F.col(program).eqNullSafe(F.col("_program")), "left_semi")
+    counts = kept.groupBy(F.col(program).alias("_p"), F.col(vector).alias("_g")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_size)
+    marked = counts.select("_p", "_g", F.xxhash64("_p", "_g").bitwiseAND(F.lit((1 << 63) - 1)).alias("_id"))
+    clustered = kept.join(marked, F.col(program).eqNullSafe(F.col("_p")) & (F.col(vector) == F.col("_g")), "left").withColumn("cluster_id", F.coalesce("_id", F.lit(NOISE))).drop("_p", "_g", "_id")
+    clustered = durable(clustered, "program-clusters")
+    truths = clustered.filter(F.col(is_seed) & (F.col(label) == 1)).select(F.col(program).alias("_p"), F.col(vector).alias("_g")).distinct()
+    matched = clustered.filter(F.col("cluster_id") == NOISE).join(truths, F.col(program).eqNullSafe(F.col("_p")) & (F.col(vector) == F.col("_g")), "left_semi")
+    return assign_labels(clustered, seed_vote(clustered, true_only, label, is_seed), key, matched.select(*key).withColumn("predicted_label", F.lit(1)))

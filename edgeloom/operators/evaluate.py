@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from edgeloom.operators.ranks import ordered_rank, quantiles
 from edgeloom.operators.sets import PROGRAM_KEY, flagged_union, keep_in
 
 
@@ -114,18 +115,17 @@ def roll_up_metrics(metrics: DataFrame, means: Sequence[str], sums: Sequence[str
     return metrics.groupBy(*by).agg(*[F.round(F.avg(c), 2).alias(c) for c in means], *[F.sum(c).alias(c) for c in sums])
 
 
-def error_buckets(predictions: DataFrame, by: Sequence[str] = ("program",), truth: str = "true_label", predicted: str = "predicted_label", confidence: str = "confidence") -> DataFrame:
-    """``bucket`` and ``place``: FN by rising, FP by falling, TP by falling, TN by rising confidence within each group and bucket."""
+def error_buckets(predictions: DataFrame, by: Sequence[str] = ("program",), truth: str = "true_label", predicted: str = "predicted_label", confidence: str = "confidence", key: Sequence[str] = PROGRAM_KEY) -> DataFrame:
+    """``bucket``, ``sort_key`` and ``place``: FN by rising, FP by falling, TP by falling, TN by rising confidence within each group and bucket; ties by the key."""
     bucket = F.when((F.col(truth) == 1) & (F.col(predicted) == 0), "FN").when((F.col(truth) == 0) & (F.col(predicted) == 1), "FP").when((F.col(truth) == 1) & (F.col(predicted) == 1), "TP").when((F.col(truth) == 0) & (F.col(predicted) == 0), "TN")
     signed = F.when(F.col("bucket").isin("FN", "TN"), F.col(confidence)).otherwise(-F.col(confidence))
     named = predictions.withColumn("bucket", bucket).filter("bucket is not null").withColumn("sort_key", signed)
-    return named.repartition(*[F.col(c) for c in by], "bucket", "method", "offset", "target").sortWithinPartitions(*by, "bucket", "sort_key", "method", "offset", "target")
+    return ordered_rank(named, [*by, "bucket"], [F.col("sort_key"), *[F.col(c) for c in key if c not in by]])
 
 
 def confidence_by_error(predictions: DataFrame, by: Sequence[str], error: str = "error_type", confidence: str = "confidence") -> DataFrame:
-    """Count and quartiles of the confidence of each kind of error."""
-    q = lambda p: F.percentile(confidence, F.lit(p))
-    return predictions.groupBy(*by, error).agg(F.count("*").alias("n"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"))
+    """Count and quartiles of the confidence of each kind of error, exact; nulls don't count."""
+    return quantiles(predictions, confidence, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [*by, error])
 
 
 def leader_board(metrics: DataFrame, least_gt_f1: float = 0.7, n: int = 20, name: str = "file_name") -> DataFrame:

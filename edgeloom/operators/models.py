@@ -7,10 +7,13 @@ from collections.abc import Callable, Sequence
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from edgeloom.operators.cluster import label_clusters, two_means
+from edgeloom.operators.neighbours import nearest_points
+from edgeloom.operators.ranks import quantiles
+from edgeloom.operators.sampling import hash_rank
 
 KEEP_AT = 0.45
 
@@ -65,7 +68,7 @@ def one_class(true_rows: DataFrame, rows: DataFrame, vector: str = "vector", nu:
     scaler = StandardScaler(inputCol="_p", outputCol="_s", withMean=True, withStd=True).fit(inner(true_rows))
     far = F.sqrt(F.aggregate(vector_to_array("_s"), F.lit(0.0), lambda a, x: a + x * x))
     measured = lambda df: scaler.transform(inner(df)).withColumn("_d", far).drop("_v", "_p", "_s")
-    cut = measured(true_rows).agg(F.percentile("_d", F.lit(1 - nu)).alias("c")).first()["c"]
+    cut = quantiles(measured(true_rows), "_d", {"cut": 1 - nu}).first()["cut"]
     return measured(rows).withColumns({"confidence": F.lit(cut) - F.col("_d"), "predicted_label": (F.col("_d") <= cut).cast("int")}).drop("_d")
 
 
@@ -87,29 +90,28 @@ def cluster_then_label(train: DataFrame, test: DataFrame, vector: str = "vector"
     return clustered.filter("not _train").join(named, "cluster_id", "left").withColumns({"predicted_label": F.coalesce("cluster_label", F.lit(0)), "confidence": F.lit(1.0)}).drop("_train", "cluster_label")
 
 
-def synthetic_minority(rows: DataFrame, key: Sequence[str], vector: str = "vector", label: str = "label", k: int = 3, seed: int = 42, most: int = 20_000) -> DataFrame:
-    """Minority rows and synthetic ones up to the majority's size: each lies between a minority row and one of its k nearest.
+def synthetic_minority(rows: DataFrame, key: Sequence[str], vector: str = "vector", label: str = "label", k: int = 3, seed: int = 42) -> DataFrame:
+    """Minority rows' synthetic companions up to the majority's size: each lies between a minority row and one of its k nearest.
 
-    Neighbours are exact within the minority, which is refused beyond ``most`` rows; that
-    class is compared with itself only. Draws are hashes, so reruns agree.
+    Draw i starts from the row whose hash rank is i modulo the class's size plus 1, and a
+    hash of i picks the neighbour and the place between them, so reruns agree. Neighbours
+    are exact within the minority, whatever its size; a row isn't its own neighbour. Null
+    vectors draw nothing.
     """
+    rows = rows.filter(F.col(vector).isNotNull())
     sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
     minor = min((0, 1), key=lambda c: (sizes.get(c, 0), -c))
     n, need = sizes.get(minor, 0), sizes.get(1 - minor, 0) - sizes.get(minor, 0)
-    if n > most:
-        raise ValueError(f"{n} minority rows; {most} at most")
-    own = rows.filter(F.col(label) == minor).select(*key, vector)
+    own = rows.filter(F.col(label) == minor).select(*key, F.col(vector).cast("array<double>").alias(vector))
     if n < 2 or need <= 0:
         return own.limit(0).select(F.lit(0).cast("long").alias("draw"), F.lit(minor).alias(label), vector)
-    tag = F.xxhash64(*key)
-    placed = own.withColumn("_i", F.row_number().over(Window.orderBy(tag, *key)))  # at most ``most`` rows
-    other = placed.select(F.col("_i").alias("_j"), F.col(vector).alias("_b"))
-    gap = F.aggregate(F.zip_with(F.col(vector), F.col("_b"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    pairs = placed.crossJoin(F.broadcast(other)).filter("_i <> _j").withColumn("_g", gap)
-    near = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("_i").orderBy("_g", "_j"))).filter(F.col("_r") <= k)
-    draws = rows.sparkSession.range(need).select(F.col("id").alias("draw"))
-    h = lambda salt: F.pmod(F.xxhash64("draw", F.lit(seed), F.lit(salt)), F.lit(1 << 30))
+    placed = hash_rank(own, key, seed, rank="start").select("start", F.col(vector).alias("vec"))
     kk = min(k, n - 1)
-    drawn = draws.withColumns({"_i": (F.col("draw") % n + 1).cast("int"), "_r": (h(1) % kk + 1).cast("int"), "_u": h(2) / float(1 << 30)})
-    mixed = F.transform(F.zip_with(F.col(vector), F.col("_b"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["a"] + F.col("_u") * (p["b"] - p["a"]))
-    return drawn.join(near, ["_i", "_r"]).select("draw", F.lit(minor).alias(label), mixed.alias(vector))
+    near = nearest_points(placed, placed, ["start"], kk + 1, "vec", order=["start"], columns=["start", "vec"], prefix="to_")
+    others = near.filter("start <> to_start").groupBy("start").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "to_vec"))), 1, kk).alias("near"))  # kk + 1 at most
+    h = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("draw").cast("string"), F.lit(str(seed)), F.lit(salt)).cast("binary")), 1, 7), 16, 10).cast("long")
+    draws = rows.sparkSession.range(need).select(F.col("id").alias("draw"))
+    drawn = draws.withColumns({"start": (F.col("draw") % n + 1).cast("long"), "_r": (h("near") % kk + 1).cast("int"), "_u": h("share") / float(1 << 28)})
+    both = drawn.join(placed.withColumn("start", F.col("start").cast("long")), "start").join(others.withColumn("start", F.col("start").cast("long")), "start").withColumn("_to", F.element_at("near", F.col("_r"))["to_vec"])
+    pairs = F.zip_with(F.col("vec"), F.col("_to"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return both.select("draw", F.lit(minor).alias(label), F.transform(pairs, lambda p: p["a"] + F.col("_u") * (p["b"] - p["a"])).alias(vector))

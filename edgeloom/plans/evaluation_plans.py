@@ -130,9 +130,10 @@ def eval_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 BUCKET_SQL = "CASE WHEN true_label = 1 AND predicted_label = 0 THEN 'FN' WHEN true_label = 0 AND predicted_label = 1 THEN 'FP' WHEN true_label = 1 AND predicted_label = 1 THEN 'TP' WHEN true_label = 0 AND predicted_label = 0 THEN 'TN' END"
 
 
-@query("eval_error_buckets", f"WITH {EDGE_SQL}, {PREDICTION_SQL}, b AS (SELECT {K}, config_id, confidence, {BUCKET_SQL} AS bucket FROM predictions) SELECT {K}, config_id, bucket, CASE WHEN bucket IN ('FN', 'TN') THEN confidence ELSE -confidence END AS sort_key FROM b WHERE bucket IS NOT NULL")
+@query("eval_error_buckets", f"WITH {EDGE_SQL}, {PREDICTION_SQL}, b AS (SELECT {K}, config_id, confidence, {BUCKET_SQL} AS bucket FROM predictions), s AS (SELECT {K}, config_id, bucket, CASE WHEN bucket IN ('FN', 'TN') THEN confidence ELSE -confidence END AS sort_key FROM b WHERE bucket IS NOT NULL) SELECT *, row_number() OVER (PARTITION BY program, bucket ORDER BY sort_key, method, \"offset\", target, config_id) AS place FROM s")
 def eval_error_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.error_buckets(predictions(spark, sf_dir)).select("program", "method", "offset", "target", "config_id", "bucket", "sort_key")
+    key = ["method", "offset", "target", "config_id"]
+    return evaluate.error_buckets(predictions(spark, sf_dir), key=key).select("program", *key, "bucket", "sort_key", "place")
 
 
 @query("eval_confidence_by_error", f"WITH {EDGE_SQL}, {PREDICTION_SQL}, b AS (SELECT program, confidence, {BUCKET_SQL} AS error_type FROM predictions) SELECT program, error_type, count(*) AS n, quantile_cont(confidence, 0.25) AS q1, quantile_cont(confidence, 0.5) AS median, quantile_cont(confidence, 0.75) AS q3 FROM b WHERE error_type IN ('FN', 'FP') GROUP BY ALL")

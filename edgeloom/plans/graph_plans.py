@@ -64,18 +64,18 @@ def graph_without_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.degrees(graph.collapse(kept, GRAPH), GRAPH)
 
 
-WALK_SQL = """links AS (SELECT 's/' || l_suppkey AS method, 'p/' || l_partkey AS target FROM lineitem WHERE l_returnflag = 'A' AND l_quantity = 1
-    UNION SELECT 'p/' || l_partkey, 's/' || l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 2),
+WALK_SQL = """links AS (SELECT 's/' || l_suppkey AS method, 'p/' || l_partkey AS target FROM lineitem WHERE l_returnflag <> 'N'
+    UNION SELECT 'p/' || l_partkey, 's/' || l_suppkey FROM lineitem WHERE l_returnflag = 'N'),
   starts AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM links WHERE 's/0' IN (method, target)) THEN 's/0' ELSE 's/1' END AS node),
-  walk AS (SELECT node, 0 AS depth FROM starts UNION SELECT l.target, w.depth + 1 FROM walk w JOIN links l ON l.method = w.node WHERE w.depth < 40)"""
+  walk AS (SELECT node, 0 AS depth FROM starts UNION SELECT l.target, w.depth + 1 FROM walk w JOIN links l ON l.method = w.node WHERE w.depth < 12)"""
 
 
 def walk_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem")
     s, p = (F.concat(F.lit(c), F.col(n).cast("string")) for c, n in (("s/", "l_suppkey"), ("p/", "l_partkey")))
     order = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_order")
-    there = line.filter("l_returnflag = 'A' and l_quantity = 1").select(s.alias("method"), F.col("l_linenumber").cast("long").alias("offset"), p.alias("target"), order)
-    back = line.filter("l_returnflag = 'R' and l_quantity = 2").select(p.alias("method"), F.col("l_linenumber").cast("long").alias("offset"), s.alias("target"), order)
+    there = line.filter("l_returnflag <> 'N'").select(s.alias("method"), F.col("l_linenumber").cast("long").alias("offset"), p.alias("target"), order)
+    back = line.filter("l_returnflag = 'N'").select(p.alias("method"), F.col("l_linenumber").cast("long").alias("offset"), s.alias("target"), order)
     return there.union(back).withColumn("graph_id", F.lit("g"))
 
 

@@ -95,17 +95,17 @@ def label_false_for_config(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "label_transitive_closure",
-    """WITH RECURSIVE base AS (SELECT DISTINCT 's' || l_suppkey AS "left", 'p' || l_partkey AS "right" FROM lineitem WHERE l_returnflag = 'A' AND l_quantity = 1
-      UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 2),
+    """WITH RECURSIVE base AS (SELECT 'o' || o_orderkey AS "left", 'c' || o_custkey AS "right" FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
+      UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
     walk AS (SELECT * FROM base UNION SELECT w."left", b."right" FROM walk w JOIN base b ON w."right" = b."left")
     SELECT "left", "right" FROM walk WHERE "left" <> "right" """,
 )
 def label_transitive_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
-    s, p = (F.concat(F.lit(c), F.col(n).cast("string")) for c, n in (("s", "l_suppkey"), ("p", "l_partkey")))
-    there = line.filter("l_returnflag = 'A' and l_quantity = 1").select(s.alias("left"), p.alias("right"))
-    back = line.filter("l_returnflag = 'R' and l_quantity = 2").select(p.alias("left"), s.alias("right"))
-    return configs.transitive_closure(there.union(back).distinct())
+    """What every order, customer, supplier and nation belongs to, directly or not."""
+    named = lambda t, a, left, b, right: table(spark, sf_dir, t).select(F.concat(F.lit(a), F.col(left).cast("string")).alias("left"), F.concat(F.lit(b), F.col(right).cast("string")).alias("right"))
+    links = named("orders", "o", "o_orderkey", "c", "o_custkey").union(named("customer", "c", "c_custkey", "n", "c_nationkey"))
+    links = links.union(named("supplier", "s", "s_suppkey", "n", "s_nationkey")).union(named("nation", "n", "n_nationkey", "r", "n_regionkey"))
+    return configs.transitive_closure(links.distinct())
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.operators import cluster, evaluate, features, graph, models, sampling
@@ -14,6 +14,8 @@ from edgeloom.plans.text_plans import _coded
 from edgeloom.plans.views import EDGE_SQL, raw_edges, table, total_edges, true_edges
 
 KEY = ["vec_id"]
+#: Distance at which two vectors of the table count as near.
+NEAR = 0.9
 
 
 def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,13 +28,18 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 INSTANCE_SQL = "inst AS (SELECT vec_id, e.label AS program, CAST(embedding AS double[]) AS vector, coalesce(l.quality, -1) AS label FROM embeddings e LEFT JOIN labels l ON l.doc_id = e.vec_id)"
 
 
+def block_sums() -> list[Column]:
+    """Sums of the four quarters of a vector of 64 components."""
+    return [F.aggregate(F.slice("vector", 16 * i + 1, 16), F.lit(0.0), lambda a, x: a + x) for i in range(4)]
+
+
 def coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Instances with short vectors of signs, so that many are equal."""
-    signs = F.transform(F.slice("vector", 1, 4), lambda x: F.when(x > 0, 1.0).otherwise(0.0))
+    """Instances with vectors of the signs of four sums over all components, so that many are equal."""
+    signs = F.array(*[F.when(x > 0, 1.0).otherwise(0.0) for x in block_sums()])
     return instances(spark, sf_dir).withColumn("vector", signs).withColumn("is_seed", F.col("vec_id") % 2 == 0)
 
 
-COARSE_SQL = f"{INSTANCE_SQL}, coarse AS (SELECT vec_id, program, label, list_transform(vector[1:4], lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS vector, vec_id % 2 = 0 AS is_seed FROM inst), groups AS (SELECT *, count(*) OVER (PARTITION BY vector) AS n FROM coarse)"
+COARSE_SQL = f"{INSTANCE_SQL}, coarse AS (SELECT vec_id, program, label, list_transform([list_sum(vector[1:16]), list_sum(vector[17:32]), list_sum(vector[33:48]), list_sum(vector[49:64])], lambda x: CASE WHEN x > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS vector, vec_id % 2 = 0 AS is_seed FROM inst), groups AS (SELECT *, count(*) OVER (PARTITION BY vector) AS n FROM coarse)"
 
 
 @query("feature_attach", f"""WITH {EDGE_SQL}, f AS (SELECT program, config_id, method, "offset", target, min(l_tax)::DOUBLE AS tax FROM raw_edges GROUP BY ALL), s AS (SELECT program, config_id, method, "offset", target, max(l_discount)::DOUBLE AS discount FROM raw_edges WHERE l_quantity > 25 GROUP BY ALL)
@@ -45,16 +52,16 @@ def feature_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.attach_features(total_edges(spark, sf_dir), structural, semantic, key)
 
 
-@query("feature_standardise", f"WITH {INSTANCE_SQL}, x AS (SELECT vec_id, vector[1] AS a, vector[2] AS b FROM inst) SELECT vec_id, round((a - avg(a) OVER ()) / stddev_pop(a) OVER (), 6) AS a, round((b - avg(b) OVER ()) / stddev_pop(b) OVER (), 6) AS b FROM x")
+@query("feature_standardise", f"WITH {INSTANCE_SQL}, x AS (SELECT vec_id, unnest(vector) AS v, generate_subscripts(vector, 1) AS i FROM inst), z AS (SELECT vec_id, i, round((v - avg(v) OVER (PARTITION BY i)) / stddev_pop(v) OVER (PARTITION BY i), 6) AS v FROM x) SELECT vec_id, list(v ORDER BY i) AS scaled FROM z GROUP BY vec_id")
 def feature_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = features.standardise(instances(spark, sf_dir), "vector", "scaled")
-    return scaled.select("vec_id", F.round(F.col("scaled")[0], 6).alias("a"), F.round(F.col("scaled")[1], 6).alias("b"))
+    return scaled.select("vec_id", F.transform("scaled", lambda x: F.round(x, 6)).alias("scaled"))
 
 
-@query("feature_combine", f"WITH {INSTANCE_SQL} SELECT vec_id, list_concat(CASE WHEN vec_id % 3 = 0 THEN [0.0::DOUBLE, 0.0::DOUBLE] ELSE vector[1:2] END, vector[3:5]) AS combined FROM inst")
+@query("feature_combine", f"WITH {INSTANCE_SQL} SELECT vec_id, list_concat(CASE WHEN vec_id % 3 = 0 THEN list_resize([0.0::DOUBLE], 32, 0.0::DOUBLE) ELSE vector[1:32] END, vector[33:64]) AS combined FROM inst")
 def feature_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = instances(spark, sf_dir).select("vec_id", F.when(F.col("vec_id") % 3 != 0, F.slice("vector", 1, 2)).alias("semantic"), F.slice("vector", 3, 3).alias("structural"))
-    return features.combine(rows, "semantic", "structural", "combined", 2, 3).select("vec_id", "combined")
+    rows = instances(spark, sf_dir).select("vec_id", F.when(F.col("vec_id") % 3 != 0, F.slice("vector", 1, 32)).alias("semantic"), F.slice("vector", 33, 32).alias("structural"))
+    return features.combine(rows, "semantic", "structural", "combined", 32, 32).select("vec_id", "combined")
 
 
 @query("feature_reduce")
@@ -79,10 +86,10 @@ def cluster_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.exact_matches(rows.filter("not is_seed"), rows.filter("is_seed and label = 0")).select("vec_id")
 
 
-@query("cluster_near_match", f"WITH {INSTANCE_SQL}, p AS (SELECT vec_id, vector[1:3] AS vector FROM inst) SELECT a.vec_id FROM p a WHERE a.vec_id % 2 = 1 AND EXISTS (SELECT 1 FROM p s WHERE s.vec_id % 2 = 0 AND (a.vector[1] - s.vector[1]) ** 2 + (a.vector[2] - s.vector[2]) ** 2 + (a.vector[3] - s.vector[3]) ** 2 <= 0.0025)")
+@query("cluster_near_match", f"WITH {INSTANCE_SQL} SELECT a.vec_id FROM inst a WHERE a.vec_id % 2 = 1 AND EXISTS (SELECT 1 FROM inst s WHERE s.vec_id % 2 = 0 AND list_distance(a.vector, s.vector) <= {NEAR})")
 def cluster_near_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = instances(spark, sf_dir).select("vec_id", F.slice("vector", 1, 3).alias("vector"))
-    return cluster.near_matches(rows.filter("vec_id % 2 = 1"), rows.filter("vec_id % 2 = 0"), KEY, epsilon=0.05).select("vec_id")
+    rows = instances(spark, sf_dir)
+    return cluster.near_matches(rows.filter("vec_id % 2 = 1"), rows.filter("vec_id % 2 = 0"), epsilon=NEAR).select("vec_id")
 
 
 DISTANCE_SQL = f"""{INSTANCE_SQL}, near AS (SELECT q.vec_id, s.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.vector, s.vector)) AS place FROM inst q, inst s WHERE q.label = -1 AND s.label <> -1)"""
@@ -151,6 +158,17 @@ def cluster_flat_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.flat_pipeline(coarse(spark, sf_dir), KEY, min_size=30).select("vec_id", "predicted_label", "confidence")
 
 
+@query(
+    "cluster_program_pipeline",
+    f"""WITH {COARSE_SQL}, own AS (SELECT *, count(*) OVER (PARTITION BY program, vector) AS m FROM coarse QUALIFY count(*) OVER (PARTITION BY program) >= 5),
+    votes AS (SELECT program, vector, CASE WHEN count(*) FILTER (is_seed) > 0 AND count(*) FILTER (is_seed AND label = 1) > count(*) FILTER (is_seed) // 2 THEN 1 ELSE 0 END AS vote FROM own WHERE m >= 5 GROUP BY program, vector)
+    SELECT g.vec_id, CASE WHEN m >= 5 THEN v.vote WHEN EXISTS (SELECT 1 FROM own s WHERE s.is_seed AND s.label = 1 AND s.vector = g.vector AND s.program = g.program) THEN 1 ELSE 0 END AS predicted_label, CASE WHEN m >= 5 THEN 1.0 ELSE 0.0 END AS confidence
+    FROM own g LEFT JOIN votes v ON v.vector = g.vector AND v.program = g.program""",
+)
+def cluster_program_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.program_pipeline(coarse(spark, sf_dir), KEY).select("vec_id", "predicted_label", "confidence")
+
+
 def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known instances, dealt to folds, with equal classes kept."""
     rows = instances(spark, sf_dir).filter("label <> -1").withColumn("manual", F.lit(False))
@@ -189,9 +207,19 @@ def model_cluster_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scores(models.by_fold(_known(spark, sf_dir), models.cluster_then_label, 2))
 
 
-@query("balance_synthetic")
+SYNTHETIC_SQL = f"""{INSTANCE_SQL}, known AS (SELECT * FROM inst WHERE label <> -1),
+  sizes AS (SELECT count(*) FILTER (label = 1) AS ones, count(*) FILTER (label = 0) AS zeros FROM known),
+  minor AS (SELECT CASE WHEN ones <= zeros THEN 1 ELSE 0 END AS label, least(ones, zeros) AS n, abs(ones - zeros) AS need FROM sizes),
+  placed AS (SELECT row_number() OVER (ORDER BY md5(concat(vec_id, '|42')), vec_id) AS start, vector FROM known WHERE label = (SELECT label FROM minor)),
+  near AS (SELECT a.start, a.vector AS a, b.vector AS b, row_number() OVER (PARTITION BY a.start ORDER BY list_distance(a.vector, b.vector), b.start) AS place FROM placed a JOIN placed b ON a.start <> b.start),
+  draws AS (SELECT draw, draw % n + 1 AS start, ('0x' || substr(md5(concat(draw, '|42|near')), 1, 7))::BIGINT % least(3, n - 1) + 1 AS place, ('0x' || substr(md5(concat(draw, '|42|share')), 1, 7))::BIGINT / 268435456.0::DOUBLE AS share
+    FROM (SELECT unnest(range(need)) AS draw FROM minor), minor WHERE n > 1)"""
+
+
+@query("balance_synthetic", f"WITH {SYNTHETIC_SQL} SELECT draw, (SELECT label FROM minor) AS label, list_transform(list_zip(a, b), lambda p: round(p[1] + share * (p[2] - p[1]), 6)) AS vector FROM draws JOIN near USING (start, place)")
 def balance_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.synthetic_minority(instances(spark, sf_dir).filter("label <> -1"), KEY)
+    made = models.synthetic_minority(instances(spark, sf_dir).filter("label <> -1"), KEY)
+    return made.withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))
 
 
 @query("model_structural_forest")

@@ -18,21 +18,18 @@ from edgeloom.storage import shared_path
 K = 'program, method, "offset", target'
 
 
-@query("source_read_edges", f"WITH {EDGE_SQL} SELECT DISTINCT program, 'ship' AS tool, 'v1' AS version, substr(config_id, 2) AS config_id, method, \"offset\", target FROM total_edges WHERE config_id IN ('v1', 'v2')")
+@query("source_read_edges", f"WITH {EDGE_SQL} SELECT DISTINCT program, 'ship' AS tool, 'v1' AS version, substr(config_id, 2) AS config_id, method, \"offset\", target FROM total_edges")
 def source_read_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write edge sets as CSV files named by tool, version and configuration, and read them all back."""
+    """Write edge sets as CSV folders named by program, tool, version and configuration, all in one job, and read them all back."""
     path = shared_path(spark, "edges")
-    edges = total_edges(spark, sf_dir).filter("config_id in ('v1', 'v2')")
-    for row in edges.select("program", "config_id").distinct().orderBy("program", "config_id").collect():  # names of files, not edges
-        one = edges.filter((F.col("program") == row["program"]) & (F.col("config_id") == row["config_id"])).select("method", "offset", "target")
-        one.write.option("header", True).mode("append").csv(f"{path}/all/{row['program']}/ship_v1_{row['config_id'][1:]}.csv")
+    sources.write_edges(total_edges(spark, sf_dir).select("program", "tool", F.lit("v1").alias("version"), F.substring("config_id", 2, 9).alias("config_id"), *EDGE.fieldNames()), path)
     return sources.read_edges(spark, path)
 
 
-@query("source_read_or_empty", f"WITH {EDGE_SQL} SELECT method, \"offset\", target FROM true_edges WHERE program = 'A'")
+@query("source_read_or_empty", f"WITH {EDGE_SQL} SELECT method, \"offset\", target FROM true_edges")
 def source_read_or_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "truth")
-    true_edges(spark, sf_dir).filter("program = 'A'").select(*EDGE.fieldNames()).write.parquet(path)
+    true_edges(spark, sf_dir).select(*EDGE.fieldNames()).write.parquet(path)
     return sources.read_or_empty(spark, path).unionByName(sources.read_or_empty(spark, f"{path}-missing"))
 
 

@@ -12,8 +12,8 @@ from edgeloom.functions.signatures import packed_vector
 from edgeloom.operators.sets import PROGRAM_KEY
 from edgeloom.schema import EDGE
 
-#: program directory / tool _ version _ config .csv, a file or a folder of part files
-EDGE_PATH = r"([^/]+)/([^/_]+)_([^/_]+)_([^/_]+)\.csv(?:/[^/]*)?$"
+#: program directory / tool _ version _ config .csv, a file or a folder of part files; a writer may put a column's name before either
+EDGE_PATH = r"(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?([^/_=]+)_([^/_]+)_([^/_]+)\.csv(?:/[^/]*)?$"
 
 
 def read_edges(spark: SparkSession, path: str, schema: T.StructType = EDGE) -> DataFrame:
@@ -23,6 +23,12 @@ def read_edges(spark: SparkSession, path: str, schema: T.StructType = EDGE) -> D
     return rows.select(*parts, *schema.fieldNames())
 
 
+def write_edges(edges: DataFrame, path: str) -> None:
+    """Write every program's and configuration's edges as CSV folders that ``read_edges`` reads, in one job."""
+    name = F.concat(F.concat_ws("_", "tool", "version", "config_id"), F.lit(".csv"))
+    edges.select(F.col("program"), name.alias("set"), *EDGE.fieldNames()).write.mode("append").option("header", True).partitionBy("program", "set").csv(path)
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType = EDGE) -> DataFrame:
     """The table at a path, or one without rows if there is none."""
     found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -73,6 +79,16 @@ def write_results(predictions: DataFrame, path: str) -> None:
     predictions.withColumn("confidence", F.round("confidence", 4)).write.mode("overwrite").parquet(path)
 
 
+def write_metrics(metrics: DataFrame, path: str, file: str) -> None:
+    """Write metric rows as the CSV file (a folder of parts) of this name, which ``load_metric_files`` reads."""
+    metrics.withColumn("file", F.lit(file)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("file").csv(path)
+
+
+def write_instances(rows: DataFrame, path: str, split: str = "role") -> None:
+    """Write model instances by program and role (train, test); a rerun replaces what it writes again."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("program", split).parquet(path)
+
+
 def load_metric_files(spark: SparkSession, path: str, schema: T.StructType, skip: Sequence[str] = ("overall_evaluation.csv",)) -> DataFrame:
     """All metric CSV files of a folder with the name of their file."""
     rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)

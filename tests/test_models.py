@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.operators import cluster, features, models
+from edgeloom.operators import cluster, features, models, neighbours, ranks
 
 KEY = ["id"]
 
@@ -47,13 +48,55 @@ def test_cluster_rules(spark):
     assert by("majority") == {1: 1, 2: 0, 3: 1} and by("any") == {1: 1, 2: 1, 3: 0} and by("relative") == {1: 1, 2: 0, 3: 1}
 
 
-def test_near_matches_and_limits(spark):
-    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0 + 1e-9]), (3, [1.0, 2.1])], "id long, vector array<double>")
+def test_near_matches(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0 + 1e-9]), (3, [1.0, 2.1]), (4, [2.0, 1.0])], "id long, vector array<double>")
     seeds = df.filter("id = 1")
-    assert sorted(r["id"] for r in cluster.near_matches(df, seeds, KEY).collect()) == [1, 2]
+    assert sorted(r["id"] for r in cluster.near_matches(df, seeds).collect()) == [1, 2]
     assert [r["id"] for r in cluster.exact_matches(df, seeds).collect()] == [1]
-    with pytest.raises(ValueError):
-        cluster.seed_neighbours(df, df.withColumn("label", F.lit(1)), KEY, 1, most_seeds=2)
+
+
+@pytest.mark.parametrize("cell_points", [2_000, 5])
+def test_neighbours_equal_brute_force(spark, monkeypatch, cell_points):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(neighbours, "CELL_POINTS", cell_points)
+    monkeypatch.setattr(neighbours, "BLOCK_POINTS", 20)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 15)
+    points = np.rint(rng.normal(size=(150, 3)) * 4) + rng.integers(3, size=(150, 1)) * 50.0
+    points[:40] = points[0]  # copies and ties
+    seeds = spark.createDataFrame([(int(i), p.tolist()) for i, p in enumerate(points)] + [(999, None)], "sid long, vector array<double>")
+    asked = np.rint(rng.normal(size=(30, 3)) * 30)
+    rows = spark.createDataFrame([(int(i), p.tolist()) for i, p in enumerate(asked)], "id long, vector array<double>")
+    found = neighbours.nearest_points(rows, seeds, ["id"], 7, order=["sid"], columns=["sid"]).collect()
+    for i, p in enumerate(asked):
+        gaps = np.sqrt(((points - p) ** 2).sum(axis=1))
+        wanted = np.lexsort((np.arange(150), gaps))[:7]
+        assert [(r["seed_sid"], r["place"]) for r in sorted(found, key=lambda r: r["place"]) if r["id"] == i] == [(int(w), k + 1) for k, w in enumerate(wanted)]
+    assert neighbours.nearest_points(rows, seeds.limit(0), ["id"], 7, order=["sid"], columns=["sid"]).count() == 0
+    few = neighbours.nearest_points(rows, seeds.filter("sid in (3, 120)"), ["id"], 7, order=["sid"], columns=["sid"])
+    assert few.count() == 60
+
+
+def test_ranks_and_quantiles(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v)) for g in ("a", "b", None) for v in rng.integers(9, size=50)] + [("c", 1.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    ranked = ranks.ordered_rank(df.filter("v is not null"), ["g"], [F.col("v")])
+    for g in ("a", "b", None, "c"):
+        own = sorted((r["place"], r["v"]) for r in ranked.collect() if r["g"] == g)
+        assert [p for p, _ in own] == list(range(1, len(own) + 1)) and [v for _, v in own] == sorted(v for _, v in own)
+    found = {r["g"]: r for r in ranks.quantiles(df, "v", {"low": 0.1, "mid": 0.5}, ["g"]).collect()}
+    for g in ("a", "b", None, "c"):
+        own = [v for k, v in rows if k == g and v is not None]
+        assert (found[g]["n"], found[g]["low"], found[g]["mid"]) == pytest.approx((len(own), np.quantile(own, 0.1), np.quantile(own, 0.5)))
+    assert ranks.quantiles(df, "v", {"mid": 0.5}).first()["mid"] == pytest.approx(np.quantile([v for _, v in rows if v is not None], 0.5))
+
+
+def test_programs_stay_apart(spark):
+    rows = [(i, p, [1.0], int(i < 4), i < 5) for p in ("x", "y") for i in range(6)] + [(9, "z", [1.0], 1, True)]
+    df = spark.createDataFrame([(f"{p}{i}", p, v, lab, s) for i, p, v, lab, s in rows], "id string, program string, vector array<double>, label int, is_seed boolean")
+    found = cluster.program_pipeline(df, KEY)
+    assert found.count() == 12 and {r["program"] for r in found.collect()} == {"x", "y"}
+    assert found.filter("cluster_id <> -1").select("cluster_id").distinct().count() == 2
 
 
 def test_synthetic_rows_balance_and_lie_between(rows):
