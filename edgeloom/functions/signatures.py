@@ -21,16 +21,27 @@ def type_descriptor(name: Column) -> Column:
     return F.concat(arrays, F.coalesce(_literal_map(PRIMITIVES)[plain], F.concat(F.lit("L"), F.translate(plain, ".", "/"), F.lit(";"))))
 
 
-SOURCE_FORM = r"^<?([^:]+): (\S+) ([<>a-zA-Z0-9_$]+)\(([^)]*)\)>?$"
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def canonical_signature(source: Column) -> Column:
-    """``a.B: int m(a.C,long)`` to ``a/B.m:(La/C;J)I``; text of another form is returned as it is."""
-    part = lambda i: F.regexp_extract(source, SOURCE_FORM, i)
-    given = F.when(F.trim(part(4)) == "", F.array().cast("array<string>")).otherwise(F.split(part(4), ","))
-    args = F.array_join(F.transform(given, type_descriptor), "")
-    made = F.concat(F.translate(part(1), ".", "/"), F.lit("."), part(3), F.lit(":("), args, F.lit(")"), type_descriptor(part(2)))
-    return F.when(F.regexp_like(source, F.lit(SOURCE_FORM)), made).otherwise(source)
+    """``a.B: int m(a.C,long)`` to ``a/B.m:(La/C;J)I``; text of another form is returned as it is.
+
+    The class stands before the first colon. After it come the return type, any blanks,
+    the name, and right behind the name the parameters up to the last parenthesis. A name
+    consists of ASCII letters, digits, ``_``, ``$`` and the brackets of ``<init>``.
+    """
+    owner, rest = F.substring_index(source, ":", 1), _stripped(F.substring(source, F.instr(source, ":") + 1, F.length(source)))
+    words = F.split(F.substring_index(rest, "(", 1), r"\s+")
+    returns, name = F.get(words, F.lit(0)), F.get(words, F.lit(1))
+    after = F.substring(rest, F.instr(rest, "(") + 1, F.length(rest))
+    inside = F.substring(after, F.lit(1), F.length(after) - F.length(F.substring_index(after, ")", -1)) - 1)
+    given = F.when(_stripped(inside) == "", F.array().cast("array<string>")).otherwise(F.split(inside, ","))
+    args = F.array_join(F.transform(given, lambda t: type_descriptor(_stripped(t))), "")
+    made = F.concat(F.translate(_stripped(owner), ".", "/"), F.lit("."), name, F.lit(":("), args, F.lit(")"), type_descriptor(returns))
+    formed = source.contains(":") & rest.contains("(") & after.contains(")") & (F.size(words) == 2) & (returns != "") & F.regexp_like(name, F.lit(r"^[\w$<>]+$"))
+    return F.when(formed, made).otherwise(source)
 
 
 def struct_signature(method: Column) -> Column:

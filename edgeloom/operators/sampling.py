@@ -16,7 +16,7 @@ from edgeloom.operators.sets import PROGRAM_KEY, keep_in, keep_out
 
 SEED = 42
 #: Hex digits of the hash that make a bucket.
-DIGITS = 3
+DIGITS = 4
 
 
 def order_hash(key: Sequence[str], seed: int) -> Column:

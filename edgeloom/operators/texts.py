@@ -19,21 +19,32 @@ JAVA_ARRAY_COPY = "java/lang/System.arraycopy:(Ljava/lang/Object;ILjava/lang/Obj
 LAMBDA = r"^wala/lambda\$(.+)\$([^$.:]+)\.([^.:]+).*$"
 
 
+def _line_parts(value: str) -> tuple[Column, Column, Column, Column]:
+    """Caller, index and target of a raw line, and why it can't be an edge (null if it can)."""
+    fields = F.split(F.regexp_replace(value, r"^\s+|\s+$", ""), "\t")
+    site, target = F.get(fields, F.lit(1)), F.get(fields, F.lit(3))
+    index = F.substring_index(site, "/", -1)
+    front = F.substring(site, F.lit(1), F.length(site) - F.length(index) - 1)
+    caller = F.regexp_extract(front, r"^.([^)]*\)[^>]*)>", 1)
+    reason = F.when(F.col(value).isNull() | (F.size(fields) != 4), "fields").when(~site.contains("/") | (caller == ""), "call site").when(caller.startswith(REGISTER_FINALIZE), REGISTER_FINALIZE)
+    return caller, index, F.regexp_replace(target, "^[<>]+|[<>]+$", ""), reason.when(~F.regexp_like(index, F.lit("^[0-9]+$")), "index")
+
+
 def parse_text_edges(lines: DataFrame, value: str = "value") -> DataFrame:
     """Edges from tab-separated lines (context, ``<signature>/callee/index``, context, ``<signature>``), unreadable lines dropped.
 
     A line is dropped unless it has four fields, the call site has a slash, a closing
     parenthesis and a bracket after it, its index is digits, and it isn't a
-    register-finalize entry. The index becomes the offset.
+    register-finalize entry. The index becomes the offset. ``rejected_lines`` has the rest.
     """
-    fields = F.split(F.regexp_replace(value, r"^\s+|\s+$", ""), "\t")
-    site, target = F.get(fields, F.lit(1)), F.get(fields, F.lit(3))
-    index = F.substring_index(site, "/", -1)
-    front = F.substring(site, F.lit(1), F.length(site) - F.length(index) - 1)
-    caller = F.regexp_extract(front, r"^.([^)]*\)[^>]*)>", 1)
-    good = (F.size(fields) == 4) & site.contains("/") & (caller != "") & ~caller.startswith(REGISTER_FINALIZE) & F.regexp_like(index, F.lit("^[0-9]+$"))
-    named = canonical_signature(F.regexp_replace(target, "^[<>]+|[<>]+$", ""))
-    return lines.filter(good).select(canonical_signature(caller).alias("method"), index.cast("long").alias("offset"), named.alias("target"))
+    caller, index, target, reason = _line_parts(value)
+    return lines.filter(reason.isNull()).select(canonical_signature(caller).alias("method"), index.cast("long").alias("offset"), canonical_signature(target).alias("target"))
+
+
+def rejected_lines(lines: DataFrame, value: str = "value") -> DataFrame:
+    """The lines that ``parse_text_edges`` drops, with the ``reason``: fields, call site, register-finalize or index."""
+    reason = _line_parts(value)[3]
+    return lines.select("*", reason.alias("reason")).filter("reason is not null")
 
 
 def flatten_callsite_json(methods: DataFrame) -> DataFrame:
@@ -61,6 +72,21 @@ def normalize_edges(edges: DataFrame) -> DataFrame:
     return out.withColumns({"offset": F.when(boot, F.lit(0)).otherwise(F.col("offset")).cast("long"), "method": method, "target": _canonical_name(F.col("target"))})
 
 
+def normalize_raw(raw: DataFrame, dialect: str) -> tuple[DataFrame, DataFrame]:
+    """Edges under canonical names from any raw form, and the rows that give none, with a ``reason``.
+
+    ``dialect``: "text" (lines in a column ``value``), "callsites" (``reachableMethods``
+    as JSON gives them) or "edges" (method, offset, target already).
+    """
+    if dialect == "text":
+        return normalize_edges(parse_text_edges(raw)), rejected_lines(raw)
+    if dialect not in ("callsites", "edges"):
+        raise ValueError(f"no dialect {dialect}")
+    edges = flatten_callsite_json(raw) if dialect == "callsites" else raw
+    missing = F.when(F.col("method").isNull(), "method").when(F.col("offset").isNull(), "offset").when(F.col("target").isNull(), "target")
+    return normalize_edges(edges.filter(missing.isNull())), edges.select("*", missing.alias("reason")).filter("reason is not null")
+
+
 def edge_text(edges: DataFrame, code: DataFrame, keys: Sequence[str], signature: str = "signature", text: str = "code") -> DataFrame:
     """``method_code`` and ``target_code`` of every edge: its known code, else a stub made from the signature, else the signature.
 

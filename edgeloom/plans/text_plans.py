@@ -95,16 +95,27 @@ def source_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line, at = table(spark, sf_dir, "lineitem"), F.col("l_orderkey") % 5
+    caller = F.concat(F.lit("<a.b.S"), F.col("l_suppkey").cast("string"), F.lit(": int[] m(java.lang.String,long)>/x.y/"))
+    target = F.concat(F.lit("<a.P"), (F.col("l_partkey") % 10).cast("string"), F.lit(": a.Q g()>"))
+    made = F.when(at == 0, "short line").when(at == 1, "c\t<register-finalize <a.B: void f()>/x/1>\tc\t<a.B: void g()>").when(at == 2, F.concat_ws("\t", F.lit("c"), F.concat(caller, F.lit("n")), F.lit("c"), target)).otherwise(F.concat_ws("\t", F.lit("c"), F.concat(caller, F.col("l_linenumber").cast("string")), F.lit("c"), target))
+    return line.select(made.alias("value"))
+
+
 @query(
     "text_parse_edges",
     """SELECT 'a/b/S' || l_suppkey || '.m:(Ljava/lang/String;J)[I' AS method, l_linenumber::BIGINT AS "offset", 'a/P' || (l_partkey % 10) || '.g:()La/Q;' AS target FROM lineitem WHERE l_orderkey % 5 > 2""",
 )
 def text_parse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line, at = table(spark, sf_dir, "lineitem"), F.col("l_orderkey") % 5
-    caller = F.concat(F.lit("<a.b.S"), F.col("l_suppkey").cast("string"), F.lit(": int[] m(java.lang.String,long)>/x.y/"))
-    target = F.concat(F.lit("<a.P"), (F.col("l_partkey") % 10).cast("string"), F.lit(": a.Q g()>"))
-    made = F.when(at == 0, "short line").when(at == 1, "c\t<register-finalize <a.B: void f()>/x/1>\tc\t<a.B: void g()>").when(at == 2, F.concat_ws("\t", F.lit("c"), F.concat(caller, F.lit("n")), F.lit("c"), target)).otherwise(F.concat_ws("\t", F.lit("c"), F.concat(caller, F.col("l_linenumber").cast("string")), F.lit("c"), target))
-    return texts.parse_text_edges(line.select(made.alias("value")))
+    return texts.parse_text_edges(_lines(spark, sf_dir))
+
+
+@query("text_rejected_lines", """SELECT CASE l_orderkey % 5 WHEN 0 THEN 'short line' WHEN 1 THEN concat('c', chr(9), '<register-finalize <a.B: void f()>/x/1>', chr(9), 'c', chr(9), '<a.B: void g()>')
+      ELSE concat('c', chr(9), '<a.b.S', l_suppkey, ': int[] m(java.lang.String,long)>/x.y/n', chr(9), 'c', chr(9), '<a.P', l_partkey % 10, ': a.Q g()>') END AS value,
+    CASE l_orderkey % 5 WHEN 0 THEN 'fields' WHEN 1 THEN 'register-finalize' ELSE 'index' END AS reason FROM lineitem WHERE l_orderkey % 5 < 3""")
+def text_rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts.normalize_raw(_lines(spark, sf_dir), "text")[1]
 
 
 @query("text_flatten_callsites", """SELECT 'a/S' || l_suppkey || '.m:(I)V' AS method, l_linenumber::BIGINT AS "offset", 'b/P' || l_partkey || '.g:()La/Q;' AS target FROM lineitem""")
