@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -75,34 +75,66 @@ def line_sections(text: str) -> list[tuple[int, int]]:
     return [s for s in sections if s[1] > s[0]]
 
 
-def _attributed(batches: Iterator[pa.RecordBatch], path: str, rule: str) -> Iterator[pa.RecordBatch]:
+def field_sections(fields: list[str]) -> tuple[str, list[tuple[int, int]]]:
+    """Fields as one text, with a line end after each but the last, and a section for each field with its line end."""
+    text, sections = "\n".join(fields), []
+    start = 0
+    for field in fields:
+        sections.append((start, min(len(text), start + len(field) + 1)))
+        start += len(field) + 1
+    return text, sections
+
+
+def given_sections(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
+    """Given spans in order, cut to the text; ``start`` and ``end`` in characters, end exclusive. They must not overlap."""
+    found = sorted((max(0, x["start"]), min(length, x["end"])) for x in spans or [] if x and x["start"] is not None and x["end"] is not None)
+    found = [s for s in found if s[1] > s[0]]
+    if any(a[1] > b[0] for a, b in zip(found, found[1:], strict=False)):
+        raise ValueError("sections of a text overlap")
+    return found
+
+
+def _attributed(batches: Iterator[pa.RecordBatch], path: str, rule: str, kind: str) -> Iterator[pa.RecordBatch]:
     part = pa.struct([("section", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("tokens", pa.float64())])
     for batch in slices(batches, 256):
-        totals, sections = [], []
-        for text in batch.column(1).to_pylist():
-            text = text or ""
-            lines = line_sections(text)
+        totals, found = [], []
+        for row in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            if kind == "fields":
+                text, sections = field_sections([x or "" for x in row[0] or []])
+            else:
+                text = row[0] or ""
+                sections = given_sections(row[1], len(text)) if kind == "spans" else line_sections(text)
             starts, ends = token_spans(text, path)
-            counts = attribute(starts, ends, lines, rule).tolist()
+            counts = attribute(starts, ends, sections, rule).tolist()
             totals.append(len(starts))
-            sections.append([{"section": i, "start": s, "end": e, "tokens": n} for i, ((s, e), n) in enumerate(zip(lines, counts, strict=True))])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(sections, pa.list_(part))], names=["doc_id", "n_tokens", "sections"])
+            found.append([{"section": i, "start": s, "end": e, "tokens": n} for i, ((s, e), n) in enumerate(zip(sections, counts, strict=True))])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(totals, pa.int64()), pa.array(found, pa.list_(part))], names=["doc_id", "n_tokens", "sections"])
 
 
-def section_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, rule: str = "most") -> DataFrame:
+def section_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, rule: str = "most", fields: Sequence[str] | None = None, spans: str | None = None) -> DataFrame:
     """``doc_id``, ``n_tokens`` and ``sections`` (section, start, end, tokens) of every whole text.
 
-    Sections are the text's lines with their line ends; each document is encoded once,
-    as a whole, and its tokens are allotted by their character offsets. A null text counts
-    as empty and has no sections. Repeated rows give repeated results, an empty table an
-    empty one. Other columns aren't read.
+    Sections are the text's lines with their line ends; or the columns ``fields``, put
+    together with a line end after each but the last; or the spans in the column ``spans``
+    (array of structs with start and end in characters), which must not overlap. Each
+    document is encoded once, as a whole, and its tokens are allotted by their character
+    offsets; ``n_tokens`` also counts tokens outside all sections. A null text or field
+    counts as empty; a text without characters has no lines, an empty field has a section
+    of its own; null spans are none. A null id is returned as null. Repeated rows give
+    repeated results, an empty table an empty one. Other columns aren't read.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    own = F.col(doc_id).alias("doc_id")
+    if fields:
+        shape, narrow = "fields", docs.select(own, F.array(*[F.col(c).cast("string") for c in fields]).alias("fields"))
+    elif spans:
+        shape, narrow = "spans", docs.select(own, F.col(text).cast("string").alias("text"), F.transform(spans, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"))).alias("spans"))
+    else:
+        shape, narrow = "lines", docs.select(own, F.col(text).cast("string").alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    return narrow.mapInArrow(lambda batches: _attributed(batches, path, rule), f"doc_id {kind}, n_tokens long, sections array<struct<section:int,start:int,end:int,tokens:double>>")
+    return narrow.mapInArrow(lambda batches: _attributed(batches, path, rule, shape), f"doc_id {kind}, n_tokens long, sections array<struct<section:int,start:int,end:int,tokens:double>>")
 
 
 def op8_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

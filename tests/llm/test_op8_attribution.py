@@ -64,3 +64,17 @@ def test_operator_edge_cases(spark):
     assert at.section_tokens(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         at.section_tokens(df, rule="none")
+
+
+def test_fields_and_given_spans(spark):
+    rows = [(1, "The river", "stone hills walk", [(4, 9), (0, 3)]), (2, None, "x", None), (3, "", "", [(0, 5)]), (None, "a", None, [(None, 1)])]
+    df = spark.createDataFrame(rows, "doc_id long, title string, body string, marks array<struct<start:int,end:int>>")
+    found = {r["doc_id"]: r for r in at.section_tokens(df, fields=["title", "body"]).collect()}
+    assert [(x["start"], x["end"]) for x in found[1]["sections"]] == [(0, 10), (10, 26)] and [(x["start"], x["end"]) for x in found[2]["sections"]] == [(0, 1), (1, 2)]
+    for r in found.values():
+        assert sum(x["tokens"] for x in r["sections"]) == r["n_tokens"]
+    marked = {r["doc_id"]: r for r in at.section_tokens(df, text="title", spans="marks").collect()}
+    assert [(x["section"], x["start"], x["end"], x["tokens"]) for x in marked[1]["sections"]] == [(0, 0, 3, 1.0), (1, 4, 9, 1.0)]
+    assert all(marked[i]["sections"] == [] for i in (2, 3, None))
+    with pytest.raises(Exception, match="overlap"):
+        at.section_tokens(spark.createDataFrame([(1, "abc", [(0, 2), (1, 3)])], "doc_id long, text string, marks array<struct<start:int,end:int>>"), spans="marks").collect()
