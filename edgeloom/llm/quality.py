@@ -237,4 +237,41 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality figures and verdict of every whole document."""
-    return quality_rules(documents(spark, sf_dir), keep=["doc_id"])
+    found = quality_rules(documents(spark, sf_dir), keep=["doc_id"])
+    return found.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+_JS = "sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))"
+OP3_SQL = rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+split AS (SELECT rid, lang, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+figures AS (
+  SELECT d.rid, d.doc_id, d.lang, len(w) AS n_words,
+    length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(text) AS chars,
+    [length(regexp_replace(text, '[^a-z]', '', 'g')), length(regexp_replace(text, '[^A-Z]', '', 'g')), length(regexp_replace(text, '[^0-9]', '', 'g')), length(regexp_replace(text, '[^\x20\x09-\x0D]', '', 'g')),
+     length(regexp_replace(text, '[^.,;:!?''"()-]', '', 'g')), length(regexp_replace(text, '[^#*$%&|<>@^_~`+=/\\{{}}\[\]]', '', 'g'))] AS six
+  FROM docs d JOIN split USING (rid)),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs),
+copies AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+windows AS (SELECT rid, unnest(range(1, len(w) - 3)) AS i, array_to_string(w[i : i + 4], ' ') AS five FROM split WHERE len(w) >= 5),
+found AS (SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, five) > 1),
+repeats AS (SELECT rid, count(DISTINCT pos) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 5)) AS pos FROM found) GROUP BY rid),
+letters AS (SELECT rid, lang, trim(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?''"()-#*$%&|<>') AS word FROM (SELECT rid, lang, unnest(w) AS x FROM split)),
+own AS (SELECT rid, word, count(*) AS n FROM letters GROUP BY rid, word),
+corpus AS (SELECT CASE g WHEN 0 THEN '*' ELSE '=' || lang END AS of, word, count(*) AS n FROM letters, range(2) t(g) WHERE g = 0 OR lang IS NOT NULL GROUP BY 1, 2),
+totals AS (SELECT of, sum(n) AS total FROM corpus GROUP BY of),
+common AS (SELECT of, word, n FROM corpus QUALIFY row_number() OVER (PARTITION BY of ORDER BY n DESC, word) <= {COMMON_WORDS}),
+places AS (SELECT f.rid, CASE WHEN EXISTS (SELECT 1 FROM totals t WHERE t.of = '=' || f.lang) THEN '=' || f.lang ELSE '*' END AS of FROM figures f),
+sevens AS (SELECT rid, unnest(list_append(six, chars - list_sum(six))) AS n, generate_subscripts(list_append(six, 0), 1) AS k, lang FROM figures),
+classes AS (SELECT CASE g WHEN 0 THEN '*' ELSE '=' || lang END AS of, k, sum(n) AS n FROM sevens, range(2) t(g) WHERE g = 0 OR lang IS NOT NULL GROUP BY 1, 2),
+by_class AS (SELECT rid, {_JS} AS class_distance FROM (
+    SELECT s.rid, s.n / sum(s.n) OVER (PARTITION BY s.rid) AS p, c.n / sum(c.n) OVER (PARTITION BY s.rid) AS q FROM sevens s JOIN figures f USING (rid) JOIN places USING (rid) JOIN classes c USING (of, k) WHERE f.chars >= {MIN_CLASS_CHARS}) GROUP BY rid),
+hits AS (SELECT p.rid, p.of, c.n AS ref, coalesce(o.n, 0) AS n FROM places p JOIN common c USING (of) LEFT JOIN own o ON o.rid = p.rid AND o.word = c.word),
+rest AS (SELECT rid, ref, n FROM hits UNION ALL SELECT h.rid, any_value(total) - sum(ref), any_value(n_words) - sum(n) FROM hits h JOIN totals USING (of) JOIN figures USING (rid) GROUP BY h.rid),
+by_word AS (SELECT rid, {_JS} AS word_distance FROM (
+    SELECT rid, n / sum(n) OVER (PARTITION BY rid) AS p, ref / sum(ref) OVER (PARTITION BY rid) AS q FROM rest JOIN figures f USING (rid) WHERE f.n_words >= {MIN_JUDGED_WORDS}) GROUP BY rid)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+  n_words < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {MAX_REPEATED_PERCENT} * n_words AS base_failed, round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance,
+  NOT (n_words < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {MAX_REPEATED_PERCENT} * n_words OR coalesce(class_distance, 0) > {MAX_CLASS_DISTANCE} OR coalesce(word_distance, 0) > {MAX_WORD_DISTANCE}) AS kept
+FROM figures LEFT JOIN copies USING (rid) LEFT JOIN repeats USING (rid) LEFT JOIN by_class USING (rid) LEFT JOIN by_word USING (rid)
+"""

@@ -12,7 +12,7 @@ from edgeloom.llm.context_mixing import op2_context_mixing
 from edgeloom.llm.licences import op7_licences
 from edgeloom.llm.mixing import OP5_SQL, op5_mix_sources
 from edgeloom.llm.pii import op1_personal_data
-from edgeloom.llm.quality import op3_quality_rules
+from edgeloom.llm.quality import OP3_SQL, op3_quality_rules
 from edgeloom.llm.rp_forest import OP4_SQL, op4_nearest_vectors
 from edgeloom.llm.simhash import op10_near_duplicates
 from edgeloom.llm.toxicity import op6_toxicity
@@ -31,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quality_rules": OP3_SQL,
     "op4_nearest_vectors": OP4_SQL,
     "op5_mix_sources": OP5_SQL,
 }

@@ -1,5 +1,5 @@
 import numpy as np
-import pytest
+
 
 from edgeloom.llm import rp_forest
 
@@ -86,10 +86,3 @@ def test_visits_follow_the_data():
     assert recall >= 0.9 and less < 0.8 * looked, (less, looked)
 
 
-def test_query_agrees_with_sql(spark):
-    duckdb = pytest.importorskip("duckdb")
-    con = duckdb.connect()
-    con.execute("CREATE VIEW embeddings AS SELECT * FROM '/root/testdata/sf0.01/embeddings.parquet'")
-    theirs = con.execute(rp_forest.OP4_SQL).fetchall()
-    ours = rp_forest.op4_nearest_vectors(spark, "/root/testdata/sf0.01").select("query_id", "rank", "vec_id", "score").collect()
-    assert sorted(map(tuple, ours)) == sorted(theirs)
