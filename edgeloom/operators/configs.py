@@ -39,12 +39,15 @@ def derive_false_edges(edges: DataFrame, pairs: DataFrame, by: Sequence[str] = (
 
     A configuration that reports nothing counts as empty; a pair for which the finer one
     reports nothing for a program is left out for this program, since nothing can be said.
+    One grouping by key gathers which configurations have an edge, a handful each; the
+    pairs of its tool are held against that set.
     """
     reported = edges.select(*by, F.col("config_id").alias("fine"), "program").distinct()
-    coarse = pairs.join(edges.select(*by, F.col("config_id").alias("coarse"), *key), [*by, "coarse"])
-    coarse = coarse.join(reported, [*by, "fine", "program"], "left_semi")
-    fine = edges.select(*by, F.col("config_id").alias("fine"), *key)
-    return coarse.join(fine, [*by, "fine", *key], "left_anti").select(*by, "coarse", "fine", *key).distinct()
+    ranked = pairs.groupBy(*by).agg(F.collect_set(F.struct("coarse", "fine")).alias("_pairs"))
+    own = edges.groupBy(*by, *key).agg(F.collect_set("config_id").alias("_own"))
+    lacking = F.filter("_pairs", lambda p: F.array_contains("_own", p["coarse"]) & ~F.array_contains("_own", p["fine"]))
+    made = own.join(ranked, list(by)).select(*by, F.explode(lacking).alias("_p"), *key).select(*by, "_p.coarse", "_p.fine", *key)
+    return made.join(reported, [*by, "fine", "program"], "left_semi")
 
 
 def union_false_edges(derived: DataFrame, key: Sequence[str] = ("program", *KEY)) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators.ranks import ordered_rank, quantiles
 from edgeloom.operators.sets import PROGRAM_KEY, flagged_union, keep_in
+from edgeloom.storage import durable
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -106,6 +107,7 @@ def kept_graph_scores(predictions: DataFrame, truth: DataFrame, by: Sequence[str
 
 def per_config_evaluation(predictions: DataFrame, truth: DataFrame, by: Sequence[str] = ("tool", "config_id")) -> DataFrame:
     """All scores of each configuration in one row: predictions, hand-labelled rows, and the kept graph."""
+    predictions = durable(predictions, "predictions")
     graph = kept_graph_scores(predictions, truth, by)
     return full_evaluation(predictions, by).join(graph.select(*by, *[F.col(c).alias(f"graph_{c}") for c in ("precision", "recall", "f1")]), list(by))
 

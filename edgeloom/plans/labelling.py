@@ -9,6 +9,7 @@ from edgeloom.operators import configs, labels, stats
 from edgeloom.plans.registry import query
 from edgeloom.plans.views import EDGE_SQL, false_edges, table, total_edges, true_edges
 from edgeloom.schema import KEY
+from edgeloom.storage import durable
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +47,9 @@ def label_unknown_without_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configs.unknown_without_boot(total_edges(spark, sf_dir), true_edges(spark, sf_dir), false_edges(spark, sf_dir), "s/1")
 
 
-def config_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def config_table(edges: DataFrame) -> DataFrame:
     """One configuration per ship year: option ``analysis`` is the year's place, ``reflection`` groups the years."""
-    ids = total_edges(spark, sf_dir).select("tool", "config_id").distinct()
+    ids = edges.select("tool", "config_id").distinct()
     year = F.substring("config_id", 2, 3).cast("int")
     options = F.create_map(F.lit("analysis"), F.concat(F.lit("a"), (year - 1).cast("string")), F.lit("reflection"), F.when(year <= 4, "on").otherwise("off"))
     return ids.select("tool", "config_id", options.alias("options"))
@@ -69,13 +70,13 @@ def orders(spark: SparkSession) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = configs.config_pairs(config_table(spark, sf_dir), orders(spark))
-    return configs.derive_false_edges(total_edges(spark, sf_dir), pairs)
+    edges = durable(total_edges(spark, sf_dir), "total-edges")
+    return configs.derive_false_edges(edges, configs.config_pairs(config_table(edges), orders(spark)))
 
 
 @query("config_pairs", f"WITH {EDGE_SQL}, {PAIR_SQL} SELECT * FROM pairs")
 def config_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return configs.config_pairs(config_table(spark, sf_dir), orders(spark))
+    return configs.config_pairs(config_table(total_edges(spark, sf_dir)), orders(spark))
 
 
 @query("label_derive_false", f"WITH {EDGE_SQL}, {DERIVED_SQL} SELECT * FROM derived")

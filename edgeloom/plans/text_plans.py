@@ -54,16 +54,27 @@ def source_append_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(counts.schema).parquet(path)
 
 
-@query("source_metric_files", f"WITH {EDGE_SQL} SELECT program, count(*) AS edges, round(avg(l_tax), 4) AS confidence FROM raw_edges GROUP BY program")
+@query("source_metric_files", f"WITH {EDGE_SQL} SELECT program, count(*) AS edges, round(avg(l_tax), 4) AS confidence, 'means.csv' AS file_name FROM raw_edges GROUP BY program UNION ALL SELECT program, count(*), round(max(l_tax), 4), 'maxima.csv' FROM raw_edges GROUP BY program")
 def source_metric_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write two files of metrics, one through a result table, and read both with their names."""
     path = shared_path(spark, "metrics")
-    raw = raw_edges(spark, sf_dir).groupBy("program").agg(F.count("*").alias("edges"), F.avg("l_tax").cast("double").alias("confidence"))
-    sources.write_results(raw, f"{path}-results")
-    spark.read.parquet(f"{path}-results").write.option("header", True).csv(path)
+    raw = raw_edges(spark, sf_dir).groupBy("program").agg(F.count("*").alias("edges"), F.avg("l_tax").cast("double").alias("confidence"), F.max("l_tax").cast("double").alias("most"))
+    sources.write_results(raw.drop("most"), f"{path}-results")
+    sources.write_metrics(spark.read.parquet(f"{path}-results"), path, "means.csv")
+    sources.write_metrics(raw.select("program", "edges", F.round("most", 4).alias("confidence")), path, "maxima.csv")
+    sources.write_metrics(raw.limit(1).drop("most"), path, "overall_evaluation.csv")
     schema = T.StructType([T.StructField("program", T.StringType()), T.StructField("edges", T.LongType()), T.StructField("confidence", T.DoubleType())])
-    return sources.load_metric_files(spark, path, schema).drop("file_name")
+    return sources.load_metric_files(spark, path, schema)
 
 
+@query("source_instances", f"WITH {EDGE_SQL} SELECT program, method, \"offset\", target, CASE WHEN row_order % 5 = 0 THEN 'test' ELSE 'train' END AS role, row_order FROM raw_edges")
+def source_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write instances by program and role twice (a rerun replaces what it wrote) and read them."""
+    path = shared_path(spark, "instances")
+    rows = raw_edges(spark, sf_dir).select("program", *EDGE.fieldNames(), F.when(F.col("row_order") % 5 == 0, "test").otherwise("train").alias("role"), "row_order")
+    sources.write_instances(rows, path)
+    sources.write_instances(rows, path)
+    return spark.read.parquet(path).select(*rows.columns)
 
 
 @query("source_packed_vectors", f"WITH {EDGE_SQL} SELECT {K}, [arg_max(q, row_order * 100 + q), arg_max(n, row_order * 100 + q)] AS vector FROM (SELECT {K}, row_order, l_quantity::DOUBLE AS q, \"offset\"::DOUBLE AS n FROM raw_edges WHERE (row_order // 10) % 9 <> 0) GROUP BY {K}")

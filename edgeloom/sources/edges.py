@@ -90,9 +90,11 @@ def write_instances(rows: DataFrame, path: str, split: str = "role") -> None:
 
 
 def load_metric_files(spark: SparkSession, path: str, schema: T.StructType, skip: Sequence[str] = ("overall_evaluation.csv",)) -> DataFrame:
-    """All metric CSV files of a folder with the name of their file."""
+    """All metric CSV files of a folder with the name of their file, or of the folder of parts that ``write_metrics`` made."""
     rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
-    return rows.select("*", F.col("_metadata.file_name").alias("file_name")).filter(~F.col("file_name").isin(list(skip)))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/file=([^/]+)/[^/]*$", 1)
+    name = F.when(folder != "", folder).otherwise(F.col("_metadata.file_name"))
+    return rows.select("*", name.alias("file_name")).filter(~F.col("file_name").isin(list(skip)))
 
 
 def load_packed_vectors(rows: DataFrame, packed: str = "packed", order: str = "row_order", key: Sequence[str] = PROGRAM_KEY) -> DataFrame:
