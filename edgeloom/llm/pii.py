@@ -125,7 +125,9 @@ def _votes(kind: str, value: str, before: str, variety: float) -> tuple[int, ...
     elif kind == "account":
         plain = value.replace(" ", "").replace("-", "")
         pattern = 1 if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", value) else 0
-        form = -1  # a number of a card's length that fails its check, or one that is no card at all: context must speak for it
+        groups = re.split("[ -]", value)
+        # few different digits are a filler; groups of one length, the last aside, are how such numbers are written
+        form = -1 if len(set(plain)) <= 2 else 1 if len(groups) > 2 and len({len(g) for g in groups[:-1]}) == 1 else 0
         gazetteer, spread = 0, 0 if variety >= 1.5 else -1
     else:
         words = value.split(" ")
@@ -136,8 +138,10 @@ def _votes(kind: str, value: str, before: str, variety: float) -> tuple[int, ...
 
 
 def _shape(value: str) -> str:
+    """The kinds of its runs of letters, digits and signs in order; of many runs the first and last, and how many about."""
     runs = re.sub(r"[^\W\d_]+", lambda m: "X" if m[0].isupper() else "Xx" if m[0][0].isupper() else "x", value)
-    return re.sub(r"[0-9]+", "9", runs)[:16]
+    shape = re.sub(r"[0-9]+", "9", runs)
+    return shape if len(shape) <= 16 else f"{shape[:6]}~{len(shape).bit_length()}~{shape[-6:]}"
 
 
 def _features(kind: str, value: str, before: str, after: str, variety: float) -> list[int]:

@@ -80,3 +80,14 @@ def test_label_model_ranks_labelers():
     posterior, tables, prior = pii.label_model(votes, np.ones(4000))
     assert abs(prior - 0.3) < 0.05 and ((posterior > 0.5) == truth).mean() > 0.94
     assert tables[1, 0, 2] > tables[1, 1, 2] > tables[1, 3, 2]
+
+
+def test_form_labeler_has_opinions_on_accounts():
+    form = pii.LABELERS.index("form")
+    vote = lambda value: pii._votes("account", value, "", pii._entropy(value))[form]
+    assert (vote("000000000000"), vote("4409 1283 5501 7"), vote("440912835501")) == (-1, 1, 0)
+
+
+def test_long_values_of_other_shape_look_different():
+    a, b = "ab12-" * 20 + "9", "ab12-" * 20 + "zz"
+    assert pii._shape("ab12-" * 3) != pii._shape("ab12-" * 40) and pii._shape(a) != pii._shape(b) and len(pii._shape(a)) <= 16
