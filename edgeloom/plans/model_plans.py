@@ -69,6 +69,15 @@ def feature_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.reduce_width(instances(spark, sf_dir), "vector", "reduced", 50).select("vec_id", "reduced")
 
 
+@query("feature_reduce_distances", f"WITH {INSTANCE_SQL} SELECT a.vec_id, round(list_distance(a.vector, b.vector), 6) AS distance FROM inst a JOIN inst b ON b.vec_id = a.vec_id + 1")
+def feature_reduce_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All principal components of every vector: a rotation, so neighbours are as far apart as before, which SQL can check."""
+    turned = features.reduce_width(instances(spark, sf_dir), "vector", "turned", 64).select("vec_id", "turned")
+    after = turned.select((F.col("vec_id") - 1).alias("vec_id"), F.col("turned").alias("next"))
+    gap = F.sqrt(F.aggregate(F.zip_with("turned", "next", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x))
+    return turned.join(after, "vec_id").select("vec_id", F.round(gap, 6).alias("distance"))
+
+
 @query("feature_project")
 def feature_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.project(instances(spark, sf_dir).select("vec_id", "vector", "label"), "vector", 64, "label")
