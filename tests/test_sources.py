@@ -1,3 +1,8 @@
+from types import SimpleNamespace
+
+import pytest
+
+from edgeloom import storage
 from edgeloom.operators import texts
 from edgeloom.sources import edges as sources
 
@@ -49,3 +54,26 @@ def test_raw_names(spark):
     df = spark.createDataFrame(rows, "method string, offset long, target string")
     found = sorted(tuple(r) for r in texts.normalize_edges(df).collect())
     assert found == sorted([("a/b/C.<lambda/run$7>:()V", 3, "x"), ("<boot>", 0, "y"), ("m", 2, texts.JAVA_ARRAY_COPY)])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            storage.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context))
+
+
+def test_release_deletes_what_durable_wrote(spark):
+    kept = storage.durable(spark.range(3), "kept")
+    assert kept.count() == 3
+    storage.release(spark)
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        kept.count()
+    assert storage.durable(spark.range(3), "again").count() == 3
+
+
+def test_edges_of_many_sets_are_written_in_one_job_and_read_by_name(spark, tmp_path):
+    rows = [(p, "opal", "v1", c, "A.m:()V", 1, f"B.n{i}:()V") for i, (p, c) in enumerate((p, c) for p in ("x", "y") for c in ("0", "12"))]
+    df = spark.createDataFrame(rows, "program string, tool string, version string, config_id string, method string, offset long, target string")
+    sources.write_edges(df, str(tmp_path / "edges"))
+    assert sorted(map(tuple, sources.read_edges(spark, str(tmp_path / "edges")).select(*df.columns).collect())) == sorted(rows)
