@@ -147,6 +147,40 @@ class ToxicityModel:
         return found
 
 
+@dataclass(frozen=True)
+class Batch:
+    """Bags that are learned from together: their entries as row of the table, document and share."""
+
+    toxic: np.ndarray
+    weight: np.ndarray
+    rows: np.ndarray
+    owner: np.ndarray
+    shares: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, bags: list[tuple[np.ndarray, np.ndarray]], used: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> Batch:
+        sizes = np.array([len(slots) for slots, _ in bags])
+        rows = np.searchsorted(used, np.concatenate([slots for slots, _ in bags])).astype(np.int32)
+        owner = np.repeat(np.arange(len(bags), dtype=np.int32), sizes)
+        return cls(toxic, (weight / weight.sum()).astype(np.float32), rows, owner, np.concatenate([s for _, s in bags]).astype(np.float32), sizes)
+
+    def means(self, table: np.ndarray) -> np.ndarray:
+        """The mean embedding of each document; zero for one without words."""
+        found, filled = np.zeros((len(self.toxic), table.shape[1]), np.float32), np.flatnonzero(self.sizes)
+        if len(filled):
+            entries = table.take(self.rows, axis=0)
+            entries *= self.shares[:, None]
+            found[filled] = np.add.reduceat(entries, (np.cumsum(self.sizes) - self.sizes)[filled], axis=0)
+        return found
+
+    def slopes(self, back: np.ndarray, size: int) -> np.ndarray:
+        """The slopes of the table's rows, from those of the documents' means."""
+        entries = np.ascontiguousarray(back.T).take(self.owner, axis=1)
+        entries *= self.shares
+        return np.stack([np.bincount(self.rows, e, size) for e in entries], axis=1).astype(np.float32)
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight: np.ndarray) -> ToxicityModel:
     """Embeddings of the buckets and softmax weights, trained jointly by Adam on the cross-entropy.
 
@@ -157,34 +191,30 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, weight:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(4 * toxic[0] - 2) * 2 if len(toxic) else -4.0)
     rng = np.random.default_rng(SEED)
     # only buckets that the bags hold are learned; all others stay at zero
-    used, places = np.unique(np.concatenate([slots for slots, _ in bags]), return_inverse=True)
-    ends = np.cumsum([len(slots) for slots, _ in bags])[:-1]
-    bags = list(zip(np.split(places, ends), (shares.astype(np.float32) for _, shares in bags), strict=True))
-    params = [rng.normal(0, 1 / WIDTH, (len(used), WIDTH)).astype(np.float32), rng.normal(0, 1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)]
+    used = np.unique(np.concatenate([slots for slots, _ in bags]))
+    order = rng.permutation(len(toxic))
+    batches = [Batch.of([bags[i] for i in chosen], used, toxic[chosen], weight[chosen]) for chosen in np.array_split(order, max(1, len(order) // BATCH))]
+    table, soft, bias = rng.normal(0, 1 / WIDTH, (len(used), WIDTH)).astype(np.float32), rng.normal(0, 1, (WIDTH, 2)).astype(np.float32), np.zeros(2, np.float32)
+    params = [table, soft, bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
     for turn in range(ROUNDS):
         rate = RATE * (1 - turn / ROUNDS)
-        order = rng.permutation(len(toxic))
-        for chosen in np.array_split(order, max(1, len(order) // BATCH)):
-            slots = np.concatenate([bags[i][0] for i in chosen])
-            shares = np.concatenate([bags[i][1] for i in chosen])
-            owner = np.repeat(np.arange(len(chosen)), [len(bags[i][0]) for i in chosen])
-            table, soft, bias = params
-            mean = np.stack([np.bincount(owner, table[slots, k] * shares, len(chosen)) for k in range(WIDTH)], axis=1)
+        for at in rng.permutation(len(batches)):
+            batch = batches[at]
+            mean = batch.means(table)
             logits = mean @ soft + bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(chosen)), toxic[chosen]] -= 1
-            p *= (weight[chosen] / weight[chosen].sum())[:, None]
-            back = (p @ soft.T)[owner] * shares[:, None]
-            grads = [np.stack([np.bincount(slots, back[:, k], len(used)) for k in range(WIDTH)], axis=1) + DECAY * table, mean.T @ p, p.sum(axis=0)]
+            p[np.arange(len(p)), batch.toxic] -= 1
+            p *= batch.weight[:, None]
             step += 1
-            for i, g in enumerate(grads):
-                first[i] = 0.9 * first[i] + 0.1 * g
-                second[i] = 0.99 * second[i] + 0.01 * g * g
-                params[i] = (params[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    table, soft, bias = params
+            slopes = batch.slopes((p @ soft.T).astype(np.float32), len(table))
+            slopes += np.float32(DECAY) * table
+            for i, g in enumerate((slopes, mean.T @ p, p.sum(axis=0))):
+                first[i] += np.float32(0.1) * (g - first[i])
+                second[i] += np.float32(0.01) * (g * g - second[i])
+                params[i] -= np.float32(rate / (1 - 0.9**step)) * first[i] / (np.sqrt(second[i] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
     slopes = np.zeros(BUCKETS, np.float32)
     slopes[used] = table @ (soft[:, 1] - soft[:, 0])
     return ToxicityModel(slopes, float(bias[1] - bias[0]))
@@ -228,6 +258,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PE
     slots, shares = ([c.values.to_numpy(zero_copy_only=False)[a:b] for c in rows[name].chunks for a, b in zip(c.offsets.to_pylist(), c.offsets.to_pylist()[1:], strict=False)] for name in ("slots", "shares"))
     seen = np.bincount(toxic, minlength=2)
     weight = np.array([sizes.get(t, 0) / max(1, seen[t]) for t in toxic])
+    del rows
     # the same bags in the same order give the same model, however tasks finish
     order = sorted(range(len(toxic)), key=lambda i: (toxic[i], len(slots[i]), slots[i].tobytes()))
     return train([(slots[i], shares[i]) for i in order], toxic[order], weight[order])
