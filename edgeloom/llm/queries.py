@@ -10,6 +10,7 @@ from edgeloom.llm.attribution import op8_section_tokens
 from edgeloom.llm.byte_bpe import op9_byte_bpe
 from edgeloom.llm.context_mixing import op2_context_mixing
 from edgeloom.llm.licences import op7_licences
+from edgeloom.llm.merkle import OP12_SQL, op12_merkle_manifest
 from edgeloom.llm.mixing import OP5_SQL, op5_mix_sources
 from edgeloom.llm.pii import op1_personal_data
 from edgeloom.llm.quality import OP3_SQL, op3_quality_rules
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_section_tokens": op8_section_tokens,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_duplicates": op10_near_duplicates,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": OP3_SQL,
     "op4_nearest_vectors": OP4_SQL,
     "op5_mix_sources": OP5_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
