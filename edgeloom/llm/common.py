@@ -26,6 +26,11 @@ def id_hash(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark's parsers read it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def own_names(df: DataFrame, *names: str) -> list[str]:
     """Names like those given that no column of ``df`` bears, in whatever case."""
     taken = {c.lower() for c in df.columns}

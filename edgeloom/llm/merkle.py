@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import documents, durable, id_hash
+from edgeloom.llm.common import documents, durable, id_hash, quoted
 from edgeloom.operators.ranks import ordered_rank
 
 #: Consecutive nodes that are hashed together.
@@ -278,9 +278,9 @@ def numbered_leaves(docs: DataFrame, columns: Sequence[str] = COLUMNS, tree: str
     and rows equal in both as they come, which makes no difference. ``changed`` is what a
     row's digest is said to be when it is verified, null for the digest itself.
     """
-    plain = [F.col(f"`{c}`") for c in columns]
+    plain = [F.col(quoted(c)) for c in columns]
     other = changed if changed is not None else F.lit(None).cast("string")
-    staged = docs.select(tree_key(F.col(f"`{tree}`")).alias("tree"), F.col(f"`{order}`").alias("doc_id"), record_digest(plain).alias("leaf"), other.alias("changed"), F.monotonically_increasing_id().alias("tie"))
+    staged = docs.select(tree_key(F.col(quoted(tree))).alias("tree"), F.col(quoted(order)).alias("doc_id"), record_digest(plain).alias("leaf"), other.alias("changed"), F.monotonically_increasing_id().alias("tie"))
     ranked = ordered_rank(durable(staged, "merkle-leaves"), ["tree"], [F.col("doc_id"), F.col("leaf"), F.col("tie")], "rank")
     return ranked.select("tree", (F.col("rank") - 1).cast("long").alias("place"), F.col("leaf").alias("digest"), F.struct("doc_id", "leaf", "changed").alias("row"))
 
