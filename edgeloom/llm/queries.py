@@ -13,6 +13,7 @@ from edgeloom.llm.licences import op7_licences
 from edgeloom.llm.merkle import OP12_SQL, op12_merkle_manifest
 from edgeloom.llm.mixing import OP5_SQL, op5_mix_sources
 from edgeloom.llm.periodic_runs import op13_periodic_runs
+from edgeloom.llm.phrases import op11_phrase_fingerprints
 from edgeloom.llm.pii import op1_personal_data
 from edgeloom.llm.quality import OP3_SQL, op3_quality_rules
 from edgeloom.llm.rp_forest import OP4_SQL, op4_nearest_vectors
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_section_tokens": op8_section_tokens,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_phrase_fingerprints": op11_phrase_fingerprints,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_periodic_runs": op13_periodic_runs,
 }
