@@ -86,12 +86,14 @@ def field_sections(fields: list[str]) -> tuple[str, list[tuple[int, int]]]:
 
 
 def given_sections(spans: list[dict] | None, length: int) -> list[tuple[int, int]]:
-    """Given spans in order, cut to the text; ``start`` and ``end`` in characters, end exclusive. They must not overlap."""
+    """Given spans in order, cut to the text; ``start`` and ``end`` in characters, end exclusive. Of two that overlap the later begins where the earlier ends."""
     found = sorted((max(0, x["start"]), min(length, x["end"])) for x in spans or [] if x and x["start"] is not None and x["end"] is not None)
-    found = [s for s in found if s[1] > s[0]]
-    if any(a[1] > b[0] for a, b in zip(found, found[1:], strict=False)):
-        raise ValueError("sections of a text overlap")
-    return found
+    out, done = [], 0
+    for start, end in found:
+        if end > max(start, done):
+            out.append((max(start, done), end))
+            done = end
+    return out
 
 
 def _attributed(batches: Iterator[pa.RecordBatch], path: str, rule: str, kind: str) -> Iterator[pa.RecordBatch]:
@@ -116,7 +118,8 @@ def section_tokens(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Sections are the text's lines with their line ends; or the columns ``fields``, put
     together with a line end after each but the last; or the spans in the column ``spans``
-    (array of structs with start and end in characters), which must not overlap. Each
+    (array of structs with start and end in characters); a span that begins within an
+    earlier one is cut to begin at its end, and one without characters is left out. Each
     document is encoded once, as a whole, and its tokens are allotted by their character
     offsets; ``n_tokens`` also counts tokens outside all sections. A null text or field
     counts as empty; a text without characters has no lines, an empty field has a section

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import documents, others, own_names, slices
+from edgeloom.llm.common import documents, neutral, others, quoted, restored, slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The pattern for texts below U+0100, with its classes spelt out for the standard library, which splits faster.
@@ -186,14 +186,15 @@ def encode_documents(docs: DataFrame, text: str = "text", vocabulary: str | None
     ``vocabulary``: path of a rank file that every executor can read. A null text counts
     as empty; a text of any length is encoded whole, piece by piece. Repeated rows are
     kept and an empty table gives an empty table. Columns named like the added ones, in
-    whatever case, are replaced.
+    whatever case, are replaced; others may bear any name.
     """
     path = vocabulary or public_tokenizers.path(RANKS)
     kept = others(docs.columns, (text, "n_tokens", "ids", "ids_sha256", "decoded_sha256"))
-    narrow = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(text).cast("string"), F.lit("")).alias(own_names(docs, "_text")[0]))
-    kinds = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in kept]
-    schema = ", ".join([*kinds, "n_tokens long", *["ids array<int>"] * ids, "ids_sha256 string", "decoded_sha256 string"])
-    return narrow.mapInArrow(lambda batches: (_encoded if ids else _digests)(batches, path), schema)
+    plain, _ = neutral(docs.select(*[F.col(quoted(c)) for c in kept], F.coalesce(F.col(quoted(text)).cast("string"), F.lit("")).alias("_text")))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema[:-1]]
+    added = ["n_tokens long", *["ids array<int>"] * ids, "ids_sha256 string", "decoded_sha256 string"]
+    found = plain.mapInArrow(lambda batches: (_encoded if ids else _digests)(batches, path), ", ".join([*kinds, *added]))
+    return restored(found, dict(zip(kept, plain.columns, strict=False)), [a.split()[0] for a in added])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
@@ -207,13 +208,15 @@ def decode_documents(encoded: DataFrame, ids: str = "ids", vocabulary: str | Non
     """The other columns of ``encoded`` with ``text``, what the token ids stand for.
 
     Ids that no text has, cut within a character, decode to replacement characters there.
-    Null ids count as none. A column ``text`` is replaced. An empty table gives an empty one.
+    Null ids count as none. A column ``text`` is replaced; others may bear any name. An
+    empty table gives an empty one.
     """
     path = vocabulary or public_tokenizers.path(RANKS)
     kept = others(encoded.columns, (ids, "text"))
-    narrow = encoded.select(*[F.col(f"`{c}`") for c in kept], F.col(ids).alias(own_names(encoded, "_ids")[0]))
-    kinds = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in kept]
-    return narrow.mapInArrow(lambda batches: _decoded(batches, path), ", ".join([*kinds, "text string"]))
+    plain, _ = neutral(encoded.select(*[F.col(quoted(c)) for c in kept], F.col(quoted(ids)).alias("_ids")))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema[:-1]]
+    found = plain.mapInArrow(lambda batches: _decoded(batches, path), ", ".join([*kinds, "text string"]))
+    return restored(found, dict(zip(kept, plain.columns, strict=False)), ["text"])
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,6 +43,17 @@ def own_names(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def neutral(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The same rows under column names that no operator adds, and the new name of each column."""
+    plain = [f"column_{i}" for i in range(len(df.columns))]
+    return df.toDF(*plain), dict(zip(df.columns, plain, strict=True))
+
+
+def restored(df: DataFrame, names: dict[str, str], added: Iterable[str] = ()) -> DataFrame:
+    """The columns that ``neutral`` renamed, under their own names, and those added."""
+    return df.select(*[F.col(new).alias(old) for old, new in names.items()], *added)
+
+
 def others(columns: Iterable[str], replaced: Iterable[str]) -> list[str]:
     """The columns but for those that bear a replaced name, in whatever case."""
     gone = {c.lower() for c in replaced}

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import WORD_PATTERN, documents, durable, others, own_names
+from edgeloom.llm.common import WORD_PATTERN, documents, durable, others, own_names, quoted
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -80,7 +80,7 @@ def mix_sources(rows: DataFrame, size: str = "size", source: str = "source", doc
     kept = others(rows.columns, added)
     n, key, own, bucket, tie, start, whole, rest, before = own_names(rows, "_mix_n", "_mix_key", "_mix_source", "_mix_bucket", "_mix_tie", "_mix_start", "_mix_whole", "_mix_rest", "_mix_before")
     hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
-    plain = [F.col(f"`{c}`") for c in kept]
+    plain = [F.col(quoted(c)) for c in kept]
     keyed = rows.select(*plain, F.coalesce(F.col(size), F.lit(0)).cast("long").alias(n), hashed.alias(key), source_key(F.col(source)).alias(own), F.xxhash64(*plain).alias(tie))
     keyed = keyed.withColumn(bucket, F.substring(key, 1, BUCKET_DIGITS))
     goals = source_targets(keyed, own, n, weights, budget, max_epochs)

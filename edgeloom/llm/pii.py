@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import documents, durable, slices, texts
+from edgeloom.llm.common import documents, durable, neutral, quoted, restored, slices, texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the learned classifier adds.
@@ -56,7 +56,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     spans = [(s, 0, e) for s, e in _emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
+            if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in m[0].split(".")):
                 spans.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
@@ -230,7 +230,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def label_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``base`` spans and ``candidates`` with votes and features, of every row."""
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    narrow = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).cast("string").alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
     return narrow.mapInArrow(_labelled, f"doc_id {kind}, base array<struct<start:int,kind:int,end:int>>, candidates array<struct<start:int,kind:int,end:int,votes:int,features:array<int>>>")
 
@@ -317,15 +317,16 @@ def _masked(batches: Iterator[pa.RecordBatch], model: SpanModel) -> Iterator[pa.
 
 
 def mask_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """``docs`` with all spans masked in ``text``, and ``length`` (if there is such a column) set anew. Null texts stay null."""
+    """``docs`` with all spans masked in ``text``, and ``length`` (if there is such a column) set anew. Null texts stay null. Other columns may bear any name."""
     model = fit_span_model(durable(label_spans(docs, doc_id, text), "pii-labelled"))
-    order = [c for c in docs.columns if c != text]
-    moved = docs.select(*order, F.col(text).cast("string").alias(text))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in moved.schema)
+    plain, names = neutral(docs)
+    own = names[text]
+    moved = plain.select(*[c for c in plain.columns if c != own], F.col(own).cast("string").alias(own))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in moved.schema)
     masked = moved.mapInArrow(lambda batches: _masked(batches, model), kinds)
-    if length in docs.columns:
-        masked = masked.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return masked.select(*docs.columns)
+    if length in names:
+        masked = masked.withColumn(names[length], F.length(own).cast(docs.schema[length].dataType))
+    return restored(masked, names)
 
 
 def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import documents, durable, others, own_names, slices, utf8
+from edgeloom.llm.common import documents, durable, others, quoted, restored, slices, utf8
 
 WINDOW_WORDS = 5
 MIN_WORDS = 10
@@ -151,7 +151,7 @@ def language_references(docs: DataFrame, text: str = "text", lang: str = "lang",
     The table (``_of``, ``_parts``, ``_total``) has a row for each further language and is
     None if there is none.
     """
-    narrow = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
+    narrow = docs.select(F.col(quoted(lang)).cast("string").alias("lang"), F.col(quoted(text)).cast("string").alias("text"))
     partial = narrow.mapInArrow(_counted, "lang string, kind int, word binary, n long")
     of = F.explode(F.array_compact(F.array(F.lit("*"), F.concat(F.lit("="), F.col("lang"))))).alias("of")
     counts = durable(partial.select(of, "kind", "word", "n").groupBy("of", "kind", "word").agg(F.sum("n").alias("n")), "quality-counts")
@@ -222,15 +222,16 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep:
     added = [c.split()[0] for c in COLUMNS.split(", ")]
     kept = others(docs.columns if keep is None else keep, added)
     references, rest = language_references(docs, text, lang, most)
-    own_text, own_lang, of = own_names(docs, "_text", "_lang", "_of")
-    narrow = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).cast("string").alias(own_text), F.col(lang).cast("string").alias(own_lang))
-    kinds = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in kept]
+    own_text, own_lang, of = "_text", "_lang", "_of"
+    plain = [f"column_{i}" for i in range(len(kept))]
+    narrow = docs.select(*[F.col(quoted(c)).alias(p) for c, p in zip(kept, plain, strict=True)], F.col(quoted(text)).cast("string").alias(own_text), F.col(quoted(lang)).cast("string").alias(own_lang))
+    kinds = [f"{p} {narrow.schema[p].dataType.simpleString()}" for p in plain]
     shape, width = ", ".join([*kinds, COLUMNS]), len(kept)
-    verdicts = lambda df: df.mapInArrow(lambda batches: _judged(batches, references, width), shape)
+    verdicts = lambda df: restored(df.mapInArrow(lambda batches: _judged(batches, references, width), shape), dict(zip(kept, plain, strict=True)), added)
     if rest is None:
         return verdicts(narrow)
     held = F.col(own_lang).isNull() | F.col(own_lang).isin([x for x in references if x is not None])
-    rest = rest.toDF(of, *own_names(docs, "_parts", "_total"))
+    rest = rest.toDF(of, "_parts", "_total")
     joined = narrow.filter(~held).join(rest, F.col(own_lang) == F.col(of), "left").drop(of)
     return verdicts(narrow.filter(held)).unionByName(verdicts(joined))
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from edgeloom.llm.common import documents, durable, own_names, slices, utf8
+from edgeloom.llm.common import documents, durable, own_names, quoted, slices, utf8
 from edgeloom.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -157,8 +157,8 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     marked = docs.withColumn(bits, F.pandas_udf(_print_of, "long")(F.coalesce(F.col(text).cast("string"), F.lit(""))))
     found = marked.join(components.select(F.col("print").alias(bits), F.col("component").alias(component), F.col("component_id").alias(least)), bits)
     found = found.filter(F.col(doc_id).eqNullSafe(F.col(least)))
-    first = F.row_number().over(Window.partitionBy(component).orderBy(*[F.col(f"`{c}`") for c in docs.columns]))
-    return found.withColumn(rank, first).filter(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.row_number().over(Window.partitionBy(component).orderBy(*[F.col(quoted(c)) for c in docs.columns]))
+    return found.withColumn(rank, first).filter(F.col(rank) == 1).select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

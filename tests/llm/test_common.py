@@ -2,7 +2,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.llm import byte_bpe, common, mixing, quality
+import corpus_pipeline
+from edgeloom.llm import attribution, byte_bpe, common, context_mixing, licences, merkle, mixing, periodic_runs, phrases, pii, quality, simhash, toxicity
 
 
 def test_slices_are_bounded_by_rows_and_bytes_and_lose_nothing():
@@ -44,3 +45,33 @@ def test_decoding_gives_the_texts_back(spark):
     assert byte_bpe.decode_documents(byte_bpe.encode_documents(df.limit(0))).count() == 0
     cut = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert [r["text"] for r in byte_bpe.decode_documents(cut).collect()] == ["", ""]
+
+
+ODD_NAMES = ["a.b", "x`y", "two words", "`", ".", "doc_id.text", "ünï(1)", "N_Chars "]
+
+
+def odd_table(spark):
+    rows = [(i, f"{WORDS} {i} call +49 30 1234567 " + " ".join(f"w{i}x{j}" for j in range(20)), "en", "s", 7, *[11] * len(ODD_NAMES)) for i in range(6)]
+    columns = ", ".join("`" + n.replace("`", "``") + "` int" for n in ODD_NAMES)
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {columns}")
+
+
+def test_every_operator_takes_columns_of_any_name(spark):
+    df = odd_table(spark)
+    labels = df.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")
+    keeping = [quality.quality_rules(df), byte_bpe.encode_documents(df), byte_bpe.decode_documents(byte_bpe.encode_documents(df)), mixing.mix_sources(df.withColumn("words", F.lit(10)), size="words"), pii.mask_personal_data(df), simhash.one_of_each(df), periodic_runs.periodic_runs(df), phrases.document_fingerprints(df)]
+    for out in keeping:
+        assert set(ODD_NAMES) <= set(out.columns) and out.count() == 6
+        assert {r[n] for r in out.collect() for n in ODD_NAMES} == {11}
+    for out in (pii.find_personal_data(df), attribution.section_tokens(df), licences.scan_licences(df), simhash.near_duplicates(df), phrases.compare_with_next(df), merkle.verify_documents(df)):
+        assert out.count() == 6
+    assert context_mixing.score_texts(df).count() == 6
+    assert toxicity.score_toxicity(df, toxicity.fit_toxicity(df, labels)).count() == 6
+
+
+def test_every_stage_takes_columns_of_any_name(spark):
+    docs = odd_table(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert set(ODD_NAMES) <= set(out.columns) and {r[n] for r in out.collect() for n in ODD_NAMES} == {11}, name
+        assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns

@@ -91,3 +91,12 @@ def test_form_labeler_has_opinions_on_accounts():
 def test_long_values_of_other_shape_look_different():
     a, b = "ab12-" * 20 + "9", "ab12-" * 20 + "zz"
     assert pii._shape("ab12-" * 3) != pii._shape("ab12-" * 40) and pii._shape(a) != pii._shape(b) and len(pii._shape(a)) <= 16
+
+
+def test_numbers_of_any_length(spark):
+    zeros = "0" * 5_000
+    rows = [(1, f"{zeros}.0.0.0"), (2, f"{zeros}255.1.2.{zeros}3"), (3, f"{zeros}256.1.2.3"), (4, "9" * 6_000 + ".1.1.1"), (5, "1" * 5_000), (6, "+" + "1 " * 5_000), (7, f"a@b.{zeros}")]
+    found = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i]["n_ip"] for i in range(1, 8)] == [1, 1, 0, 0, 0, 0, 0]
+    assert f"ip:0:{5_006}" in found[1]["spans"] and found[7]["n_email"] == 1
+    assert sum(found[i]["n_card"] + found[i]["n_phone"] for i in range(1, 8)) == 0

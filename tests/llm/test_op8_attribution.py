@@ -76,5 +76,6 @@ def test_fields_and_given_spans(spark):
     marked = {r["doc_id"]: r for r in at.section_tokens(df, text="title", spans="marks").collect()}
     assert [(x["section"], x["start"], x["end"], x["tokens"]) for x in marked[1]["sections"]] == [(0, 0, 3, 1.0), (1, 4, 9, 1.0)]
     assert all(marked[i]["sections"] == [] for i in (2, 3, None))
-    with pytest.raises(Exception, match="overlap"):
-        at.section_tokens(spark.createDataFrame([(1, "abc", [(0, 2), (1, 3)])], "doc_id long, text string, marks array<struct<start:int,end:int>>"), spans="marks").collect()
+    over = spark.createDataFrame([(1, "The river stone", [(10, 15), (0, 9), (3, 5), (4, 12)])], "doc_id long, text string, marks array<struct<start:int,end:int>>")
+    cut = at.section_tokens(over, spans="marks").first()
+    assert [(x["start"], x["end"]) for x in cut["sections"]] == [(0, 9), (9, 12), (12, 15)] and cut["n_tokens"] == 3
