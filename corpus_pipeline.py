@@ -12,24 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.llm.byte_bpe import encode_documents
-from edgeloom.llm.common import documents, durable
+from edgeloom.llm.common import documents, durable, neutral, restored
 from edgeloom.llm.mixing import mix_sources, repetitions, word_count
 from edgeloom.llm.pii import mask_personal_data
 from edgeloom.llm.quality import quality_rules
 from edgeloom.llm.simhash import one_of_each
 
 
-def neutral(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """The same rows under column names that no operator adds, and the new name of each column."""
-    names = {c: f"column_{i}" for i, c in enumerate(docs.columns)}
-    return docs.toDF(*names.values()), names
-
-
-def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    """The columns that ``neutral`` renamed, under their own names."""
-    return df.select(*[F.col(new).alias(old) for old, new in names.items()])
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     plain, names = neutral(docs)
