@@ -18,7 +18,7 @@ def three_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total_edges(spark, sf_dir).withColumn("config_id", few).distinct()
 
 
-def _prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def app_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brands with sizes above 45 as prefixes of program A, suppliers of nation 3 as those of N; R has none."""
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     a = part.filter("p_size > 45").select(F.lit("A").alias("program"), F.concat(F.lit("b/"), "p_brand").alias("prefix"))
@@ -33,7 +33,7 @@ PREFIX_SQL = """prefixes AS (
 
 @query("filter_app_edges", f"WITH {EDGE_SQL}, {PREFIX_SQL} SELECT t.* FROM total_edges t WHERE EXISTS (SELECT 1 FROM prefixes p WHERE p.program = t.program AND (starts_with(t.method, p.prefix) OR starts_with(t.target, p.prefix)))")
 def filter_app_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.keep_app_edges(total_edges(spark, sf_dir), _prefixes(spark, sf_dir))
+    return filters.keep_app_edges(total_edges(spark, sf_dir), app_prefixes(spark, sf_dir))
 
 
 @query("filter_platform_edges", f"WITH {EDGE_SQL} SELECT * FROM total_edges WHERE NOT starts_with(method, 's/1') AND NOT starts_with(target, 's/1')")

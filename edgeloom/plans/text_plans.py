@@ -8,12 +8,15 @@ from pyspark.sql import types as T
 
 from edgeloom.functions import signatures
 from edgeloom.operators import texts
+from edgeloom.operators.labels import class_counts
 from edgeloom.plans.labelling import labelled
 from edgeloom.plans.registry import query
 from edgeloom.plans.views import EDGE_SQL, raw_edges, table, total_edges, true_edges
+from edgeloom.plans.set_plans import PREFIX_SQL, app_prefixes
 from edgeloom.schema import EDGE
 from edgeloom.sources import edges as sources
-from edgeloom.storage import shared_path
+from edgeloom.sources.commits import read_sets
+from edgeloom.storage import durable, shared_path
 
 K = 'program, method, "offset", target'
 
@@ -36,22 +39,86 @@ def source_read_or_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("source_edge_db", f"WITH {EDGE_SQL} SELECT program, tool, config_id, method, \"offset\", target, CASE WHEN is_true AND is_false THEN 'conflict' WHEN is_true THEN 'true' WHEN is_false THEN 'false' ELSE 'unknown' END AS edge_class FROM labelled")
 def source_edge_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the labelled database twice (a rerun replaces what it wrote) and read it."""
-    path = shared_path(spark, "edge-db")
+    path, key = shared_path(spark, "edge-db"), ("tool", "program", "config_id")
     found = labelled(spark, sf_dir).drop("is_true", "is_false")
-    sources.write_edge_db(found, path)
-    sources.consolidate(found, f"{path}-final")
-    sources.consolidate(found, f"{path}-final")
-    sources.write_edge_db(spark.read.parquet(f"{path}-final").select(*found.columns), path)
-    return spark.read.parquet(path).select(*found.columns)
+    sources.write_edge_db(found, path, key=key)
+    sources.consolidate(found, f"{path}-final", key)
+    sources.consolidate(found, f"{path}-final", key)
+    sources.write_edge_db(read_sets(spark, f"{path}-final", key).select(*found.columns), path, key=key)
+    return sources.read_edge_db(spark, path, key=key).select(*found.columns)
+
+
+CLASS_SQL = "CASE WHEN is_true AND is_false THEN 'conflict' WHEN is_true THEN 'true' WHEN is_false THEN 'false' ELSE 'unknown' END AS edge_class"
+#: What is left of three writes: version 1 of early places, version 2, and version 1 of the first configurations again in full.
+VERSION_SQL = """versioned AS (SELECT *, CASE WHEN "offset" <= 4 THEN 'v1' ELSE 'v2' END AS version FROM labelled),
+    standing AS (SELECT * FROM versioned WHERE version = 'v2' OR "offset" <= 2 OR config_id <= 'v4')"""
+
+
+def _versioned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labelled edges as two versions: an outdated first one, the second, and the first again for some configurations."""
+    rows = durable(labelled(spark, sf_dir).withColumn("version", F.when(F.col("offset") <= 4, "v1").otherwise("v2")), "versioned")
+    return rows.filter("offset <= 2"), rows.filter("version = 'v2'"), rows.filter("version = 'v1' and config_id <= 'v4'")
+
+
+@query(
+    "source_edge_db_two_versions",
+    f"""WITH {EDGE_SQL}, {PREFIX_SQL}, {VERSION_SQL}
+    SELECT program, tool, version, config_id, method, "offset", target, {CLASS_SQL},
+      EXISTS (SELECT 1 FROM prefixes p WHERE p.program = s.program AND (starts_with(s.method, p.prefix) OR starts_with(s.target, p.prefix))) AS in_app FROM standing s""",
+)
+def source_edge_db_two_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three writes of two versions into one database: each replaces its own sets and no others."""
+    path, prefixes = shared_path(spark, "edge-db"), app_prefixes(spark, sf_dir)
+    for part in _versioned(spark, sf_dir):
+        sources.write_edge_db(part.drop("is_true", "is_false"), path, prefixes)
+    return sources.read_edge_db(spark, path).select("program", "tool", "version", "config_id", *EDGE.fieldNames(), "edge_class", "in_app")
+
+
+@query(
+    "source_edge_db_app_view",
+    f"""WITH {EDGE_SQL}, {PREFIX_SQL}, {VERSION_SQL}
+    SELECT version, program, tool, config_id, count(*) AS total_edges, count(*) FILTER (is_true) AS true_edges, count(*) FILTER (is_false) AS false_edges, count(*) FILTER (NOT is_true AND NOT is_false) AS unknown_edges
+    FROM standing s WHERE EXISTS (SELECT 1 FROM prefixes p WHERE p.program = s.program AND (starts_with(s.method, p.prefix) OR starts_with(s.target, p.prefix))) GROUP BY ALL""",
+)
+def source_edge_db_app_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class counts of the second view, without platform edges, after the same three writes."""
+    path, prefixes = shared_path(spark, "edge-db"), app_prefixes(spark, sf_dir)
+    for part in _versioned(spark, sf_dir):
+        sources.write_edge_db(part, path, prefixes)
+    return class_counts(sources.read_edge_db(spark, path, platform=False), ("version", "program", "tool", "config_id"))
+
+
+@query("source_consolidated_versions", f"WITH {EDGE_SQL}, {VERSION_SQL} SELECT program, tool, version, config_id, method, \"offset\", target FROM versioned WHERE version = 'v2' OR \"offset\" <= 2")
+def source_consolidated_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions and a changed first one into one table: what is there is left as it is, what isn't is added."""
+    path = shared_path(spark, "final")
+    early, second, again = _versioned(spark, sf_dir)
+    # the first configurations come again with other rows; all of them have early ones, so none is added
+    for part in (early, second, again.join(early.select("tool", "program", "config_id").distinct(), ["tool", "program", "config_id"], "left_semi")):
+        sources.consolidate(part, path)
+    return read_sets(spark, path).select("program", "tool", "version", "config_id", *EDGE.fieldNames())
+
+
+@query(
+    "source_stats_two_versions",
+    f"""WITH {EDGE_SQL}, {VERSION_SQL}
+    SELECT version, program, tool, config_id, count(*) AS total_edges, count(*) FILTER (is_true) AS true_edges, count(*) FILTER (is_false) AS false_edges, count(*) FILTER (NOT is_true AND NOT is_false) AS unknown_edges FROM standing GROUP BY ALL""",
+)
+def source_stats_two_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of two versions, some of them written twice."""
+    path = shared_path(spark, "stats")
+    for part in _versioned(spark, sf_dir):
+        sources.append_stats(class_counts(part, ("version", "program", "tool", "config_id")), path)
+    return sources.read_stats(spark, path)
 
 
 @query("source_append_stats", f"WITH {EDGE_SQL} SELECT tool, program, count(*) AS edges FROM total_edges GROUP BY ALL")
 def source_append_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_path(spark, "stats")
+    path, by = shared_path(spark, "stats"), ("tool", "program")
     counts = total_edges(spark, sf_dir).groupBy("tool", "program").agg(F.count("*").alias("edges"))
-    sources.append_stats(counts, path)
-    sources.append_stats(counts, path)
-    return spark.read.schema(counts.schema).parquet(path)
+    sources.append_stats(counts, path, by)
+    sources.append_stats(counts, path, by)
+    return sources.read_stats(spark, path, by)
 
 
 @query("source_metric_files", f"WITH {EDGE_SQL} SELECT program, count(*) AS edges, round(avg(l_tax), 4) AS confidence, 'means.csv' AS file_name FROM raw_edges GROUP BY program UNION ALL SELECT program, count(*), round(max(l_tax), 4), 'maxima.csv' FROM raw_edges GROUP BY program")

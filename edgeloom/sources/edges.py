@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from edgeloom.functions.signatures import packed_vector
 from edgeloom.operators.sets import PROGRAM_KEY
 from edgeloom.schema import EDGE
+from edgeloom.sources.commits import SET, commit_sets, read_sets
 
 #: program directory / tool _ version _ config .csv, a file or a folder of part files; a writer may put a column's name before either
 EDGE_PATH = r"(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?([^/_=]+)_([^/_]+)_([^/_]+)\.csv(?:/[^/]*)?$"
@@ -59,19 +60,40 @@ def number_configs(configs: DataFrame, order: str, version: str = "version", opt
     return configs.select(version, place.alias("config_id"), entries.alias("options"))
 
 
-def consolidate(edges: DataFrame, path: str) -> None:
-    """Write one tree over all versions, leaving what is there."""
-    edges.write.mode("ignore").partitionBy("tool", "program").parquet(path)
+def consolidate(edges: DataFrame, path: str, key: Sequence[str] = SET) -> int:
+    """Add edge sets to one table over all tools and versions; a set that is there already is left as it is."""
+    return commit_sets(edges, path, key, replace=False)
 
 
-def write_edge_db(labelled: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write the labelled edges by tool, program and class; a rerun replaces the partitions that it writes."""
-    labelled.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("tool", "program", "edge_class").parquet(path)
+def write_edge_db(labelled: DataFrame, path: str, prefixes: DataFrame | None = None, key: Sequence[str] = SET, sets: DataFrame | None = None) -> int:
+    """Write labelled edge sets; a rerun replaces the sets that it writes and no others.
+
+    Rows are stored once, by tool, program and class. With ``prefixes`` (program, prefix)
+    ``in_app`` says whether an edge is one of the program's own, which makes the second
+    view, without platform edges. ``sets`` names sets that may have no edge.
+    """
+    if prefixes is not None:
+        lists = prefixes.groupBy(F.col("program").alias("_program")).agg(F.collect_set("prefix").alias("_prefixes"))
+        own = F.exists("_prefixes", lambda p: F.col("method").startswith(p) | F.col("target").startswith(p))
+        joined = labelled.join(lists, F.col("program") == F.col("_program"), "left")
+        labelled = joined.withColumn("in_app", F.coalesce(own, F.lit(False))).drop("_program", "_prefixes")
+    return commit_sets(labelled, path, key, sets=sets, layout=("tool", "program", "edge_class"))
+
+
+def read_edge_db(spark: SparkSession, path: str, platform: bool = True, key: Sequence[str] = SET, version: int | None = None, only: dict[str, str] | None = None) -> DataFrame:
+    """The labelled edges with all classes; without ``platform`` only the programs' own."""
+    rows = read_sets(spark, path, key, version, ("tool", "program", "edge_class"), only)
+    return rows if platform else rows.filter("in_app")
+
+
+def append_stats(stats: DataFrame, path: str, by: Sequence[str] = SET) -> int:
+    """Add statistics; rows of the groups ``by`` that were written before are replaced, so a rerun doesn't repeat them."""
+    return commit_sets(stats, path, by, layout=())
 
 
-def append_stats(stats: DataFrame, path: str, by: Sequence[str] = ("tool", "program")) -> None:
-    """Add statistics; rows of groups written before are replaced, so a rerun doesn't repeat them."""
-    stats.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+def read_stats(spark: SparkSession, path: str, by: Sequence[str] = SET, version: int | None = None) -> DataFrame:
+    """The statistics as they stand."""
+    return read_sets(spark, path, by, version, ())
 
 
 def write_results(predictions: DataFrame, path: str) -> None:
