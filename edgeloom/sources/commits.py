@@ -8,11 +8,13 @@ for readers, and a manifest appears as a whole, by renaming a folder.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from edgeloom.operators.sets import keep_in, keep_out
 
@@ -52,7 +54,7 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def manifest(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
-    """Key, ``rows`` and ``batch`` of every set, in the last manifest or a given one; None before the first."""
+    """Key, ``rows``, ``batch`` and ``shape`` (its columns) of every set, in the last manifest or a given one; None before the first."""
     found = version or max(versions(spark, path), default=None)
     return None if found is None else spark.read.parquet(f"{path}/manifests/{found:012d}")
 
@@ -83,7 +85,7 @@ def commit_sets(rows: DataFrame, path: str, key: Sequence[str] = SET, replace: b
         named = sets.select(*key).distinct()
         named = named if replace or before is None else keep_out(named, before, key)
         counts = counts.unionByName(keep_out(named, counts, key).withColumn("rows", F.lit(0).cast("long")))
-    own = counts.withColumn("batch", F.lit(batch))
+    own = counts.withColumns({"batch": F.lit(batch), "shape": F.lit(rows.schema.json())})
     for _ in range(ATTEMPTS):
         base = max(versions(spark, path), default=0)
         now = own
@@ -111,12 +113,13 @@ def read_sets(spark: SparkSession, path: str, key: Sequence[str] = SET, version:
     wanted = F.lit(True)
     for c, value in (only or {}).items():
         wanted = wanted & F.col(c).eqNullSafe(F.lit(value))
-    batches = [r["batch"] for r in live.filter(wanted).select("batch").distinct().collect()]  # one for each write that still counts
-    if not batches:  # all sets of the table are others: its columns, no rows
-        batches, wanted = [live.first()["batch"]], F.lit(False)
+    found = live.filter(wanted & (F.col("rows") > 0)).select("batch", "shape").distinct().collect()  # one for each write that still counts
+    if not found:
+        return spark.createDataFrame([], _shape(live.first()["shape"]))
     parts = None
-    for batch in batches:
-        part = spark.read.parquet(f"{path}/batches/{batch}").withColumn("batch", F.lit(batch))
+    for batch, shape in found:
+        # folders' names are read as text: Spark would take 007 for a number
+        part = spark.read.schema(_shape(shape, [f"in_{c}" for c in layout])).parquet(f"{path}/batches/{batch}").withColumn("batch", F.lit(batch))
         for c in only or {}:
             if c in layout:
                 part = part.filter(_in_folder(c, only[c]))
@@ -125,9 +128,14 @@ def read_sets(spark: SparkSession, path: str, key: Sequence[str] = SET, version:
     return parts.drop("batch", *[f"in_{c}" for c in layout])
 
 
+def _shape(found: str, folders: Sequence[str] = ()) -> T.StructType:
+    """A batch's columns, and those that folders name."""
+    return T.StructType([*T.StructType.fromJson(json.loads(found)), *[T.StructField(f, T.StringType()) for f in folders]])
+
+
 def _in_folder(column: str, value: str) -> Column:
     """The folder of a value; null and the empty text share one."""
-    folder = F.col(f"in_{column}").cast("string")
+    folder = F.col(f"in_{column}")
     return folder.isNull() if value in (None, "") else folder == F.lit(value).cast("string")
 
 

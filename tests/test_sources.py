@@ -22,9 +22,9 @@ def test_missing_table_is_empty(spark, tmp_path):
 def test_rerun_replaces_statistics(spark, tmp_path):
     df = spark.createDataFrame([("a", "p", 1), ("a", "q", 2)], "tool string, program string, edges long")
     for _ in range(2):
-        sources.append_stats(df, str(tmp_path / "s"))
-    sources.append_stats(df.filter("program = 'q'").selectExpr("tool", "program", "edges + 1 as edges"), str(tmp_path / "s"))
-    assert sorted((r["program"], r["edges"]) for r in spark.read.parquet(str(tmp_path / "s")).collect()) == [("p", 1), ("q", 3)]
+        sources.append_stats(df, str(tmp_path / "s"), ("tool", "program"))
+    sources.append_stats(df.filter("program = 'q'").selectExpr("tool", "program", "edges + 1 as edges"), str(tmp_path / "s"), ("tool", "program"))
+    assert sorted((r["program"], r["edges"]) for r in sources.read_stats(spark, str(tmp_path / "s"), ("tool", "program")).collect()) == [("p", 1), ("q", 3)]
 
 
 def test_metric_files_bear_their_name(spark, tmp_path):
