@@ -21,6 +21,9 @@ SLOTS = 128
 #: UTF-8 bytes of texts that are parsed together, unless one text has more; symbols that are named together.
 BATCH_BYTES, NAMED = 1 << 20, 1 << 18
 
+#: Rows of a range that a task sorts and compares, while that makes fewer ranges than stated.
+RANGE_ROWS, MOST_RANGES = 1_000, 10_000
+
 #: The byte between texts, which UTF-8 never holds, and its name on all higher levels.
 GAP, GAP_NAME = 0xFF, (1 << 64) - 1
 _DEBRUIJN = 0x03F79D71B4CB0A89
@@ -283,7 +286,8 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     narrow = docs.select(F.col(quoted(doc_id)).alias("doc_id"), F.col(quoted(text)).cast("string").alias("text"))
     keyed = narrow.withColumns({"tie": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     order = [F.col("doc_id").desc_nulls_last(), F.col("tie"), F.col("row")]
-    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", F.spark_partition_id().alias("part"), "text")
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_RANGES, docs.count() // RANGE_ROWS))
+    dealt = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", F.spark_partition_id().alias("part"), "text")
     kind = narrow.schema["doc_id"].dataType.simpleString()
     rows = durable(dealt.mapInArrow(_in_order, f"doc_id {kind}, part int, edge string, text string, {COMPARED}"), "phrase-rows")
     ends = rows.filter("edge is not null")
