@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from edgeloom.operators.ranks import ordered_rank, quantiles
+from edgeloom.operators.ranks import ordered_rank, quantile_sketches, quantiles
 from edgeloom.operators.sets import PROGRAM_KEY, flagged_union, keep_in
 from edgeloom.storage import durable
 
@@ -130,6 +130,11 @@ def confidence_by_error(predictions: DataFrame, by: Sequence[str], error: str =
     return quantiles(predictions, confidence, {"q1": 0.25, "median": 0.5, "q3": 0.75}, [*by, error])
 
 
+def confidence_sketches(predictions: DataFrame, by: Sequence[str], error: str = "error_type", confidence: str = "confidence") -> DataFrame:
+    """A mergeable sketch of the confidence of each kind of error, for ``ranks.sketched_quantiles``."""
+    return quantile_sketches(predictions, confidence, [*by, error])
+
+
 def leader_board(metrics: DataFrame, least_gt_f1: float = 0.7, n: int = 20, name: str = "file_name") -> DataFrame:
     """Best runs by weighted score: .2 f1 + .6 gt_f1 + gt_TP + .2 TN + 4 gt_TN; ties by name."""
     score = 0.2 * F.col("f1") + 0.6 * F.col("gt_f1") + F.col("gt_TP") + 0.2 * F.col("TN") + 4 * F.col("gt_TN")

@@ -1,14 +1,18 @@
-"""Exact ranks and quantiles of values, without one task that sorts a whole group."""
+"""Ranks and quantiles of values, exact or from mergeable sketches, without one task that sorts a whole group."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.storage import durable
 
+#: Size parameter of quantile sketches.
+SKETCH_SIZE = 400
+
 
 def _joined(rows: DataFrame, found: DataFrame, by: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
     """Rows with the figures of their group; a null is a group like any other."""
@@ -19,34 +23,79 @@ def _joined(rows: DataFrame, found: DataFrame, by: Sequence[str], more: Sequence
     return rows.join(named, on).drop(*[f"_of_{c}" for c in (*by, *more)])
 
 
-def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], rank: str = "place") -> DataFrame:
-    """``df`` with its 1-based rank in the order of ``order`` within each group ``by``; rows equal in all of it rank as they come.
+def _dealt(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` with ``_part``: ranges of group and order, which Spark takes from a sample, numbered in that order. Written, so that all later steps see the same ranges."""
+    return durable(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id()), "ordered")
 
-    Rows are dealt to tasks by ranges of group and order, which Spark takes from a sample,
-    so that a large group, or many rows of one value, is spread; each task ranks its part,
-    and the sizes of the parts before are added.
-    """
-    dealt = df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id())
-    dealt = durable(dealt, "ordered")
+
+def _running(dealt: DataFrame, by: Sequence[str], order: Sequence[Column], n: Column) -> DataFrame:
+    """``dealt`` with ``_before``, the sum of ``n`` over all rows of the group that come before: sums within a range, and those of the ranges before."""
     group = [F.col(c) for c in by] or [F.lit(0)]
-    inside = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))
-    sizes = dealt.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn("_in", F.coalesce(F.sum(n).over(earlier), F.lit(0)))
+    sizes = dealt.groupBy(*by, "_part").agg(F.sum(n).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    placed = _joined(dealt.withColumn("_in", inside), starts, by, ["_part"])
-    return placed.select(*df.columns, (F.col("_before") + F.col("_in")).alias(rank))
-
-
-def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Per group the number of values ``n`` and the quantiles that ``shares`` names, between neighbours in proportion; nulls don't count."""
-    ranked = ordered_rank(df.select(*by, value).filter(F.col(value).isNotNull()), by, [F.col(value)], "_place")
-    sizes = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
-    both = _joined(ranked, sizes, by) if by else ranked.crossJoin(F.broadcast(sizes))  # one row
-    at = {name: F.lit(float(share)) * (F.col("n") - 1) for name, share in shares.items()}
-    near = [(name, end, F.col("_place") - 1 == (F.floor(x) if end == "low" else F.ceil(x))) for name, x in at.items() for end in ("low", "high")]
-    wanted = near[0][2]
-    for _, _, hit in near[1:]:
-        wanted = wanted | hit
-    found = both.filter(wanted).groupBy(*by, "n").agg(*[F.max(F.when(hit, F.col(value))).alias(f"_{name}_{end}") for name, end, hit in near])
+    starts = sizes.select(*by, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    placed = _joined(inside, starts, by, ["_part"])
+    return placed.withColumn("_before", F.col("_start") + F.col("_in")).drop("_start", "_in", "_part")
+
+
+def ordered_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], rank: str = "place") -> DataFrame:
+    """``df`` with its 1-based rank in the order of ``order`` within each group ``by``; rows equal in all of it go by a hash of their columns, and equal rows as they come.
+
+    Rows are dealt to tasks by ranges of group, order and hash, so that a large group, or
+    many different rows of one value, are spread; each task ranks its part, and the sizes
+    of the parts before are added. Rows that are equal in every column stay together:
+    where there may be many, count them first, as ``value_counts`` does.
+    """
+    keyed = df.withColumn("_tie", F.xxhash64(*df.columns))
+    full = [*order, F.col("_tie")]
+    placed = _running(_dealt(keyed, by, full), by, full, F.lit(1))
+    return placed.select(*df.columns, (F.col("_before") + 1).alias(rank))
+
+
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Per group and distinct value: ``n``, how often it occurs (or the sum of ``weight``), and ``before``, the same for all smaller values; nulls don't count.
+
+    Rows are counted where they are before any of them moves, so a column of one value
+    costs a row a task. The distinct values, dealt by ranges, get running sums.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
+    order = [F.col(value)]
+    return _running(_dealt(counts, by, order), by, order, F.col("n")).select(*by, value, "n", F.col("_before").alias("before"))
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Per group the number of values ``n`` and the quantiles that ``shares`` names, between neighbours in proportion; nulls don't count.
+
+    Exact, from ``value_counts``: of each distinct value it is known which places it fills,
+    however many they are. ``weight`` is a whole number of times that a row counts.
+    """
+    counts = durable(value_counts(df, value, by, weight).filter("n > 0"), "value-counts")
+    sizes = counts.groupBy(*by).agg(F.sum("n").alias("_all"))
+    both = _joined(counts, sizes, by) if by else counts.crossJoin(F.broadcast(sizes))  # one row
+    at = {name: F.lit(float(share)) * (F.col("_all") - 1) for name, share in shares.items()}
+    near = [(name, end, F.floor(x) if end == "low" else F.ceil(x)) for name, x in at.items() for end in ("low", "high")]
+    holds = lambda place: (F.col("before") <= place) & (place < F.col("before") + F.col("n"))
+    wanted = reduce(Column.__or__, [holds(place) for _, _, place in near])
+    found = both.filter(wanted).groupBy(*by, "_all").agg(*[F.max(F.when(holds(place), F.col(value))).alias(f"_{name}_{end}") for name, end, place in near])
     made = [(F.col(f"_{name}_low") + (x - F.floor(x)) * (F.col(f"_{name}_high") - F.col(f"_{name}_low"))).alias(name) for name, x in at.items()]
-    return found.select(*by, "n", *made)
+    return found.select(*by, F.col("_all").alias("n"), *made)
+
+
+def quantile_sketches(df: DataFrame, value: str, by: Sequence[str] = (), k: int = SKETCH_SIZE) -> DataFrame:
+    """Per group a ``sketch`` of the values, a few thousand bytes whatever their number.
+
+    Sketches of parts of a table (days, programs) can be kept and merged later by
+    ``sketched_quantiles``, so new rows don't call for a pass over the old ones. Values
+    are taken as doubles; nulls don't count. A rank read from a sketch is off by about
+    1.33 / k of all values at most, in 99 of 100 cases.
+    """
+    return df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, shares: dict[str, float], by: Sequence[str] = (), k: int = SKETCH_SIZE) -> DataFrame:
+    """Per group the number of values ``n`` and the approximate quantiles that ``shares`` names, from all sketches of the group; each is a value that occurs."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("_s")).filter("_s is not null")
+    made = [F.kll_sketch_get_quantile_double("_s", F.lit(float(share))).alias(name) for name, share in shares.items()]
+    return merged.select(*by, F.kll_sketch_get_n_double("_s").alias("n"), *made)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.operators import evaluate
+from edgeloom.operators import evaluate, ranks
 from edgeloom.plans.labelling import labelled
 from edgeloom.plans.registry import query
 from edgeloom.plans.views import EDGE_SQL, raw_edges, true_edges
+from edgeloom.storage import durable
 
 K = 'program, method, "offset", target'
 PREDICTION_SQL = f"""facts AS (SELECT {K}, tool, config_id, min(l_discount)::DOUBLE AS discount, max(l_tax)::DOUBLE AS confidence, min(row_order) AS row_order FROM raw_edges GROUP BY {K}, tool, config_id),
@@ -142,6 +143,26 @@ def eval_confidence_by_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.confidence_by_error(wrong, ("program",))
 
 
+@query("eval_confidence_counts", f"WITH {EDGE_SQL}, {PREDICTION_SQL}, b AS (SELECT program, confidence, {BUCKET_SQL} AS error_type FROM predictions), c AS (SELECT program, error_type, confidence, count(*) AS n FROM b WHERE error_type IN ('FN', 'FP') GROUP BY ALL) SELECT *, coalesce(sum(n) OVER (PARTITION BY program, error_type ORDER BY confidence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM c")
+def eval_confidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole distribution of confidence of each kind of error: every value with its count and that of all smaller ones."""
+    wrong = evaluate.error_buckets(predictions(spark, sf_dir)).withColumnRenamed("bucket", "error_type").filter("error_type in ('FN', 'FP')")
+    return ranks.value_counts(wrong, "confidence", ["program", "error_type"])
+
+
+@query("eval_confidence_sketched", f"WITH {EDGE_SQL}, {PREDICTION_SQL}, b AS (SELECT program, {BUCKET_SQL} AS error_type FROM predictions) SELECT program, error_type, count(*) AS n, true AS q1_near, true AS median_near, true AS q3_near FROM b WHERE error_type IN ('FN', 'FP') GROUP BY ALL")
+def eval_confidence_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quartiles from sketches of each configuration that are merged by program, and whether the exact ranks of each lie within 2 % of what was asked for."""
+    wrong = durable(evaluate.error_buckets(predictions(spark, sf_dir)).withColumnRenamed("bucket", "error_type").filter("error_type in ('FN', 'FP')"), "wrong")
+    shares, by = {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["program", "error_type"]
+    found = ranks.sketched_quantiles(evaluate.confidence_sketches(wrong, ("program", "config_id")), shares, by)
+    counts = ranks.value_counts(wrong, "confidence", by).join(found.withColumnRenamed("n", "all"), by)
+    low = lambda name: F.max(F.when(F.col("confidence") == F.col(name), F.col("before"))) / F.col("all")
+    high = lambda name: F.max(F.when(F.col("confidence") == F.col(name), F.col("before") + F.col("n"))) / F.col("all")
+    near = [((low(name) <= share + 0.02) & (high(name) >= share - 0.02)).alias(f"{name}_near") for name, share in shares.items()]
+    return counts.groupBy(*by, "all").agg(*near).withColumnRenamed("all", "n")
+
+
 @query(
     "eval_leader_board",
     f"""WITH {EDGE_SQL}, {PREDICTION_SQL}, c AS (SELECT config_id || '-' || fold AS file_name, {CELLS_SQL}, {GT_SQL}, {UNK_SQL} FROM predictions GROUP BY 1), m AS (SELECT file_name, {FULL_SQL} FROM c)
