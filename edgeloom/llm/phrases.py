@@ -223,11 +223,13 @@ def _compared(rows: list[tuple[str, str]], prints: np.ndarray | None = None) ->
     changed = [edited(t, n).encode() for t, n in rows]
     of_own, of_next = prints if prints is not None else (sketches([t.encode() for t in own]), sketches([t.encode() for t in following]))
     of_changed = sketches(changed)
-    digests = [hashlib.sha256(t).hexdigest() for t in changed]
-    return [pa.array(list(map(len, own)), pa.int64()), pa.array(digests), pa.array(hexed(of_own)), pa.array(hexed(of_changed)), pa.array(alike(of_own, of_changed)), pa.array(alike(of_own, of_next))]
+    digests = [hashlib.sha256(t).digest() for t in changed]
+    packed = [pa.array([row.tobytes() for row in rows], pa.binary()) for rows in (of_own, of_changed)]
+    return [pa.array(list(map(len, own)), pa.int64()), pa.array(digests, pa.binary()), *packed, pa.array(alike(of_own, of_changed)), pa.array(alike(of_own, of_next))]
 
 
-COMPARED = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: What is computed for each row; binary columns are shown as lower-case hexadecimal text.
+COMPARED = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _NAMES = [c.split()[0] for c in COMPARED.split(", ")]
 
 
@@ -257,7 +259,7 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array([part.as_py()], pa.int32()), pa.array(["last"]), pa.array([held[0]], pa.string()), *[pa.nulls(1, t) for t in _TYPES]], names=_ROW)
 
 
-_TYPES = [{"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[c.split()[1]] for c in COMPARED.split(", ")]
+_TYPES = [{"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[c.split()[1]] for c in COMPARED.split(", ")]
 _ROW = ["doc_id", "part", "edge", "text", *_NAMES]
 
 
@@ -296,7 +298,8 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     lasts = ends.filter("edge = 'last'").select("doc_id", "text", "part").join(follows, "part")
     firsts = ends.filter("edge = 'first'").select(F.col("text").alias("next_text"), F.col("part").alias("following"))
     met = lasts.join(firsts, "following").select("doc_id", "text", "next_text").mapInArrow(_joined, f"doc_id {kind}, {COMPARED}")
-    return rows.filter("edge is null").select("doc_id", *_NAMES).unionByName(met)
+    both = rows.filter("edge is null").select("doc_id", *_NAMES).unionByName(met)
+    return both.select("doc_id", *[F.lower(F.hex(c)).alias(c) if f"{c} binary" in COMPARED else F.col(c) for c in _NAMES])
 
 
 def op11_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
