@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from edgeloom.operators.cells import vectors_near
 from edgeloom.operators.neighbours import nearest_points
 from edgeloom.storage import durable
 
@@ -22,24 +23,9 @@ def exact_matches(rows: DataFrame, seeds: DataFrame, vector: str = "vector") ->
 
 
 def near_matches(rows: DataFrame, seeds: DataFrame, vector: str = "vector", epsilon: float = EPSILON) -> DataFrame:
-    """Rows within ``epsilon`` (Euclidean) of a seed.
-
-    Vectors that near have component sums, and sums of alternating sign, within
-    sqrt(width) * epsilon of each other, so both sides are put into cells of that width
-    along both, joined on neighbouring cells, and compared in full. Equal seeds count once.
-    """
-    wide = F.lit(epsilon) * F.sqrt(F.greatest(F.size(vector), F.lit(1)))
-
-    def cell(of: str, sign: int) -> Column:
-        signed = F.transform(of, lambda x, i: x * F.when(i % 2 == 1, F.lit(float(sign))).otherwise(F.lit(1.0)))
-        return F.floor(F.aggregate(signed, F.lit(0.0), lambda a, x: a + x) / wide)
-
-    near = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    ours = rows.withColumns({"_cell": cell(vector, 1), "_other": cell(vector, -1)})
-    theirs = seeds.select(vector).distinct().withColumn("_c", F.explode(F.transform(near, lambda d: d + cell(vector, 1)))).withColumn("_o", F.explode(F.transform(near, lambda d: d + cell(vector, -1))))
-    theirs = theirs.withColumnRenamed(vector, "_seed")
-    gap = F.aggregate(F.zip_with(F.col(vector), F.col("_seed"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    return ours.join(theirs, (F.col("_cell") == F.col("_c")) & (F.col("_other") == F.col("_o")) & (gap <= F.lit(epsilon) ** 2), "left_semi").drop("_cell", "_other")
+    """Rows within ``epsilon`` (Euclidean) of a seed, see ``vectors_near``. Seeds must have one length."""
+    near = vectors_near(rows, seeds, epsilon, vector)
+    return rows.join(near, F.col(vector).cast("array<double>") == F.col("vec"), "left_semi")
 
 
 def seed_neighbours(rows: DataFrame, seeds: DataFrame, key: Sequence[str], k: int, vector: str = "vector", label: str = "label") -> DataFrame:

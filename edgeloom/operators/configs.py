@@ -11,6 +11,9 @@ from edgeloom.operators.sets import dedupe_edges, keep_out, union_edges
 from edgeloom.schema import KEY
 from edgeloom.storage import durable
 
+#: Pairs of configurations that are sent to every task at most.
+MOST_BROADCAST = 100_000
+
 
 def rest_of_options(options: str | Column, name: str = "analysis") -> Column:
     """A configuration's options without one of them, as a sorted array that can be joined on."""
@@ -34,19 +37,22 @@ def config_pairs(configs: DataFrame, orders: DataFrame, option: str = "analysis"
     return pairs.join(ranked, ["left", "right"], "left_semi").select(*by, "coarse", "fine").distinct()
 
 
-def derive_false_edges(edges: DataFrame, pairs: DataFrame, by: Sequence[str] = ("tool",), key: Sequence[str] = ("program", *KEY)) -> DataFrame:
+def derive_false_edges(edges: DataFrame, pairs: DataFrame, by: Sequence[str] = ("tool",), key: Sequence[str] = ("program", *KEY), most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Edges of the coarser configuration of each pair that the finer one lacks.
 
     A configuration that reports nothing counts as empty; a pair for which the finer one
     reports nothing for a program is left out for this program, since nothing can be said.
     One grouping by key gathers which configurations have an edge, a handful each; the
-    pairs of its tool are held against that set.
+    pairs of its tool are held against that set. The list of pairs is broadcast, so that a
+    tool with most edges isn't one key of a shuffle, if it has ``most_broadcast`` rows at
+    most; a longer one is joined as Spark sees fit, skewed keys split.
     """
+    few = pairs.count() <= most_broadcast
     reported = edges.select(*by, F.col("config_id").alias("fine"), "program").distinct()
     ranked = pairs.groupBy(*by).agg(F.collect_set(F.struct("coarse", "fine")).alias("_pairs"))
     own = edges.groupBy(*by, *key).agg(F.collect_set("config_id").alias("_own"))
     lacking = F.filter("_pairs", lambda p: F.array_contains("_own", p["coarse"]) & ~F.array_contains("_own", p["fine"]))
-    made = own.join(ranked, list(by)).select(*by, F.explode(lacking).alias("_p"), *key).select(*by, "_p.coarse", "_p.fine", *key)
+    made = own.join(F.broadcast(ranked) if few else ranked, list(by)).select(*by, F.explode(lacking).alias("_p"), *key).select(*by, "_p.coarse", "_p.fine", *key)
     return made.join(reported, [*by, "fine", "program"], "left_semi")
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from edgeloom.schema import KEY
 
 PROGRAM_KEY = ("program", *KEY)
+#: Sets that one long of a mask holds.
+MASK_BITS = 63
 
 
 def same(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
@@ -103,6 +105,27 @@ def exclusive_counts(edges: DataFrame, members: Sequence[str], member: str = "co
     return membership_masks(edges, members, member, key).groupBy("mask").agg(F.count("*").alias("edges"))
 
 
+def wide_masks(edges: DataFrame, members: Sequence[str], member: str = "config_id", key: Sequence[str] = PROGRAM_KEY) -> DataFrame:
+    """Per key, ``mask``: an array of longs of ``MASK_BITS`` bits each; bit i says that it lies in the set ``members[i]``. For any number of sets.
+
+    Each long is merged by its own "or", so masks are put together where the rows are and
+    again after the shuffle. The list of sets is a table with a row for each.
+    """
+    numbered = [(m, i // MASK_BITS, 1 << i % MASK_BITS) for i, m in enumerate(members)]
+    places = edges.sparkSession.createDataFrame(numbered, "_member string, _word int, _bit long")
+    words = range(-(-len(members) // MASK_BITS))
+    placed = edges.select(*key, F.col(member).cast("string").alias("_member")).join(F.broadcast(places), "_member")  # a row for each set of the caller's list
+    merged = placed.groupBy(*key).agg(*[F.bit_or(F.when(F.col("_word") == w, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(f"_word{w}") for w in words])
+    return merged.select(*key, F.array(*[F.col(f"_word{w}") for w in words]).alias("mask"))
+
+
+def wide_exclusive_counts(edges: DataFrame, members: Sequence[str], member: str = "config_id", key: Sequence[str] = PROGRAM_KEY) -> DataFrame:
+    """How many edges lie in exactly each subset of the sets, for any number of sets; ``sets``: the numbers of those in the subset, from 0."""
+    counts = wide_masks(edges, members, member, key).groupBy("mask").agg(F.count("*").alias("edges"))
+    places = F.flatten(F.transform("mask", lambda word, w: F.transform(F.filter(F.sequence(F.lit(0), F.lit(MASK_BITS - 1)), lambda b: F.getbit(word, b) == 1), lambda b: w * MASK_BITS + b)))
+    return counts.select("mask", places.alias("sets"), "edges")
+
+
 def compare_sets(left: DataFrame, right: DataFrame, group: Sequence[str] = ("program",), key: Sequence[str] = PROGRAM_KEY, extra: Sequence[str] = ()) -> DataFrame:
     """Per group, the edges in both sets, in the left only and in the right only."""
     by = [*group, *extra]

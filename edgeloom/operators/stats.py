@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from edgeloom.operators.sets import membership, membership_masks
+from edgeloom.operators.sets import membership
 from edgeloom.schema import KEY
 
 
@@ -40,27 +39,6 @@ def largest_sets(edges: DataFrame, per_tool: int = 5, tool: str = "tool", member
     return sizes.withColumn("rank", rank).filter(F.col("rank") <= per_tool)
 
 
-def best_config_subset(edges: DataFrame, members: Sequence[str], min_intersection: int = 300, max_size: int = 8, member: str = "config_id", key: Sequence[str] = ("program", *KEY)) -> DataFrame:
-    """The subset of 2 to ``max_size`` sets with the least union minus intersection.
-
-    Edges are counted by membership mask in one grouping; the candidates (at most 22,803
-    for 15 sets) are then compared with the histogram of masks, which is small. Of equal
-    scores the smaller subset wins, then the first in order of enumeration. Columns:
-    ``members``, ``union_size``, ``intersection_size``, ``score``; no row if none qualifies.
-    """
-    histogram = membership_masks(edges, members, member, key).groupBy("mask").agg(F.count("*").alias("edges"))
-    subsets = [(sum(1 << i for i in chosen), size, place, [members[i] for i in chosen]) for size in range(2, max_size + 1) for place, chosen in enumerate(combinations(range(len(members)), size))]
-    candidates = edges.sparkSession.createDataFrame(subsets, "subset long, size int, place int, members array<string>")
-    # the histogram has as many rows as there are masks, whatever the number of edges
-    pairs = F.broadcast(candidates).join(histogram, F.col("mask").bitwiseAND(F.col("subset")) != 0)
-    scored = pairs.groupBy("subset", "size", "place").agg(
-        F.sum("edges").alias("union_size"), F.sum(F.when(F.col("mask").bitwiseAND(F.col("subset")) == F.col("subset"), F.col("edges")).otherwise(0)).alias("intersection_size")
-    )
-    kept = scored.filter(F.col("intersection_size") >= min_intersection).withColumn("score", F.col("union_size") - F.col("intersection_size"))
-    best = kept.orderBy("score", "size", "place").limit(1)
-    return best.join(candidates.select("subset", "members"), "subset").select(F.array_join("members", ",").alias("members"), "union_size", "intersection_size", "score")
-
-
 def class_shares(counts: DataFrame, value: str, by: Sequence[str] = (), label: str = "edge_class") -> DataFrame:
     """Count and percent of the group's total for each class."""
     sums = counts.groupBy(*by, label).agg(F.sum(value).alias("edges"))

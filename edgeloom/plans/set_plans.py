@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.operators import filters, sets, stats
+from edgeloom.operators import filters, sets, stats, subsets
 from edgeloom.plans.registry import query
-from edgeloom.plans.views import EDGE_SQL, false_edges, raw_edges, table, total_edges, true_edges
+from edgeloom.plans.views import EDGE_SQL, RAW_SQL, false_edges, raw_edges, table, total_edges, true_edges
 
 K = 'program, method, "offset", target'
 
@@ -200,7 +200,45 @@ SUBSET_SQL = """numbers AS (SELECT range AS s FROM range(1, 128)),
 
 @query("stats_best_config_subset", f"WITH {EDGE_SQL}, {MASK_SQL}, {SUBSET_SQL} SELECT array_to_string(list_transform(ids, lambda x: 'v' || x), ',') AS members, union_size, intersection_size, union_size - intersection_size AS score FROM scored WHERE intersection_size >= 5 ORDER BY score, size, ids LIMIT 1")
 def stats_best_config_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.best_config_subset(total_edges(spark, sf_dir), MEMBERS, min_intersection=5, max_size=4)
+    return subsets.best_config_subset(total_edges(spark, sf_dir), MEMBERS, min_intersection=5, max_size=4)
+
+
+@query("stats_best_config_triple", f"WITH {EDGE_SQL}, {MASK_SQL}, {SUBSET_SQL} SELECT array_to_string(list_transform(ids, lambda x: 'v' || x), ',') AS members, union_size, intersection_size, union_size - intersection_size AS score FROM scored WHERE intersection_size >= 2 AND size >= 3 ORDER BY score, size, ids LIMIT 1")
+def stats_best_config_triple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of at least three configurations, by branch and bound."""
+    return subsets.best_config_subset(total_edges(spark, sf_dir), MEMBERS, min_intersection=2, max_size=4, min_size=3)
+
+
+#: 200 sets: an edge lies in those of the suppliers' rows that report it, dealt by order number.
+WIDE = [f"w{i}" for i in range(200)]
+WIDE_SQL = "wide AS (SELECT DISTINCT program, \"offset\", target, row_order // 10 % 200 AS num FROM raw_edges)"
+WIDE_KEY = ("program", "offset", "target")
+
+
+def wide_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.floor(F.col("row_order") / 10) % 200
+    return raw_edges(spark, sf_dir).select(*WIDE_KEY, F.concat(F.lit("w"), at.cast("string")).alias("config_id")).distinct()
+
+
+@query("set_exclusive_counts_wide", f"WITH {RAW_SQL}, {WIDE_SQL}, m AS (SELECT program, \"offset\", target, list(num ORDER BY num) AS sets FROM wide GROUP BY ALL) SELECT array_to_string(sets, ',') AS sets, count(*) AS edges FROM m GROUP BY ALL")
+def set_exclusive_counts_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many edges lie in exactly each subset of 200 sets."""
+    counts = sets.wide_exclusive_counts(wide_sets(spark, sf_dir), WIDE, key=WIDE_KEY)
+    return counts.select(F.array_join(F.col("sets").cast("array<string>"), ",").alias("sets"), "edges")
+
+
+@query(
+    "stats_best_config_subset_wide",
+    f"""WITH {RAW_SQL}, {WIDE_SQL}, forty AS (SELECT DISTINCT program, "offset", target, num % 40 AS num FROM wide),
+    sizes AS (SELECT num, count(*) AS n FROM forty GROUP BY num),
+    shared AS (SELECT a.num AS l, b.num AS r, count(*) AS n FROM forty a JOIN forty b USING (program, "offset", target) WHERE a.num < b.num GROUP BY ALL)
+    SELECT 'w' || l || ',w' || r AS members, x.n + y.n - shared.n AS union_size, shared.n AS intersection_size, x.n + y.n - 2 * shared.n AS score FROM shared JOIN sizes x ON x.num = l JOIN sizes y ON y.num = r
+    WHERE shared.n >= 5 ORDER BY score, l, r LIMIT 1""",
+)
+def stats_best_config_subset_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of all subsets of 2 to 8 of 40 sets; SQL looks at pairs, which are never worse than what holds them."""
+    forty = wide_sets(spark, sf_dir).withColumn("config_id", F.concat(F.lit("w"), (F.substring("config_id", 2, 9).cast("int") % 40).cast("string"))).distinct()
+    return subsets.best_config_subset(forty, WIDE[:40], min_intersection=5, key=WIDE_KEY)
 
 
 @query("stats_class_shares", f"WITH {EDGE_SQL}, n AS (SELECT l_linestatus AS edge_class, count(*) AS edges FROM raw_edges GROUP BY ALL) SELECT edge_class, edges::BIGINT AS edges, round(100 * edges / (SELECT sum(edges) FROM n), 2) AS percent FROM n")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.operators import configs, filters, labels, sets, stats
+from edgeloom.operators import configs, filters, labels, sets, stats, subsets
 
 EDGE = "program string, config_id string, method string, offset long, target string"
 
@@ -55,9 +55,9 @@ def test_null_keys_meet_in_anti_and_semi_joins(spark):
 
 
 def test_best_subset_prefers_least_disagreement(edges):
-    best = stats.best_config_subset(edges.filter("program = 'p'"), ["v1", "v2", "v3"], min_intersection=1).collect()
+    best = subsets.best_config_subset(edges.filter("program = 'p'"), ["v1", "v2", "v3"], min_intersection=1).collect()
     assert [(r["members"], r["score"]) for r in best] == [("v2,v3", 1)]
-    assert stats.best_config_subset(edges, ["v1", "v2", "v3"], min_intersection=100).count() == 0
+    assert subsets.best_config_subset(edges, ["v1", "v2", "v3"], min_intersection=100).count() == 0
 
 
 def test_prefix_filters(spark):
