@@ -59,10 +59,12 @@ def weighted_by_confidence(train: DataFrame, rows: DataFrame, vector: str = "vec
 def one_class(true_rows: DataFrame, rows: DataFrame, vector: str = "vector", nu: float = 0.1, width: int = 16) -> DataFrame:
     """Keep rows near the true ones: distance in whitened principal components, cut at the (1 - nu) quantile of the true rows.
 
-    ``confidence`` is cut minus distance. A different method from a kernel one-class
-    machine, in the same role.
+    ``confidence`` is cut minus distance. A plainer method than ``training.one_class``, the
+    kernel machine. Without true rows nothing is kept and confidence is null.
     """
     first = true_rows.select(F.size(vector).alias("n")).first()
+    if first is None:
+        return rows.withColumns({"confidence": F.lit(None).cast("double"), "predicted_label": F.lit(0)})
     pca = PCA(k=min(width, first["n"]), inputCol="_v", outputCol="_p").fit(true_rows.withColumn("_v", array_to_vector(vector)))
     inner = lambda df: pca.transform(df.withColumn("_v", array_to_vector(vector)))
     scaler = StandardScaler(inputCol="_p", outputCol="_s", withMean=True, withStd=True).fit(inner(true_rows))

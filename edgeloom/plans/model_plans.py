@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgeloom.operators import cluster, evaluate, features, graph, models, sampling
+from edgeloom.operators import cluster, evaluate, features, graph, models, sampling, training
 from edgeloom.operators.texts import token_windows
 from edgeloom.plans.evaluation_plans import predictions
 from edgeloom.plans.graph_plans import GRAPH, _edges
@@ -215,7 +215,7 @@ def model_one_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("model_cluster_folds")
 def model_cluster_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scores(models.by_fold(_known(spark, sf_dir), models.cluster_then_label, 2))
+    return _scores(training.cluster_folds(_known(spark, sf_dir), 2))
 
 
 SYNTHETIC_SQL = f"""{INSTANCE_SQL}, known AS (SELECT * FROM inst WHERE label <> -1),
