@@ -453,12 +453,13 @@ def window_values(own: Windows, short: ShortContexts, weights: list[np.ndarray],
 
 
 def _valued(batches: Iterator[pa.RecordBatch], short: ShortContexts, weights: list[np.ndarray], refinement: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    """A learner's windows and values: those that occur ``least`` times or more, and the others."""
+    """A learner's windows and values: those that occur ``least`` times or more in training texts, and the others."""
     for batch in batches:
         for learner, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             own = Windows.of(keys, counts)
             values = window_values(own, short, weights, refinement)
-            hold = own.counts.sum(axis=0) >= least
+            trained = own.counts[FILL] + own.counts[MIX]
+            hold = (trained > 0) & (trained >= least)
             data = [squeezed(x) for side in (hold, ~hold) for x in (own.keys[side], *(np.ascontiguousarray(v[side]).reshape(-1).view(np.uint64) for v in values))]
             yield pa.RecordBatch.from_arrays([pa.array([learner], pa.int32()), *(pa.array([x], pa.binary()) for x in data)], names=["learner", "held", "held_a", "held_b", "windows", "a", "b"])
 
@@ -466,13 +467,14 @@ def _valued(batches: Iterator[pa.RecordBatch], short: ShortContexts, weights: li
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for counts in batch.column(0).to_pylist():
-            total = opened(counts, np.uint64).reshape(3, -1).sum(axis=0)
-            size, n = np.unique(np.floor(np.log2(total) * 8).astype(np.int32), return_counts=True)
+            parts = opened(counts, np.uint64).reshape(3, -1)
+            total = parts[FILL] + parts[MIX]
+            size, n = np.unique(np.floor(np.log2(total[total > 0]) * 8).astype(np.int32), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(n.astype(np.int64))], names=["size", "n"])
 
 
 def least_held(table: DataFrame, most: int = MAX_HELD) -> float:
-    """How often a window must occur for tasks to hold it, so that they hold ``most`` at most."""
+    """How often a window must occur in training texts for tasks to hold it, so that they hold ``most`` at most. What held-out texts hold has no say."""
     sizes = table.select("counts").mapInArrow(_sizes, "size int, n long").groupBy("size").agg(F.sum("n").alias("n")).collect()
     room, least = most, math.inf
     for row in sorted(sizes, key=lambda r: -r["size"]):
@@ -683,7 +685,8 @@ def fit_mixing(texts: DataFrame, train_bytes: int, most: int = MAX_HELD) -> Mixi
     least = least_held(table, most)
     shape = "learner int, held binary, held_a binary, held_b binary, windows binary, a binary, b binary"
     values = durable(table.mapInArrow(lambda batches: _valued(batches, short, weights, refinement, least), shape), "mixing-values")
-    rows = values.select("learner", "held", "held_a", "held_b").orderBy("learner").toArrow()
+    some = F.length("held") > len(squeezed(np.zeros(0, np.uint64)))  # of learners that hold windows at all
+    rows = values.filter(some).select("learner", "held", "held_a", "held_b").orderBy("learner").toArrow()
     joined = lambda c: np.concatenate([np.zeros(0, np.uint64), *(opened(x.as_py(), np.uint64) for x in rows[c])])
     return MixingModel(HeldWindows(joined("held"), (joined("held_a"), joined("held_b"))), values.select("learner", "windows", "a", "b"), learners)
 
@@ -743,8 +746,9 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mos
 
     ``score`` is the model's log10 probability of the whole text with A-Z lower-cased and
     of its end. Counts, weights and map come from every document whose crc32(id) mod 10
-    isn't 0; held-out documents only add the windows that must have a value. Tasks hold the
-    values of ``most`` windows at most, the commonest; each other window of a text is
+    isn't 0; held-out documents only add the windows that must have a value, and change no other
+    document's score. Tasks hold the
+    values of ``most`` windows at most, the commonest in training; each other window of a text is
     joined by learner and coded with the weights at its place, which it doesn't move.
     Learners are made of windows in an order of their own and sums are of whole numbers,
     so scores don't depend on how the rows are partitioned.

@@ -16,6 +16,8 @@ from edgeloom.llm.common import documents, slices, texts
 from edgeloom.llm.licence_texts import TEMPLATES
 
 LEAST_DICE = 0.8
+#: Words of a passage for each distinct bigram that it may hold.
+MOST_REPEATS = 4
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -59,7 +61,7 @@ class LicenceIndex:
                 if len(seen) > most:
                     break
                 common += pair in grams
-            elif at - start > 4 * most:
+            elif at - start > MOST_REPEATS * most:
                 break
             if at in hits and (dice := 2 * common / (len(seen) + len(grams))) > best + 1e-12:
                 best, end = dice, at
@@ -81,7 +83,7 @@ class LicenceIndex:
                     placed[i].append(at)
         found = []
         for form, places in placed.items():
-            need, most, hits, grams = self.fewest[form], 4 * self.most[form], set(places), self.forms[form][1]
+            need, most, hits, grams = self.fewest[form], MOST_REPEATS * self.most[form], set(places), self.forms[form][1]
             if len(places) < need:
                 continue
             k = 0
@@ -136,8 +138,11 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id`` and ``licences`` (line, licence, dice) of every whole text.
 
-    Passages of any place and length are found, whether they fill lines or not; those of
-    equal evidence go by Dice, then by licence name. A null text counts as empty and, like
+    Passages of any place are found, whether they fill lines or not; those of equal
+    evidence go by Dice, then by licence name. Dice counts distinct bigrams, so a passage
+    may repeat itself: one is followed for up to ``MOST_REPEATS`` times as many words as it
+    may have distinct bigrams. A licence that is stretched by repetition to more isn't found
+    as a whole; the bound keeps the work linear in the text. A null text counts as empty and, like
     it, has none; a null id is returned as null. Repeated rows give repeated results, an
     empty table an empty one. Other columns aren't read.
     """

@@ -199,7 +199,8 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedd
     points, and every point is placed in every tree. A query visits ``visits`` leaves
     over all trees (if None, as many as ``visits_needed`` finds); leaves larger than
     ``BLOCK_ROWS`` and those visited by more than ``BLOCK_QUERIES`` queries are dealt in
-    blocks. With 6,400 points or fewer all leaves are visited and the result is exact.
+    blocks. With 4,096 points or fewer all leaves are visited and the result is exact. Trees are no
+    deeper than the sample allows, so beyond it leaves grow with the table.
 
     Rows take no part whose id or vector is null, whose vector is zero, holds a null or a
     number that isn't finite, or has another length than most. Repeated rows count once.

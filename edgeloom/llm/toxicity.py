@@ -93,7 +93,12 @@ def words_of(text: str) -> Words:
 
 
 def pieces(text: str, most: int = PIECE_CHARS) -> Iterator[str]:
-    """A text in parts of ``most`` characters at most, cut at a blank or line end where there is one in the last tenth."""
+    """A text in parts of ``most`` characters at most, cut at a blank or line end where there is one in the last tenth.
+
+    Where there is none a run of at least ``most`` / 10 characters is cut as well:
+    it loses the n-grams across the cut and gets those of an end, a few among as many as
+    it has characters.
+    """
     start = 0
     while len(text) - start > most:
         near = start + most - most // 10

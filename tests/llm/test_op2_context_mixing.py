@@ -215,3 +215,16 @@ def test_hot_tokens_are_bounded_and_the_commonest(spark):
 
 def test_empty_table(spark):
     assert cm.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_held_out_texts_change_no_other_score(spark):
+    rows = [(i, f"the river {i % 7} and the stone walk under green hills {i % 3} often " * 3) for i in range(60)]
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0]
+    extra = [i for i in range(60, 400) if zlib.crc32(str(i).encode()) % 10 == 0][:30]
+    # held-out texts that would make other windows the commonest
+    more = rows + [(i, "zebra quartz vixen jumps over and over " * 40) for i in extra]
+    shape = "doc_id long, text string"
+    for most in (0, 300, cm.MAX_HELD):
+        few = {r["doc_id"]: r["score"] for r in cm.score_texts(spark.createDataFrame(rows, shape), most=most).collect()}
+        many = {r["doc_id"]: r["score"] for r in cm.score_texts(spark.createDataFrame(more, shape), most=most).collect()}
+        assert held and all(many[i] == s for i, s in few.items())
