@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeloom.operators import cluster, features, models, training
 from edgeloom.operators.density import density_clusters
+from edgeloom.operators.hierarchy import hierarchical_clusters
 from edgeloom.operators.independent import independent_components
 from edgeloom.plans.model_plans import INSTANCE_SQL, _known, instances
 from edgeloom.plans.registry import query
@@ -38,6 +39,18 @@ def cluster_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(firsts, "cluster_id", "left").select("vec_id", F.coalesce("cluster_first", F.lit(-1).cast("long")).alias("cluster_first"))
 
 
+@query("cluster_hierarchy", "SELECT vec_id, true AS consistent FROM embeddings")
+def cluster_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of the density hierarchy: each has its least size, a strength over 0 and a row of strength 1; noise has none."""
+    total = lambda at: F.aggregate(F.slice("vector", at, 32), F.lit(0.0), lambda a, x: a + x)
+    rows = instances(spark, sf_dir).select("vec_id", F.array(total(1), total(33)).alias("vector"))
+    found = durable(hierarchical_clusters(rows, min_size=8), "hierarchy-query")
+    sizes = found.groupBy("cluster_id").agg(F.count("*").alias("size"), F.max("strength").alias("most"), F.min("strength").alias("least"))
+    noise = F.col("cluster_id") == -1
+    fits = F.when(noise, F.col("most") == 0).otherwise((F.col("size") >= 8) & (F.col("least") > 0) & (F.col("most") == 1))
+    return found.join(sizes.select("cluster_id", fits.alias("consistent")), "cluster_id").select("vec_id", "consistent")
+
+
 TOTALS_SQL = f"WITH {INSTANCE_SQL} SELECT count(*) FILTER (label = 1) AS true_rows, count(*) FILTER (label = 0) AS false_rows, true AS consistent FROM inst WHERE label <> -1"
 
 
