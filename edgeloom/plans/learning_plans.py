@@ -9,8 +9,12 @@ from edgeloom.operators import cluster, features, models, training
 from edgeloom.operators.density import density_clusters
 from edgeloom.operators.hierarchy import hierarchical_clusters
 from edgeloom.operators.independent import independent_components
+from edgeloom.operators.texts import token_windows
+from edgeloom.operators.topics import pair_text_topics
 from edgeloom.plans.model_plans import INSTANCE_SQL, _known, instances
 from edgeloom.plans.registry import query
+from edgeloom.plans.text_plans import CODE_SQL, SIGNED_SQL, WINDOW_SQL, _coded
+from edgeloom.plans.views import EDGE_SQL
 from edgeloom.storage import durable
 
 #: Radius of the density query, in sums of half the components.
@@ -156,3 +160,12 @@ def cluster_two_means_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.aggregate(F.zip_with("vector", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
     nearest = rows.crossJoin(F.broadcast(centres)).groupBy("vec_id", "cluster_id").agg(F.min_by("of", gap).alias("near"))  # two rows
     return nearest.agg(F.count("*").alias("n"), F.count_distinct("cluster_id").cast("int").alias("clusters"), (F.count_if(F.col("near") == F.col("cluster_id")) >= 0.99 * F.count("*")).alias("stable"))
+
+
+@query("feature_pair_text_topics", f"WITH {EDGE_SQL}, {SIGNED_SQL}, {CODE_SQL}, {WINDOW_SQL} SELECT program, method, \"offset\", target, true AS within FROM win")
+def feature_pair_text_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen text features of every edge; a text's terms have length 1 together, so its features have no more."""
+    keys = ["program", "method", "offset", "target"]
+    found = pair_text_topics(token_windows(_coded(spark, sf_dir), keys, 64).select(*keys, "tokens"), width=16)
+    length = F.aggregate("text_features", F.lit(0.0), lambda a, x: a + x * x)
+    return found.select(*keys, ((F.size("text_features") == 16) & (length <= 1 + 1e-9)).alias("within"))
