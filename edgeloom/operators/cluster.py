@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -108,12 +108,18 @@ def assign_labels(clustered: DataFrame, labels: DataFrame, key: Sequence[str], f
     return joined.withColumns({"predicted_label": made, "confidence": sure}).drop("cluster_label", "_other")
 
 
-def flat_pipeline(rows: DataFrame, key: Sequence[str], vector: str = "vector", label: str = "label", is_seed: str = "is_seed", min_size: int = 5, true_only: bool = False) -> DataFrame:
-    """Dense groups, seed vote, and for noise an exact match with a true seed: one job over all programs."""
-    clustered = durable(dense_groups(rows, vector, min_size), "flat-clusters")
+def flat_pipeline(rows: DataFrame, key: Sequence[str], vector: str = "vector", label: str = "label", is_seed: str = "is_seed", min_size: int = 5, true_only: bool = False, clusters: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Dense groups, seed vote, and for noise an exact match with a true seed: one job over all programs.
+
+    ``clusters`` gives rows a ``cluster_id``, -1 for noise, in place of groups of equal
+    vectors, and may give a ``strength``, which is then the confidence: for instance
+    ``hierarchy.hierarchical_clusters``.
+    """
+    clustered = durable(clusters(rows) if clusters else dense_groups(rows, vector, min_size), "flat-clusters")
     truths = clustered.filter(F.col(is_seed) & (F.col(label) == 1))
     matched = exact_matches(clustered.filter(F.col("cluster_id") == NOISE), truths, vector).select(*key).withColumn("predicted_label", F.lit(1))
-    return assign_labels(clustered, seed_vote(clustered, true_only, label, is_seed), key, matched)
+    strength = "strength" if clusters and "strength" in clustered.columns else None
+    return assign_labels(clustered, seed_vote(clustered, true_only, label, is_seed), key, matched, strength=strength)
 
 
 def program_pipeline(rows: DataFrame, key: Sequence[str], program: str = "program", least: int = 5, vector: str = "vector", label: str = "label", is_seed: str = "is_seed", min_size: int = 5, true_only: bool = False) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.operators.sets import PROGRAM_KEY, keep_in, keep_out
+from edgeloom.storage import durable
 
 SEED = 42
 #: Hex digits of the hash that make a bucket.
@@ -70,9 +71,10 @@ def refresh_sample(sample: DataFrame, strata: DataFrame, stratum: str = "source_
 
     ``status``: kept, replaced (the new row) or unmatched (nothing was left to draw: the
     old row). Outdated rows and candidates of a stratum are ranked and joined rank to
-    rank, so none is drawn twice.
+    rank, so none is drawn twice. Both tables are read several times and so kept first.
     """
     by_stratum = [*key, stratum]
+    sample, strata = durable(sample.select(*by_stratum), "refresh-sample"), durable(strata.select(*by_stratum), "refresh-strata")
     kept = keep_in(sample, strata, by_stratum).select(*by_stratum).withColumn("status", F.lit("kept"))
     outdated = hash_rank(keep_out(sample, strata, by_stratum).select(*by_stratum), key, seed, (stratum,))
     free = hash_rank(keep_out(strata, sample, key).select(*by_stratum), key, seed, (stratum,))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from edgeloom.operators import hierarchy, neighbours
+from edgeloom.operators import cluster, hierarchy, neighbours
 
 
 def plain_tree(points, core):
@@ -152,3 +152,13 @@ def test_few_rows_nulls_and_copies(spark):
     assert {(r["id"], r["cluster_id"], r["strength"]) for r in hierarchy.hierarchical_clusters(df).collect()} == {(1, -1, 0.0), (2, -1, 0.0)}
     assert hierarchy.hierarchical_clusters(df.limit(0)).count() == 0
     assert {r["cluster_id"] for r in hierarchy.hierarchical_clusters(df.filter("id = 1")).collect()} == {-1}
+
+
+def test_the_flat_pipeline_takes_these_clusters(spark):
+    rng = np.random.default_rng(7)
+    vectors = np.concatenate([rng.normal(0, 0.05, (14, 2)), [3, 3] + rng.normal(0, 0.05, (14, 2)), [[9.0, 9.0], [9.0, -9.0]]])
+    rows = [(i, [float(x) for x in v], 1 if i < 14 or i == 29 else 0, i % 2 == 0) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, label int, is_seed boolean")
+    found = {r["id"]: (r["predicted_label"], r["confidence"]) for r in cluster.flat_pipeline(df, ["id"], clusters=lambda d: hierarchy.hierarchical_clusters(d)).collect()}
+    assert [found[i][0] for i in range(28)] == [1] * 14 + [0] * 14 and found[28] == found[29] == (0, 0.0)
+    assert all(0 < found[i][1] <= 1 for i in range(28)) and len({c for _, c in found.values()}) > 5
