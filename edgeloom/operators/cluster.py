@@ -57,8 +57,8 @@ def two_means(rows: DataFrame, vector: str = "vector", k: int = 2, seed: int = 4
 def dense_groups(rows: DataFrame, vector: str = "vector", min_size: int = 5) -> DataFrame:
     """``cluster_id`` of groups of at least ``min_size`` equal vectors, -1 for all others.
 
-    The role of density clustering at radius 0; not the hierarchical method. The id is a
-    hash of the vector, so it doesn't depend on the other rows.
+    Density clustering at radius 0; ``density`` has that at any radius, ``hierarchy`` that
+    without one. The id is a hash of the vector, so it doesn't depend on the other rows.
     """
     groups = rows.groupBy(vector).agg(F.count("*").alias("_n")).filter(F.col("_n") >= min_size)
     marked = groups.select(F.col(vector).alias("_g"), F.xxhash64(vector).bitwiseAND(F.lit((1 << 63) - 1)).alias("_id"))

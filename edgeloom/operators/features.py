@@ -35,7 +35,7 @@ def standardise(rows: DataFrame, vector: str, out: str, fit_rows: DataFrame | No
 
 
 def reduce_width(rows: DataFrame, vector: str, out: str, width: int = 50) -> DataFrame:
-    """At most ``width`` principal components. A different method from independent components, in the same role."""
+    """At most ``width`` principal components; ``independent`` has independent ones."""
     first = rows.select(F.size(vector).alias("n")).first()
     k = min(width, first["n"] if first else width)
     staged = rows.withColumn("_v", array_to_vector(vector))
@@ -56,6 +56,6 @@ def project(rows: DataFrame, vector: str, width: int, label: str) -> DataFrame:
 
 
 def pair_text_features(windows: DataFrame, tokens: str = "tokens", out: str = "text_features", width: int = 256) -> DataFrame:
-    """Hashed token counts of an edge's text: fixed-length features where there is no language model. Not the same numbers as one."""
+    """Hashed token counts of an edge's text: fixed-length features where there is no language model. ``topics`` has fewer numbers that say more."""
     words = windows.withColumn("_t", F.filter(tokens, lambda t: t != "[PAD]"))
     return HashingTF(numFeatures=width, inputCol="_t", outputCol="_h").transform(words).withColumn(out, vector_to_array("_h")).drop("_t", "_h")

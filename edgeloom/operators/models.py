@@ -51,7 +51,7 @@ def linear(train: DataFrame, rows: DataFrame, vector: str = "vector", label: str
 
 
 def weighted_by_confidence(train: DataFrame, rows: DataFrame, vector: str = "vector", label: str = "cluster_label", confidence: str = "strength", attention: bool = True) -> DataFrame:
-    """Logistic regression on cluster labels, weighed by confidence; keep where p > 0.5. One hidden layer less than a small network. Rows without a cluster: label 0, weight 0."""
+    """Logistic regression on cluster labels, weighed by confidence; keep where p > 0.5. ``training.weighted_network`` has a hidden layer. Rows without a cluster: label 0, weight 0."""
     staged = train.withColumns({"_v": array_to_vector(vector), "_y": F.coalesce(F.col(label), F.lit(0)).cast("double"), "_w": F.coalesce(F.col(confidence).cast("double"), F.lit(0.0)) if attention else F.lit(1.0)})
     return _predicted(LogisticRegression(featuresCol="_v", labelCol="_y", weightCol="_w", family="binomial").fit(staged), rows, vector, 0.5, strict=True)
 
