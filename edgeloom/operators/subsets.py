@@ -28,6 +28,8 @@ def _shared(batches: Iterator[pa.RecordBatch], members: int) -> Iterator[pa.Reco
     """(left, right, edges) of this task's masks: one row for each two sets."""
     total = np.zeros((members, members))
     for batch in batches:
+        if not batch.num_rows:
+            continue
         bits = _bits(batch.column(0), members)
         total += bits.T @ (bits * batch.column(1).to_numpy()[:, None])
     left, right = np.triu_indices(members)

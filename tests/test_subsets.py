@@ -2,6 +2,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from edgeloom.operators import sets, subsets
@@ -74,3 +75,10 @@ def test_exclusive_counts_of_any_number_of_sets(spark, n_sets):
     if n_sets <= 63:
         narrow = sets.exclusive_counts(edges, names)
         assert {r["mask"]: r["edges"] for r in narrow.collect()} == {r["mask"][0]: r["edges"] for r in found.collect()}
+
+
+def test_a_batch_without_masks_adds_nothing():
+    empty = pa.RecordBatch.from_arrays([pa.array([], pa.list_(pa.int64())), pa.array([], pa.int64())], names=["mask", "edges"])
+    full = pa.RecordBatch.from_arrays([pa.array([[3], [1]], pa.list_(pa.int64())), pa.array([5, 2], pa.int64())], names=["mask", "edges"])
+    shared = [r for b in subsets._shared(iter([empty, full, empty]), 2) for r in b.to_pylist()]
+    assert [(r["left"], r["right"], r["edges"]) for r in shared] == [(0, 0, 7), (0, 1, 5), (1, 1, 5)]
