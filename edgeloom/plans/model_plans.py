@@ -52,7 +52,7 @@ def feature_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.attach_features(total_edges(spark, sf_dir), structural, semantic, key)
 
 
-@query("feature_standardise", f"WITH {INSTANCE_SQL}, x AS (SELECT vec_id, unnest(vector) AS v, generate_subscripts(vector, 1) AS i FROM inst), z AS (SELECT vec_id, i, round((v - avg(v) OVER (PARTITION BY i)) / stddev_pop(v) OVER (PARTITION BY i), 6) AS v FROM x) SELECT vec_id, list(v ORDER BY i) AS scaled FROM z GROUP BY vec_id")
+@query("feature_standardise", f"WITH {INSTANCE_SQL}, x AS (SELECT vec_id, unnest(vector) AS v, generate_subscripts(vector, 1) AS i FROM inst), z AS (SELECT vec_id, i, round((v - avg(v) OVER (PARTITION BY i)) / stddev_pop(v) OVER (PARTITION BY i), 6) + 0.0::DOUBLE AS v FROM x) SELECT vec_id, list(v ORDER BY i) AS scaled FROM z GROUP BY vec_id")
 def feature_standardise(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = features.standardise(instances(spark, sf_dir), "vector", "scaled")
     return scaled.select("vec_id", F.transform("scaled", lambda x: F.round(x, 6)).alias("scaled"))

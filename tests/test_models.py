@@ -1,4 +1,5 @@
 import numpy as np
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,3 +113,21 @@ def test_standardise_on_training_rows(rows):
     first = features.standardise(rows, "vector", "scaled", train).filter("id < 100").select(F.col("scaled")[0].alias("x"))
     row = first.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).first()
     assert abs(row["m"]) < 1e-9 and abs(row["s"] - 1) < 1e-9
+
+
+@pytest.mark.parametrize("name", ["feature_standardise"])
+def test_small_negative_numbers_round_to_zero_in_sql_too(spark, tmp_path, name):
+    import __spark_entry__ as entry
+
+    vectors = {1: [-1.0] * 64, 2: [1.0] * 64, 3: [-3e-7] * 64, 4: [-1e-7] * 64, 5: [-1e-7] * 64}
+    spark.createDataFrame([(i, v, 0) for i, v in vectors.items()], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, int(i > 3), 0) for i in vectors], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("embeddings", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found = entry.queries()[name](spark, str(tmp_path))
+    last = found.columns[-1]
+    ours = sorted(repr(list(r[last])) for r in found.collect())
+    told = con.execute(entry.oracle_sql()[name])
+    at = [d[0] for d in told.description].index(last)
+    assert ours and ours == sorted(repr(list(r[at])) for r in told.fetchall())
