@@ -227,7 +227,7 @@ SYNTHETIC_SQL = f"""{INSTANCE_SQL}, known AS (SELECT * FROM inst WHERE label <>
     FROM (SELECT unnest(range(need)) AS draw FROM minor), minor WHERE n > 1)"""
 
 
-@query("balance_synthetic", f"WITH {SYNTHETIC_SQL} SELECT draw, (SELECT label FROM minor) AS label, list_transform(list_zip(a, b), lambda p: round(p[1] + share * (p[2] - p[1]), 6)) AS vector FROM draws JOIN near USING (start, place)")
+@query("balance_synthetic", f"WITH {SYNTHETIC_SQL} SELECT draw, (SELECT label FROM minor) AS label, list_transform(list_zip(a, b), lambda p: round(p[1] + share * (p[2] - p[1]), 6) + 0.0::DOUBLE) AS vector FROM draws JOIN near USING (start, place)")
 def balance_synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = models.synthetic_minority(instances(spark, sf_dir).filter("label <> -1"), KEY)
     return made.withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))

@@ -115,7 +115,7 @@ def test_standardise_on_training_rows(rows):
     assert abs(row["m"]) < 1e-9 and abs(row["s"] - 1) < 1e-9
 
 
-@pytest.mark.parametrize("name", ["feature_standardise"])
+@pytest.mark.parametrize("name", ["feature_standardise", "balance_synthetic"])
 def test_small_negative_numbers_round_to_zero_in_sql_too(spark, tmp_path, name):
     import __spark_entry__ as entry
 
