@@ -14,16 +14,37 @@ PLATFORM = "java/"
 BOOT = "<boot>"
 
 
-def keep_app_edges(edges: DataFrame, prefixes: DataFrame, program: str = "program", prefix: str = "prefix") -> DataFrame:
-    """Edges whose method or target begins with one of its program's prefixes.
+def starting_names(edges: DataFrame, side: str, prefixes: DataFrame, program: str = "program", prefix: str = "prefix") -> DataFrame:
+    """``_program`` and ``_name``: the distinct names on one side of the edges that begin with one of their program's prefixes.
+
+    Each distinct name is cut to the lengths that prefixes have and these starts are joined
+    by equality, so the work is names times lengths, however many prefixes there are.
+    """
+    known = prefixes.select(F.col(program).alias("_program"), F.col(prefix).alias("_start")).filter("_start is not null").distinct()
+    lengths = [r["n"] for r in known.select(F.length("_start").alias("n")).distinct().orderBy("n").collect()]  # few: lengths, not prefixes
+    names = edges.select(F.col(program).alias("_program"), F.col(side).alias("_name")).filter("_name is not null").distinct()
+    cut = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("_name"))
+    starts = names.select("_program", "_name", F.explode(cut).alias("_n")).select("_program", "_name", F.expr("substring(_name, 1, _n)").alias("_start"))
+    return starts.join(known, ["_program", "_start"], "left_semi").select("_program", "_name").distinct()
+
 
-    ``prefixes``: one row per program and prefix. A program without prefixes keeps nothing.
-    The lists are joined by program, a row per program, so Spark broadcasts them while they
-    are small and shuffles otherwise.
+def flag_app_edges(edges: DataFrame, prefixes: DataFrame, out: str, program: str = "program", prefix: str = "prefix") -> DataFrame:
+    """``edges`` with ``out``: whether the method or target begins with one of its program's prefixes.
+
+    ``prefixes``: one row per program and prefix. A program without prefixes has no such
+    edge. The edges are read several times.
     """
-    lists = prefixes.groupBy(F.col(program).alias("_program")).agg(F.collect_set(prefix).alias("_prefixes"))
-    starts = F.exists("_prefixes", lambda p: F.col("method").startswith(p) | F.col("target").startswith(p))
-    return edges.join(lists, (F.col(program) == F.col("_program")) & starts, "left_semi")
+    for side in ("method", "target"):
+        found = starting_names(edges, side, prefixes, program, prefix).withColumn(f"_own_{side}", F.lit(True))
+        on = (F.col(program) == F.col("_program")) & (F.col(side) == F.col("_name"))
+        edges = edges.join(found, on, "left").drop("_program", "_name")
+    either = F.coalesce("_own_method", "_own_target", F.lit(False))
+    return edges.withColumn(out, either).drop("_own_method", "_own_target")
+
+
+def keep_app_edges(edges: DataFrame, prefixes: DataFrame, program: str = "program", prefix: str = "prefix") -> DataFrame:
+    """Edges whose method or target begins with one of its program's prefixes; a program without prefixes keeps nothing."""
+    return flag_app_edges(edges, prefixes, "_own", program, prefix).filter("_own").drop("_own")
 
 
 def drop_platform_edges(edges: DataFrame, prefix: str = PLATFORM) -> DataFrame:

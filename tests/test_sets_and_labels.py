@@ -91,3 +91,16 @@ def test_manual_labels(spark):
     given = spark.createDataFrame([("p", "m", 1, "t", "?", 1), ("p", "m", 1, "t", "1", 2), ("p", "n", 1, "t", " ", 3), ("p", "o", 1, "t", "1a", 4)], "program string, method string, offset long, target string, label string, row_order long")
     found = {r["method"]: (r["label"], r["label_status"]) for r in filters.parse_manual_labels(given, order="row_order").collect()}
     assert found == {"m": (1, "used"), "n": (None, "blank"), "o": (None, "unreadable")}
+
+
+def test_app_edges_are_joined_by_equal_starts(spark):
+    edges = spark.createDataFrame([(p, m, o, t) for p in ("P", "Q", None) for o, (m, t) in enumerate([("a/B", "c/D"), ("a/BC", None), ("x", "a/B"), ("", "é/𝄞x"), (None, "a")])], "program string, method string, offset long, target string")
+    lists = {"P": ["a/B", "é/𝄞", "a/BCDEFG", None], "Q": ["", "zz"], "R": ["a"]}
+    prefixes = spark.createDataFrame([(p, x) for p, own in lists.items() for x in [*own, own[0]]], "program string, prefix string")
+    found = filters.flag_app_edges(edges, prefixes, "own")
+    starts = lambda name, program: any(x is not None and name is not None and name.startswith(x) for x in lists.get(program, []))
+    rows = found.collect()
+    assert len(rows) == 15 and all(r["own"] == (starts(r["method"], r["program"]) or starts(r["target"], r["program"])) for r in rows)
+    kept = filters.keep_app_edges(edges, prefixes)
+    assert kept.columns == edges.columns and kept.count() == sum(r["own"] for r in rows)
+    assert "StartsWith" not in kept._jdf.queryExecution().optimizedPlan().toString()  # no list of prefixes is gone through for each edge
