@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from edgeloom.functions.signatures import packed_vector
+from edgeloom.operators.filters import flag_app_edges
 from edgeloom.operators.sets import PROGRAM_KEY
 from edgeloom.schema import EDGE
 from edgeloom.sources.commits import SET, commit_sets, read_sets
@@ -73,10 +74,7 @@ def write_edge_db(labelled: DataFrame, path: str, prefixes: DataFrame | None = N
     view, without platform edges. ``sets`` names sets that may have no edge.
     """
     if prefixes is not None:
-        lists = prefixes.groupBy(F.col("program").alias("_program")).agg(F.collect_set("prefix").alias("_prefixes"))
-        own = F.exists("_prefixes", lambda p: F.col("method").startswith(p) | F.col("target").startswith(p))
-        joined = labelled.join(lists, F.col("program") == F.col("_program"), "left")
-        labelled = joined.withColumn("in_app", F.coalesce(own, F.lit(False))).drop("_program", "_prefixes")
+        labelled = flag_app_edges(labelled, prefixes, "in_app")
     return commit_sets(labelled, path, key, sets=sets, layout=("tool", "program", "edge_class"))
 
 
