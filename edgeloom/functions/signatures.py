@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def _literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def type_descriptor(name: Column) -> Column:
     """``int[]`` to ``[I``, ``a.B`` to ``La/B;``."""
     plain = F.trim(F.regexp_replace(name, r"\[\]", ""))
@@ -32,15 +39,22 @@ def canonical_signature(source: Column) -> Column:
     the name, and right behind the name the parameters up to the last parenthesis. A name
     consists of ASCII letters, digits, ``_``, ``$`` and the brackets of ``<init>``.
     """
+    return let(source, _canonical)
+
+
+def _canonical(source: Column) -> Column:
     owner, rest = F.substring_index(source, ":", 1), _stripped(F.substring(source, F.instr(source, ":") + 1, F.length(source)))
-    words = F.split(F.substring_index(rest, "(", 1), r"\s+")
+    return F.when(source.contains(":"), let(rest, lambda r: let(F.split(F.substring_index(r, "(", 1), r"\s+"), lambda words: _formed(source, owner, r, words)))).otherwise(source)
+
+
+def _formed(source: Column, owner: Column, rest: Column, words: Column) -> Column:
     returns, name = F.get(words, F.lit(0)), F.get(words, F.lit(1))
     after = F.substring(rest, F.instr(rest, "(") + 1, F.length(rest))
     inside = F.substring(after, F.lit(1), F.length(after) - F.length(F.substring_index(after, ")", -1)) - 1)
-    given = F.when(_stripped(inside) == "", F.array().cast("array<string>")).otherwise(F.split(inside, ","))
-    args = F.array_join(F.transform(given, lambda t: type_descriptor(_stripped(t))), "")
+    given = let(inside, lambda t: F.when(_stripped(t) == "", F.array().cast("array<string>")).otherwise(F.split(t, ",")))
+    args = F.array_join(F.transform(given, lambda t: let(_stripped(t), type_descriptor)), "")
     made = F.concat(F.translate(_stripped(owner), ".", "/"), F.lit("."), name, F.lit(":("), args, F.lit(")"), type_descriptor(returns))
-    formed = source.contains(":") & rest.contains("(") & after.contains(")") & (F.size(words) == 2) & (returns != "") & F.regexp_like(name, F.lit(r"^[\w$<>]+$"))
+    formed = rest.contains("(") & after.contains(")") & (F.size(words) == 2) & (returns != "") & F.regexp_like(name, F.lit(r"^[\w$<>]+$"))
     return F.when(formed, made).otherwise(source)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgeloom.functions.signatures import canonical_signature, collapse_blanks, stub_code, struct_signature, token_pair, words_and_signs
+from edgeloom.functions.signatures import canonical_signature, collapse_blanks, let, stub_code, struct_signature, token_pair, words_and_signs
 
 #: Pseudo methods and spellings in raw edges.
 REGISTER_FINALIZE = "register-finalize"
@@ -19,15 +19,23 @@ JAVA_ARRAY_COPY = "java/lang/System.arraycopy:(Ljava/lang/Object;ILjava/lang/Obj
 LAMBDA = r"^wala/lambda\$(.+)\$([^$.:]+)\.([^.:]+).*$"
 
 
-def _line_parts(value: str) -> tuple[Column, Column, Column, Column]:
-    """Caller, index and target of a raw line, and why it can't be an edge (null if it can)."""
-    fields = F.split(F.regexp_replace(value, r"^\s+|\s+$", ""), "\t")
-    site, target = F.get(fields, F.lit(1)), F.get(fields, F.lit(3))
-    index = F.substring_index(site, "/", -1)
-    front = F.substring(site, F.lit(1), F.length(site) - F.length(index) - 1)
-    caller = F.regexp_extract(front, r"^.([^)]*\)[^>]*)>", 1)
-    reason = F.when(F.col(value).isNull() | (F.size(fields) != 4), "fields").when(~site.contains("/") | (caller == ""), "call site").when(caller.startswith(REGISTER_FINALIZE), REGISTER_FINALIZE)
-    return caller, index, F.regexp_replace(target, "^[<>]+|[<>]+$", ""), reason.when(~F.regexp_like(index, F.lit("^[0-9]+$")), "index")
+def _line_parts(value: str) -> Column:
+    """Struct of a raw line's ``caller``, ``index`` and ``target``, and the ``reason`` why it can't be an edge (null if it can)."""
+    return let(F.split(F.regexp_replace(value, r"^\s+|\s+$", ""), "\t"), lambda fields: let(F.get(fields, F.lit(1)), lambda site: _field_parts(F.col(value), fields, site)))
+
+
+def _field_parts(value: Column, fields: Column, site: Column) -> Column:
+    last = F.substring_index(site, "/", -1)
+    front = F.substring(site, F.lit(1), F.length(site) - F.length(last) - 1)
+    given = F.struct(F.regexp_extract(front, r"^.([^)]*\)[^>]*)>", 1).alias("caller"), last.alias("index"))
+
+    def parts(p: Column) -> Column:
+        caller, index = p["caller"], p["index"]
+        reason = F.when(value.isNull() | (F.size(fields) != 4), "fields").when(~site.contains("/") | (caller == ""), "call site").when(caller.startswith(REGISTER_FINALIZE), REGISTER_FINALIZE)
+        reason = reason.when(~F.regexp_like(index, F.lit("^[0-9]+$")), "index")
+        return F.struct(caller.alias("caller"), index.alias("index"), F.get(fields, F.lit(3)).alias("target"), reason.alias("reason"))
+
+    return let(given, parts)
 
 
 def parse_text_edges(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -37,14 +45,17 @@ def parse_text_edges(lines: DataFrame, value: str = "value") -> DataFrame:
     parenthesis and a bracket after it, its index is digits, and it isn't a
     register-finalize entry. The index becomes the offset. ``rejected_lines`` has the rest.
     """
-    caller, index, target, reason = _line_parts(value)
-    return lines.filter(reason.isNull()).select(canonical_signature(caller).alias("method"), index.cast("long").alias("offset"), canonical_signature(target).alias("target"))
+    target = lambda p: F.regexp_replace(p["target"], "^[<>]+|[<>]+$", "")
+    edge = lambda p: F.struct(canonical_signature(p["caller"]).alias("method"), p["index"].cast("long").alias("offset"), canonical_signature(target(p)).alias("target"))
+    made = let(_line_parts(value), lambda p: F.when(p["reason"].isNull(), edge(p)))
+    # exploded rather than filtered: a filter would compute all of it a second time
+    return lines.select(F.explode(F.filter(F.array(made), lambda e: e.isNotNull())).alias("_e")).select("_e.method", "_e.offset", "_e.target")
 
 
 def rejected_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     """The lines that ``parse_text_edges`` drops, with the ``reason``: fields, call site, register-finalize or index."""
-    reason = _line_parts(value)[3]
-    return lines.select("*", reason.alias("reason")).filter("reason is not null")
+    own = F.filter(F.array(_line_parts(value)["reason"]), lambda r: r.isNotNull())
+    return lines.select("*", F.explode(own).alias("reason"))
 
 
 def flatten_callsite_json(methods: DataFrame) -> DataFrame:

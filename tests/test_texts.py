@@ -77,3 +77,12 @@ def test_raw_edges_of_any_dialect(spark):
     assert edges.count() == 1 and [r["reason"] for r in rejects.collect()] == ["offset"]
     with pytest.raises(ValueError):
         texts.normalize_raw(plain, "other")
+
+
+def test_the_parts_of_a_line_are_computed_once(spark):
+    lines = spark.createDataFrame([("c\t<a.b.S: int[] m(java.lang.String,long)>/x.y/7\tc\t<a.P: a.Q g()>",), ("c\t<a.S: int m>/x\tc\t<a.P: a.Q g()>",), ("short",), (None,), ("c\t<a.S: int m()>/y/n\tc\t<b>",), ("c\t<a.S: int m()>/y/3\tc\t<no signature>",)], "value string")
+    edges, rest = texts.parse_text_edges(lines), texts.rejected_lines(lines)
+    assert {tuple(r) for r in edges.collect()} == {("a/b/S.m:(Ljava/lang/String;J)[I", 7, "a/P.g:()La/Q;"), ("a/S.m:()I", 3, "no signature")}
+    assert sorted(r["reason"] for r in rest.collect()) == ["call site", "fields", "fields", "index"]
+    for found, most in ((edges, 5), (rest, 1)):  # the line's fields; words and parameters of two signatures
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") <= most
