@@ -30,8 +30,12 @@ def degrees(simple: DataFrame, graph: Sequence[str]) -> DataFrame:
 
 def graph_sizes(simple: DataFrame, graph: Sequence[str]) -> DataFrame:
     """Nodes, edges, edges per node, and edges per distinct (method, last offset), one row per graph."""
-    nodes = degrees(simple, graph).groupBy(*graph).agg(F.count("*").alias("node_count"))
-    sites = simple.groupBy(*graph, "method", "offset").agg(F.count("*").alias("n")).groupBy(*graph).agg(F.sum("n").alias("edge_count"), F.count("*").alias("sites"))
+    return _sizes(degrees(simple, graph), simple.groupBy(*graph, "method", "offset").agg(F.count("*").alias("l_fanout")), graph)
+
+
+def _sizes(node: DataFrame, fanout: DataFrame, graph: Sequence[str]) -> DataFrame:
+    nodes = node.groupBy(*graph).agg(F.count("*").alias("node_count"))
+    sites = fanout.groupBy(*graph).agg(F.sum("l_fanout").alias("edge_count"), F.count("*").alias("sites"))
     return sites.join(nodes, list(graph)).select(
         *graph, "node_count", "edge_count", (F.col("edge_count") / F.col("node_count")).alias("avg_degree"), (F.col("edge_count") / F.col("sites")).alias("avg_l_fanout")
     )
@@ -76,21 +80,26 @@ def structural_features(edges: DataFrame, roots: DataFrame | None = None, graph:
     graphs without a root are left out when roots are asked for.
     """
     keys = [*graph, "method", "offset", "target"]
-    own = edges.select(*keys).distinct()
-    simple = durable(collapse(edges, graph, order), "graph-simple")
-    node = degrees(simple, graph)
-    ends = own
-    for side, name in (("method", "src"), ("target", "dest")):
-        at = node.select(*graph, F.col("node").alias(side), F.col("in_degree").alias(f"{name}_in_degree"), F.col("out_degree").alias(f"{name}_out_degree"))
-        ends = ends.join(at, [*graph, side], "left")
-    fanout = simple.groupBy(*graph, "method", "offset").agg(F.count("*").alias("l_fanout"))
-    multi = simple.select(*graph, "method", "target", "multi_edges")
-    out = ends.join(multi, [*graph, "method", "target"], "left").join(fanout, [*graph, "method", "offset"], "left").join(graph_sizes(simple, graph), list(graph), "left")
+    # one row per (method, target), with all its offsets; a null offset is one of them
+    last = F.max_by("offset", F.struct(order, "offset")).alias("offset")
+    pairs = edges.groupBy(*graph, "method", "target").agg(last, F.collect_set(F.struct("offset")).alias("offsets"))
+    simple = durable(pairs, "graph-simple")
+    node = durable(degrees(simple, graph), "graph-nodes")
+    fanout = durable(simple.groupBy(*graph, "method", "offset").agg(F.count("*").alias("l_fanout")), "graph-fanout")
+    sites = F.map_from_entries(F.collect_list(F.struct("offset", "l_fanout"))).alias("_sites")  # a method's own offsets
+    at = fanout.filter("offset is not null").groupBy(*graph, "method").agg(sites)
+    callers = node.filter("out_degree > 0").select(*graph, F.col("node").alias("method"), F.col("in_degree").alias("src_in_degree"), F.col("out_degree").alias("src_out_degree"))
+    callees = durable(node.filter("in_degree > 0").select(*graph, F.col("node").alias("target"), F.col("in_degree").alias("dest_in_degree"), F.col("out_degree").alias("dest_out_degree")), "graph-callees")
+    number = F.size(F.filter("offsets", lambda o: o["offset"].isNotNull())).cast("long")
+    joined = simple.drop("offset").withColumn("multi_edges", number).join(callers.join(at, [*graph, "method"], "left"), [*graph, "method"], "left").join(callees, [*graph, "target"], "left")
+    out = joined.join(_sizes(node, fanout, graph), list(graph), "left")
     if roots is not None:
         found = depths(simple, roots, graph)
         out = out.join(roots.select(*graph), list(graph), "left_semi").join(found.select(*graph, F.col("node").alias("method"), "depth"), [*graph, "method"], "left")
     else:
         out = out.withColumn("depth", F.lit(None).cast("int"))
+    out = out.withColumn("_o", F.explode("offsets")).withColumn("offset", F.col("_o.offset"))
+    out = out.withColumn("l_fanout", F.when(F.col("offset").isNotNull(), F.element_at("_sites", F.col("offset"))))
     zero = ["src_in_degree", "src_out_degree", "dest_in_degree", "dest_out_degree", "l_fanout"]
     return out.select(
         *keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in zero], F.coalesce("depth", F.lit(-1)).alias("depth"),

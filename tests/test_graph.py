@@ -1,4 +1,5 @@
 from edgeloom.operators import graph
+from edgeloom.storage import durable
 
 SHAPE = "g string, method string, offset long, target string, row_order long"
 
@@ -28,3 +29,14 @@ def test_depths_of_several_graphs_with_cycles(spark):
     roots = spark.createDataFrame([("g", "a"), ("h", "a")], "g string, root string")
     found = {(r["g"], r["node"]): r["depth"] for r in graph.depths(graph.collapse(edges, ["g"]), roots, ["g"]).collect()}
     assert found == {("g", "a"): 0, ("g", "b"): 1, ("g", "c"): 2, ("h", "a"): 0, ("h", "c"): 1}
+
+
+def test_features_take_one_shuffle_of_the_edges_and_know_null_offsets(spark, monkeypatch):
+    rows = [("g", "a", 1, "b", 1), ("g", "a", None, "b", 2), ("g", "a", 3, "b", 3), ("g", "a", 3, "b", 3), ("g", "a", 3, "c", 4), ("h", "b", 3, "b", 5)]
+    edges = spark.createDataFrame(rows, SHAPE)
+    kept = []
+    monkeypatch.setattr(graph, "durable", lambda df, label: kept.append((label, df)) or durable(df, label))
+    found = {(r["g"], r["method"], r["offset"], r["target"]): r for r in graph.structural_features(edges, graph=["g"]).collect()}
+    assert {k: (r["l_fanout"], r["multi_edges"]) for k, r in found.items()} == {("g", "a", 1, "b"): (0, 2), ("g", "a", None, "b"): (0, 2), ("g", "a", 3, "b"): (2, 2), ("g", "a", 3, "c"): (2, 1), ("h", "b", 3, "b"): (1, 1)}
+    whole = [df for label, df in kept if label == "graph-simple"][0]
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
