@@ -16,6 +16,8 @@ from edgeloom.storage import durable
 MOST_CELLS, CELL_POINTS = 256, 2_000
 #: Points of a cell, and rows that visit it, that meet in one task.
 BLOCK_POINTS, BLOCK_ROWS = 4_000, 4_000
+#: Visits that leave a task together.
+VISITS = 16_000
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -56,7 +58,9 @@ def _visited(batches: Iterator[pa.RecordBatch], centres: np.ndarray, sizes: np.n
         counted = np.cumsum(sizes[order], axis=1) >= min(k, sizes.sum())
         most = np.take_along_axis(bounds, order, axis=1)[np.arange(len(gaps)), counted.argmax(axis=1)]
         row, cell = np.nonzero(gaps - radii <= most[:, None] * (1 + 1e-9) + 1e-9)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), *(c.take(pa.array(row)) for c in batch.columns)], names=["cell", "row", "vec"])
+        for start in range(0, len(row), VISITS):  # a row may visit every cell, and each visit holds its vector
+            own = pa.array(row[start : start + VISITS])
+            yield pa.RecordBatch.from_arrays([pa.array(cell[start : start + VISITS].astype(np.int32)), *(c.take(own) for c in batch.columns)], names=["cell", "row", "vec"])
 
 
 def _best(key: tuple, table: pa.Table, k: int) -> pa.Table:

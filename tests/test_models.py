@@ -1,5 +1,6 @@
-import numpy as np
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,14 @@ def test_small_negative_numbers_round_to_zero_in_sql_too(spark, tmp_path, name):
     told = con.execute(entry.oracle_sql()[name])
     at = [d[0] for d in told.description].index(last)
     assert ours and ours == sorted(repr(list(r[at])) for r in told.fetchall())
+
+
+def test_visits_of_many_cells_leave_in_small_batches(monkeypatch):
+    monkeypatch.setattr(neighbours, "VISITS", 50, raising=False)
+    rng = np.random.default_rng(1)
+    centres, rows = rng.normal(size=(8, 3)), rng.normal(size=(40, 3))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(list(rows), pa.list_(pa.float64()))], names=["_row", "_vec"])
+    found = list(neighbours._visited(iter([batch]), centres, np.full(8, 5), np.full(8, 10.0), 3))
+    assert max(b.num_rows for b in found) == 50
+    visits = [(r["cell"], r["row"], tuple(r["vec"])) for b in found for r in b.to_pylist()]
+    assert sorted(visits) == sorted((c, i, tuple(v)) for c in range(8) for i, v in enumerate(rows))
