@@ -107,7 +107,7 @@ def kept_graph_scores(predictions: DataFrame, truth: DataFrame, by: Sequence[str
 
 def per_config_evaluation(predictions: DataFrame, truth: DataFrame, by: Sequence[str] = ("tool", "config_id")) -> DataFrame:
     """All scores of each configuration in one row: predictions, hand-labelled rows, and the kept graph."""
-    predictions = durable(predictions, "predictions")
+    predictions = durable(predictions.select(*dict.fromkeys([*by, *PROGRAM_KEY, "true_label", "ground_truth", "predicted_label"])), "predictions")  # without vectors
     graph = kept_graph_scores(predictions, truth, by)
     return full_evaluation(predictions, by).join(graph.select(*by, *[F.col(c).alias(f"graph_{c}") for c in ("precision", "recall", "f1")]), list(by))
 

@@ -12,6 +12,7 @@ from edgeloom.plans.graph_plans import GRAPH, _edges
 from edgeloom.plans.registry import query
 from edgeloom.plans.text_plans import _coded
 from edgeloom.plans.views import EDGE_SQL, raw_edges, table, total_edges, true_edges
+from edgeloom.storage import durable
 
 KEY = ["vec_id"]
 #: Distance at which two vectors of the table count as near.
@@ -239,7 +240,9 @@ def model_structural_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = graph.structural_features(_edges(spark, sf_dir), graph=GRAPH)
     names = [c for c in found.columns if c not in ("program", "config_id", "method", "offset", "target")]
     key = ["program", "config_id", "method", "offset", "target"]
-    rows = predictions(spark, sf_dir).select(*key, "tool", "true_label", "ground_truth").join(found, key).withColumn("vector", F.array(*[F.col(c).cast("double") for c in names]))
+    rows = predictions(spark, sf_dir).select(*key, "tool", "true_label", "ground_truth").join(found, key)
+    # the learner goes over its rows several times
+    rows = durable(rows.select(*key, "tool", "true_label", "ground_truth", F.array(*[F.col(c).cast("double") for c in names]).alias("vector")), "structural-rows")
     train = rows.filter("true_label <> -1").withColumnRenamed("true_label", "label")
     kept = models.forest(train, rows, trees=20)
     return evaluate.per_config_evaluation(kept, true_edges(spark, sf_dir))

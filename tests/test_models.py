@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.operators import cluster, features, models, neighbours, ranks
+from edgeloom.operators import cluster, evaluate, features, models, neighbours, ranks
 
 KEY = ["id"]
 
@@ -143,3 +143,13 @@ def test_visits_of_many_cells_leave_in_small_batches(monkeypatch):
     assert max(b.num_rows for b in found) == 50
     visits = [(r["cell"], r["row"], tuple(r["vec"])) for b in found for r in b.to_pylist()]
     assert sorted(visits) == sorted((c, i, tuple(v)) for c in range(8) for i, v in enumerate(rows))
+
+
+def test_scores_of_configurations_keep_no_vectors(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(evaluate, "durable", lambda df, label: kept.append(df.columns) or df)
+    shape = "tool string, config_id string, program string, method string, offset long, target string, true_label int, ground_truth int, predicted_label int, vector array<double>"
+    made = spark.createDataFrame([("t", "c", "p", "m", 1, "x", 1, None, 1, [1.0]), ("t", "c", "p", "m", 2, "x", 0, None, 0, [2.0])], shape)
+    found = evaluate.per_config_evaluation(made, made.filter("true_label = 1")).collect()
+    assert [(r["TP"], r["TN"], r["graph_recall"]) for r in found] == [(1, 1, 1.0)]
+    assert kept and all("vector" not in columns for columns in kept)
