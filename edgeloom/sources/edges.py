@@ -21,7 +21,9 @@ EDGE_PATH = r"(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?([^/_=]+)_([^/_]+)_([^/_]+)\.csv(
 def read_edges(spark: SparkSession, path: str, schema: T.StructType = EDGE) -> DataFrame:
     """All edge CSV files below a path, with program, tool, version and config_id taken from directory and file name."""
     rows = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
-    parts = [F.regexp_extract(F.col("_metadata.file_path"), EDGE_PATH, i).alias(n) for i, n in enumerate(("program", "tool", "version", "config_id"), 1)]
+    # a match has two slashes at most; above them the pattern would be tried in vain at every place, for every row
+    end = F.substring_index(F.col("_metadata.file_path"), "/", -3)
+    parts = [F.regexp_extract(end, EDGE_PATH, i).alias(n) for i, n in enumerate(("program", "tool", "version", "config_id"), 1)]
     return rows.select(*parts, *schema.fieldNames())
 
 

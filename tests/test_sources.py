@@ -77,3 +77,12 @@ def test_edges_of_many_sets_are_written_in_one_job_and_read_by_name(spark, tmp_p
     df = spark.createDataFrame(rows, "program string, tool string, version string, config_id string, method string, offset long, target string")
     sources.write_edges(df, str(tmp_path / "edges"))
     assert sorted(map(tuple, sources.read_edges(spark, str(tmp_path / "edges")).select(*df.columns).collect())) == sorted(rows)
+
+
+def test_only_the_end_of_a_path_is_matched(spark, tmp_path):
+    deep = f"{tmp_path}/x_y=z/wala_v0_9.csv.d/a_b_c"
+    edges = spark.createDataFrame([("P", "t", "v1", "3", "m", 1, "x")], "program string, tool string, version string, config_id string, method string, offset long, target string")
+    sources.write_edges(edges, deep)
+    found = sources.read_edges(spark, deep)
+    assert [tuple(r) for r in found.collect()] == [("P", "t", "v1", "3", "m", 1, "x")]
+    assert "substring_index" in found._jdf.queryExecution().optimizedPlan().toString()
