@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.operators.ranks import ordered_rank, quantile_sketches, quantiles
-from edgeloom.operators.sets import PROGRAM_KEY, flagged_union, keep_in
+from edgeloom.operators.sets import PROGRAM_KEY, flagged_union
 from edgeloom.storage import durable
 
 
@@ -36,6 +37,37 @@ def mean_over_programs(scores: DataFrame, by: Sequence[str] = (), digits: int =
     return scores.groupBy(*by).agg(*[F.round(F.avg(c), digits).alias(c) for c in ("precision", "recall", "f1")])
 
 
+def _config_cells(rows: DataFrame, halves: dict[str, tuple[Column, str]], sides: dict[str, DataFrame], by: Sequence[str]) -> DataFrame:
+    """Per set and program of ``rows``, for each half ``name``: ``name_tp``, ``name_fp``, ``name_fn`` and ``name_any``, whether either side has an edge.
+
+    A half is what of ``rows`` was found (a condition, which may use the 0/1 columns of
+    ``sides``) and the side that it is held against, with all edges of the program.
+    Truth edges aren't repeated for each set that must find them: those found are counted
+    by a join on the whole key, those missed are the rest of the program's number. A null
+    program has no truth edges; other nulls of a key are equal.
+    """
+    marks = flagged_union(sides, PROGRAM_KEY)
+    own = [c for c in by if c != "program"]
+    named = marks.select(*[F.col(c).alias(f"_of_{c}") for c in PROGRAM_KEY], *sides)
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in PROGRAM_KEY])
+    joined = rows.join(named, on, "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in sides})
+    hit = lambda found, side: found & (F.col(side) == 1) & F.col("program").isNotNull()
+    counts = joined.groupBy(*own, "program").agg(*[x for n, (found, side) in halves.items() for x in (F.count_if(found).alias(f"{n}_found"), F.count_if(hit(found, side)).alias(f"{n}_tp"))])
+    sizes = marks.groupBy(F.col("program").alias("_of")).agg(*[F.sum(side).alias(f"{n}_true") for n, (_, side) in halves.items()])
+    both = counts.join(sizes, F.col("program") == F.col("_of"), "left")  # a row for each set and program
+    true = lambda n: F.coalesce(F.col(f"{n}_true"), F.lit(0))
+    cells = [x for n in halves for x in (F.col(f"{n}_tp"), (F.col(f"{n}_found") - F.col(f"{n}_tp")).alias(f"{n}_fp"), (true(n) - F.col(f"{n}_tp")).alias(f"{n}_fn"), (F.col(f"{n}_found") + true(n) > 0).alias(f"{n}_any"))]
+    return both.select(*own, "program", *cells)
+
+
+def _config_rates(cells: DataFrame, names: Sequence[str], by: Sequence[str], micro: bool = False) -> DataFrame:
+    """Rates of each half by set at 2 decimals: the mean over the programs that have any edge in it, or (``micro``) from sums over them."""
+    if micro:
+        cells = cells.groupBy(*by).agg(*[f(f"{n}_{c}").alias(f"{n}_{c}") for n in names for c, f in (("tp", F.sum), ("fp", F.sum), ("fn", F.sum), ("any", F.bool_or))])
+    means = [F.round(F.avg(F.when(F.col(f"{n}_any"), x)), 2).alias(f"{n}_{c}") for n in names for c, x in zip(("precision", "recall", "f1"), rates(*[F.col(f"{n}_{c}") for c in ("tp", "fp", "fn")]), strict=True)]
+    return cells.groupBy(*by).agg(*means).filter(F.col(f"{names[0]}_f1").isNotNull())
+
+
 def baseline_metrics(labelled: DataFrame, truth: DataFrame, manual: DataFrame, micro: bool = False, by: Sequence[str] = ("tool", "config_id")) -> DataFrame:
     """Scores of unpruned sets: known edges against the truth set, and hand-labelled edges against those found true.
 
@@ -44,20 +76,11 @@ def baseline_metrics(labelled: DataFrame, truth: DataFrame, manual: DataFrame, m
     mean is over programs unless ``micro``. A program without hand labels counts only in
     the automatic half.
     """
-    programs = labelled.select(*by, "program").distinct()
-
-    def half(found: DataFrame, true: DataFrame, name: str) -> DataFrame:
-        wanted = programs.join(true, "program")
-        keys = [*by, "program", "method", "offset", "target"]
-        level = [*by] if micro else [*by, "program"]
-        scores = set_scores(found, wanted, level, keys)
-        if not micro:
-            scores = scores.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])
-        return scores.select(*by, *[F.round(c, 2).alias(f"{name}_{c}") for c in ("precision", "recall", "f1")])
-
-    auto = half(labelled.filter("is_true or is_false"), truth, "auto")
-    hand = half(keep_in(labelled, manual, PROGRAM_KEY), manual.filter("label = 1").select(*PROGRAM_KEY), "manual")
-    return auto.join(hand, list(by), "left")
+    known = F.coalesce(F.col("is_true") | F.col("is_false"), F.lit(False)).cast("int")
+    edges = labelled.groupBy(*by, *[c for c in PROGRAM_KEY if c not in by]).agg(F.max(known).alias("_known"))
+    halves = {"auto": (F.col("_known") == 1, "_truth"), "manual": (F.col("_given") == 1, "_hand")}
+    cells = _config_cells(edges, halves, {"_truth": truth, "_given": manual, "_hand": manual.filter("label = 1")}, by)
+    return _config_rates(cells, list(halves), by, micro)
 
 
 def confusion(predictions: DataFrame, by: Sequence[str] = (), truth: str = "true_label", predicted: str = "predicted_label", prefix: str = "") -> DataFrame:
@@ -99,10 +122,10 @@ def folds_and_overall(predictions: DataFrame, fold: str = "fold") -> DataFrame:
 
 def kept_graph_scores(predictions: DataFrame, truth: DataFrame, by: Sequence[str] = ("tool", "config_id")) -> DataFrame:
     """Edges predicted true against all truth edges of the programs, mean over programs."""
-    kept = predictions.filter("predicted_label = 1").select(*by, *PROGRAM_KEY)
-    wanted = predictions.select(*by, "program").distinct().join(truth.select(*PROGRAM_KEY), "program")
-    scores = set_scores(kept, wanted, [*by, "program"], [*by, *PROGRAM_KEY])
-    return mean_over_programs(scores, by)
+    kept = F.coalesce(F.col("predicted_label") == 1, F.lit(False)).cast("int")
+    edges = predictions.groupBy(*by, *[c for c in PROGRAM_KEY if c not in by]).agg(F.max(kept).alias("_kept"))
+    cells = _config_cells(edges, {"graph": (F.col("_kept") == 1, "_truth")}, {"_truth": truth}, by)
+    return _config_rates(cells, ["graph"], by).select(*by, *[F.col(f"graph_{c}").alias(c) for c in ("precision", "recall", "f1")])
 
 
 def per_config_evaluation(predictions: DataFrame, truth: DataFrame, by: Sequence[str] = ("tool", "config_id")) -> DataFrame:
