@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from functools import partial
 
@@ -15,6 +14,8 @@ from edgeloom.storage import durable
 
 #: Slots that terms are hashed to; directions sought besides those wanted, which makes few steps enough.
 TERMS, SPARE = 1 << 14, 8
+#: Groups of terms whose sums are added up side by side.
+SUM_GROUPS = 64
 
 
 def _entries(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -41,8 +42,11 @@ def _powered(batches: Iterator[pa.RecordBatch], basis: np.ndarray) -> Iterator[p
         for start in range(0, whole.num_rows, 1_024):
             batch = whole.slice(start, 1_024)
             rows, ids, weights = _entries(batch)
-            np.add.at(total, ids, weights[:, None] * _onto(batch, basis)[rows])
-            seen[ids] = True
+            if len(ids):
+                order = np.argsort(ids, kind="stable")
+                found, starts = np.unique(ids[order], return_index=True)
+                total[found] += np.add.reduceat((weights[:, None] * _onto(batch, basis)[rows])[order], starts, axis=0)
+                seen[found] = True
     some = np.flatnonzero(seen)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(total[some]), pa.list_(pa.float64()))], names=["term", "values"])
 
@@ -53,39 +57,71 @@ def term_ids(tokens: str, terms: int = TERMS) -> Column:
     return F.transform(words, lambda t: F.pmod(F.xxhash64(t), F.lit(terms)).cast("int"))
 
 
+def _weighed_batch(all_ids: pa.Array, idf: np.ndarray) -> pa.RecordBatch:
+    """Of texts' slots with repeats: ``_ids`` and ``_weights``, the distinct slots, how often (as 1 + log) times how rare, scaled to length 1."""
+    sizes = np.diff(all_ids.offsets.to_numpy())
+    pairs, often = np.unique(np.repeat(np.arange(len(sizes)), sizes) * len(idf) + all_ids.flatten().to_numpy(), return_counts=True)
+    rows, ids = np.divmod(pairs, len(idf))
+    raw = (1 + np.log(often)) * idf[ids]
+    length = np.sqrt(np.bincount(rows, raw * raw, minlength=len(sizes)))
+    ends = pa.array(np.append(0, np.cumsum(np.bincount(rows, minlength=len(sizes)))).astype(np.int32))
+    weights = raw / np.maximum(length[rows], 1e-300)
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(weights))], names=["_ids", "_weights"])
+
+
+def _weights(batches: Iterator[pa.RecordBatch], idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _weighed_batch(batch.column(0), idf)
+
+
+def _slots(tokens: str, terms: int) -> Column:
+    return F.coalesce(term_ids(tokens, terms), F.array().cast("array<int>")).alias("_all")
+
+
+def _weighed_slots(slots: DataFrame, idf: np.ndarray) -> DataFrame:
+    return slots.select("_all").mapInArrow(partial(_weights, idf=idf), "_ids array<int>, _weights array<double>")
+
+
 def _weighed(rows: DataFrame, tokens: str, idf: np.ndarray, terms: int) -> DataFrame:
-    """``rows`` with ``_ids`` and ``_weights``: distinct slots, how often (as 1 + log) times how rare, scaled to length 1."""
-    rare = F.from_json(F.lit(json.dumps(idf.tolist())), "array<double>")  # one constant
-    ids = F.array_sort(F.array_distinct("_all"))
-    staged = rows.withColumn("_all", F.coalesce(term_ids(tokens, terms), F.array().cast("array<int>"))).withColumn("_ids", ids)
-    often = F.transform("_ids", lambda i: (1 + F.log(F.size(F.filter("_all", lambda j: j == i)).cast("double"))) * F.element_at(rare, i + 1))
-    length = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, x: a + x * x))
-    return staged.withColumn("_raw", often).withColumn("_weights", F.transform("_raw", lambda x: x / F.greatest(length, F.lit(1e-300)))).drop("_all", "_raw")
+    """``_ids`` and ``_weights`` of the texts of ``rows``."""
+    return _weighed_slots(rows.select(_slots(tokens, terms)), idf)
 
 
-def _features(batches: Iterator[pa.RecordBatch], basis: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The columns of a batch but the last two, terms and weights, with the features."""
+def _features(batches: Iterator[pa.RecordBatch], basis: np.ndarray, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The columns of a batch but the last, slots with repeats, with the features."""
     for batch in batches:
-        n = batch.num_columns - 2
-        own = _onto(pa.RecordBatch.from_arrays(batch.columns[n:], names=["ids", "weights"]), basis)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(list(own), pa.list_(pa.float64()))], names=[*batch.schema.names[:n], "features"])
+        n = batch.num_columns - 1
+        own = _onto(_weighed_batch(batch.column(n), idf), basis)
+        ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * own.shape[1])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.ListArray.from_arrays(ends, pa.array(own.ravel()))], names=[*batch.schema.names[:n], "features"])
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """(term, values): the sums of all tasks' values of each term, each number's parts added from the least up, so that their order doesn't matter."""
+    terms = table["term"].to_numpy()
+    values = table["values"].combine_chunks().flatten().to_numpy().reshape(len(terms), -1)
+    found, starts = np.unique(np.sort(terms), return_index=True)
+    sums = [np.add.reduceat(v[np.lexsort((v, terms))], starts) for v in values.T]
+    return pa.table({"term": found, "values": pa.array(list(np.stack(sums, axis=1)), pa.list_(pa.float64()))})
 
 
 def topic_basis(weighed: DataFrame, width: int, terms: int, steps: int, seed: int) -> np.ndarray:
     """The ``width`` widest directions of the table of weights, as columns.
 
     A random block is multiplied by the table and back in each step, one job that adds up
-    ``terms`` times ``width`` numbers a task, and made orthonormal; then the directions
-    are put in the order of how much of the table they carry.
+    ``terms`` times ``width`` numbers a task, in twice as many tasks as there are cores
+    at most, and made orthonormal; then the directions are put in the order of how much
+    of the table they carry.
     """
     rng = np.random.default_rng(seed)
     basis = np.linalg.qr(rng.normal(size=(terms, width + SPARE)))[0]
+    most = 2 * weighed.sparkSession.sparkContext.defaultParallelism
     for _ in range(steps):
-        parts = weighed.select("_ids", "_weights").mapInArrow(partial(_powered, basis=basis), "term int, values array<double>")
-        place = parts.select("term", F.posexplode("values").alias("at", "value")).groupBy("term", "at").agg(F.array_sort(F.collect_list("value")).alias("all"))  # a number a task
+        parts = weighed.select("_ids", "_weights").coalesce(most).mapInArrow(partial(_powered, basis=basis), "term int, values array<double>")
+        found = parts.groupBy((F.col("term") % SUM_GROUPS).alias("of")).applyInArrow(_summed, "term int, values array<double>").toArrow()  # as many as the basis has numbers
         moved = np.zeros_like(basis)
-        found = place.select("term", "at", F.aggregate("all", F.lit(0.0), lambda a, x: a + x).alias("value")).toArrow()  # as many as the basis has numbers
-        moved[found["term"].to_numpy(), found["at"].to_numpy()] = found["value"].to_numpy()
+        if found.num_rows:
+            moved[found["term"].to_numpy()] = found["values"].combine_chunks().flatten().to_numpy().reshape(found.num_rows, -1)
         small = basis.T @ moved
         turn = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1]
         basis = np.linalg.qr(moved @ turn)[0]
@@ -101,15 +137,19 @@ def pair_text_topics(windows: DataFrame, tokens: str = "tokens", out: str = "tex
     other, which counts of terms don't show. Fitted on ``fit_rows`` or on all. Null or
     empty texts have zeros, as all have where nothing was fitted. Columns may not begin with an underscore.
     """
-    fitted = windows if fit_rows is None else fit_rows
-    seen = fitted.select(F.explode(F.array_distinct(term_ids(tokens, terms))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()  # a row a slot
+    plain = [f"c{i}" for i in range(len(windows.columns))]
+    slots = _slots(tokens, terms)
+    ready = windows.select(*[F.col(c).alias(p) for c, p in zip(windows.columns, plain, strict=True)], slots)
+    if fit_rows is None:
+        ready = fitted = durable(ready, "topic-texts")
+    else:
+        fitted = durable(fit_rows.select(slots), "topic-texts")
+    seen = fitted.select(F.explode(F.array_distinct("_all")).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()  # a row a slot
     n, idf = fitted.count(), np.zeros(terms)
     for r in seen:
         idf[r["term"]] = np.log((1 + n) / (1 + r["n"])) + 1
-    weighed = durable(_weighed(fitted.select(tokens), tokens, idf, terms).select("_ids", "_weights"), "topic-terms")
+    weighed = durable(_weighed_slots(fitted, idf), "topic-terms")
     basis = topic_basis(weighed, width, terms, steps, seed) if seen else np.zeros((terms, width))
-    plain = [f"c{i}" for i in range(len(windows.columns))]
-    ready = _weighed(windows, tokens, idf, terms).select(*[F.col(c).alias(p) for c, p in zip(windows.columns, plain, strict=True)], "_ids", "_weights")
     kinds = [f"{p} {ready.schema[p].dataType.simpleString()}" for p in plain]
-    found = ready.mapInArrow(partial(_features, basis=basis), ", ".join([*kinds, "features array<double>"]))
+    found = ready.mapInArrow(partial(_features, basis=basis, idf=idf), ", ".join([*kinds, "features array<double>"]))
     return found.select(*[F.col(p).alias(c) for c, p in zip(windows.columns, plain, strict=True) if c != out], F.col("features").alias(out))

@@ -51,3 +51,18 @@ def test_odd_texts_and_columns(spark):
     none = topics.pair_text_topics(df, width=2, terms=32, fit_rows=df.limit(0))
     assert {tuple(r["text_features"]) for r in none.collect()} == {(0.0, 0.0)}
     assert topics.pair_text_topics(df.limit(0), width=2, terms=32).filter(F.col("id") > 0).count() == 0
+
+
+def test_texts_are_made_once_and_sums_do_not_grow_with_parts(spark):
+    """Counting, weighing and features read one kept table, and tasks that add up are as many as cores allow, not as the table has parts."""
+    made, rng = spark.sparkContext.accumulator(0), np.random.default_rng(3)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(texts(120, rng), "id long, tokens array<string>, label int").repartition(60)
+    found = topics.pair_text_topics(df.mapInArrow(counted, df.schema), width=4, terms=256)
+    assert found.count() == 120 and found.filter("size(text_features) = 4").count() == 120
+    assert made.value == 120
