@@ -40,7 +40,7 @@ def source_read_or_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_edge_db(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the labelled database twice (a rerun replaces what it wrote) and read it."""
     path, key = shared_path(spark, "edge-db"), ("tool", "program", "config_id")
-    found = labelled(spark, sf_dir).drop("is_true", "is_false")
+    found = durable(labelled(spark, sf_dir).drop("is_true", "is_false"), "labelled")  # written three times
     sources.write_edge_db(found, path, key=key)
     sources.consolidate(found, f"{path}-final", key)
     sources.consolidate(found, f"{path}-final", key)
