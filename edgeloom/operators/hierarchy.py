@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgeloom.operators.components import linked_components
-from edgeloom.operators.neighbours import BLOCK_POINTS, CELL_POINTS, MOST_CELLS, _celled, _gaps, _matrix, nearest_points
+from edgeloom.operators.neighbours import BLOCK_POINTS, CELL_POINTS, MOST_CELLS, VISITS, _celled, _gaps, _matrix, nearest_points
 from edgeloom.operators.ranks import ordered_rank
 from edgeloom.storage import durable
 
@@ -36,31 +36,45 @@ def density_points(rows: DataFrame, vector: str, min_samples: int) -> DataFrame:
     return durable(points.join(reached, "point"), "hierarchy-points")
 
 
-def _needed(cells: list, centres: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of cells between which the least edge out of a component may lie.
-
-    From every cell there is an upper bound of that edge: within a cell of several
-    components its width, else the way to the nearest point of another cell that holds
-    another component, from any cell of the same component. Two cells farther apart than
-    the bounds of both, or that hold one and the same component, are passed over.
-    """
+def _filling(cells: list, centres: np.ndarray) -> dict[int, float]:
+    """For each component that fills cells by itself an upper bound of its least edge out: the way to the nearest point of another cell that holds another component."""
     at = centres[[c["cell"] for c in cells]]
     far, core = np.array([c["far"] for c in cells]), np.array([c["core"] for c in cells])
     low, high = np.array([c["low"] for c in cells]), np.array([c["high"] for c in cells])
-    gap = _gaps(at, at)
-    mixed = low != high
-    differs = mixed[:, None] | mixed[None, :] | (low[:, None] != low[None, :])
-    upper = np.maximum(np.maximum(core[:, None], core[None, :]), gap + far[:, None] + far[None, :])
-    np.fill_diagonal(upper, np.where(mixed, np.maximum(core, 2 * far), np.inf))
-    bound = np.where(differs, upper, np.inf).min(axis=1)
-    # a component that fills several cells by itself has the least of their bounds
-    for own in np.unique(low[~mixed]):
-        same = ~mixed & (low == own)
-        bound[same] = bound[same].min()
-    nearest = np.maximum(gap - far[:, None] - far[None, :], 0) * (1 - 1e-9) - 1e-9
-    wanted = differs & (nearest <= np.maximum(bound[:, None], bound[None, :]))
-    a, b = np.nonzero(wanted | wanted.T)
-    return [(cells[i]["cell"], cells[j]["cell"]) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i <= j]
+    alone = np.nonzero(low == high)[0]
+    differs = (low != high)[None, :] | (low[alone, None] != low[None, :])
+    upper = np.maximum(np.maximum(core[alone, None], core[None, :]), _gaps(at[alone], at) + far[alone, None] + far[None, :])
+    bounds = np.where(differs, upper, np.inf).min(axis=1) + _slack(at)
+    return {int(c): float(bounds[low[alone] == c].min()) for c in np.unique(low[alone])}
+
+
+def _slack(*vectors: np.ndarray) -> float:
+    """More than rounding can move a distance that is made of squares and products."""
+    return 1e-9 + 1e-6 * max(float(np.abs(v).max(initial=0)) * v.shape[1] ** 0.5 for v in vectors)
+
+
+def _in_reach(batches: Iterator[pa.RecordBatch], centres: np.ndarray, far: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(cell, point, comp, core, vec): each point with the other cells that may hold a point within its bound.
+
+    All points of a cell lie within ``far`` of its centre, and on that centre's side of
+    the plane between it and the centre of the asking point's cell. ``own``: the component
+    that fills a cell by itself, else -1; its points don't ask there.
+    """
+    apart = _gaps(centres, centres)
+    for whole in batches:
+        for start in range(0, whole.num_rows, 2_000):
+            batch = whole.slice(start, 2_000)
+            cell, comp, bound = (batch.column(i).to_numpy() for i in (0, 2, 5))
+            vectors = _matrix(batch.column(4))
+            gaps, slack = _gaps(vectors, centres), _slack(vectors, centres)
+            between = np.maximum(apart[cell], 1e-300)
+            beyond = (gaps**2 - gaps[np.arange(len(cell)), cell][:, None] ** 2 - slack**2) / (2 * between)
+            near = (np.maximum(gaps - far, beyond) - slack <= bound[:, None]) & (own[None, :] != comp[:, None])
+            near[np.arange(len(cell)), cell] = False
+            row, to = np.nonzero(near)
+            for at in range(0, len(row), VISITS):
+                taken = pa.array(row[at : at + VISITS])
+                yield pa.RecordBatch.from_arrays([pa.array(to[at : at + VISITS].astype(np.int32)), *(batch.column(i).take(taken) for i in (1, 2, 3, 4))], names=["cell", "point", "comp", "core", "vec"])
 
 
 def _least_out(_: tuple, table: pa.Table) -> pa.Table:
@@ -95,12 +109,26 @@ def _least_out(_: tuple, table: pa.Table) -> pa.Table:
     return pa.table([c[order] for c in columns], schema=shape)
 
 
+def _least_edges(left: DataFrame, right: DataFrame, blocks: dict[int, tuple[int, int]], same: bool) -> DataFrame:
+    """``comp``, ``e``: the least edge out of each component between points of ``left`` and ``right`` in one cell. ``blocks``: in how many blocks each cell's points meet; ``same``: both sides are the same points."""
+    met = left.sparkSession.createDataFrame([(c, i, j) for c, (m, n) in blocks.items() for i in range(m) for j in range(n) if not same or i <= j], "_cell int, i int, j int")
+    sides = []
+    for side, rows, block in ((0, left, "i"), (1, right, "j")):
+        sizes = rows.sparkSession.createDataFrame([(c, b[side]) for c, b in blocks.items()], "_at int, _blocks int")
+        dealt = rows.join(F.broadcast(sizes), F.col("cell") == F.col("_at")).withColumn("_block", F.pmod(F.xxhash64("point"), F.col("_blocks")).cast("int"))  # at most MOST_CELLS
+        sides.append(dealt.join(met, (F.col("cell") == F.col("_cell")) & (F.col("_block") == F.col(block))).select("_cell", "i", "j", F.lit(side == 0).alias("first"), "point", "comp", "core", "vec"))
+    out = sides[0].unionByName(sides[1]).groupBy("_cell", "i", "j").applyInArrow(_least_out, "comp long, w double, lo long, hi long, other long")
+    return out.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e"))
+
+
 def spanning_tree(points: DataFrame) -> DataFrame:
     """``w``, ``lo``, ``hi``: the edges of the least spanning tree of ``point``, ``vec``, ``core`` under mutual reachability, the greater of a distance and both cores. Exact; equal weights go by the ends.
 
     Rounds: each component takes its least edge out, and components that edges join are
-    one from then on. Points lie in cells around some of them; bounds say between which
-    cells such an edge may lie, and only those meet, block by block.
+    one from then on. Points lie in cells around some of them. First the points of a cell
+    of several components meet; the least edge found there bounds that of its component.
+    Then only points whose core distance is within the bound meet those of other cells,
+    and only of cells that reach into it.
     """
     spark = points.sparkSession
     n = points.count()
@@ -112,20 +140,25 @@ def spanning_tree(points: DataFrame) -> DataFrame:
     celled = points.select("point", "vec").mapInArrow(lambda b: _celled(b, centres), "cell int, far double, point long, vec array<double>")
     placed = durable(celled.join(points.select("point", "core"), "point"), "tree-cells")
     state = durable(points.select("point", F.col("point").alias("comp")), "tree-state")
+    blocked = lambda k: -(-k // BLOCK_POINTS)
     while True:
         now = durable(placed.join(state, "point"), "tree-round")
         cells = sorted(now.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("core").alias("core"), F.min("comp").alias("low"), F.max("comp").alias("high")).collect(), key=lambda r: r["cell"])  # at most MOST_CELLS
-        pairs = _needed(cells, centres)
-        if not pairs:
-            return edges
-        blocks = {c["cell"]: -(-c["n"] // BLOCK_POINTS) for c in cells}
-        met = spark.createDataFrame([(a, b, i, j) for a, b in pairs for i in range(blocks[a]) for j in range(blocks[b]) if a != b or i <= j], "a int, b int, i int, j int")
-        dealt = now.withColumn("block", F.pmod(F.xxhash64("point"), F.element_at(F.create_map(*[F.lit(int(x)) for c in blocks.items() for x in c]), F.col("cell"))).cast("int"))
-        sides = [dealt.join(met, (F.col("cell") == F.col(c)) & (F.col("block") == F.col(k))).select("a", "b", "i", "j", F.lit(first).alias("first"), "point", "comp", "core", "vec") for c, k, first in (("a", "i", True), ("b", "j", False))]
-        out = sides[0].unionByName(sides[1]).groupBy("a", "b", "i", "j").applyInArrow(_least_out, "comp long, w double, lo long, hi long, other long")
-        best = durable(out.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e")).select("comp", "e.*"), "tree-best")
-        if best.isEmpty():
+        if len({x for c in cells for x in (c["low"], c["high"])}) == 1:
             return edges
+        own_blocks = {c["cell"]: blocked(c["n"]) for c in cells}
+        mixed = {c["cell"]: (own_blocks[c["cell"]],) * 2 for c in cells if c["low"] != c["high"]}
+        inside = durable(_least_edges(now, now, mixed, True).select("comp", "e.*"), "tree-inside")
+        filling = spark.createDataFrame(list(_filling(cells, centres).items()), "comp long, bound double")
+        bounds = inside.select("comp", F.col("w").alias("bound")).unionByName(filling).groupBy("comp").agg(F.min("bound").alias("bound"))
+        far, own = np.full(len(centres), -np.inf), np.full(len(centres), -1, np.int64)
+        for c in cells:
+            far[c["cell"]], own[c["cell"]] = c["far"], c["low"] if c["low"] == c["high"] else -1
+        asking = now.join(bounds, "comp").filter("core <= bound").select("cell", "point", "comp", "core", "vec", "bound")
+        visits = durable(asking.mapInArrow(partial(_in_reach, centres=centres, far=far, own=own), "cell int, point long, comp long, core double, vec array<double>"), "tree-visits")
+        asked = {r["cell"]: (blocked(r["n"]), own_blocks[r["cell"]]) for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most MOST_CELLS
+        found = inside.select("comp", F.struct("w", "lo", "hi", "other").alias("e")).unionByName(_least_edges(visits, now, asked, False))
+        best = durable(found.groupBy("comp").agg(F.min("e").alias("e")).select("comp", "e.*"), "tree-best")
         edges = durable(edges.unionByName(best.select("w", "lo", "hi")).distinct(), "tree-edges")
         joined = linked_components(best.select(F.col("comp").alias("src"), F.col("other").alias("dst")))
         state = durable(state.join(joined, F.col("comp") == F.col("node")).select("point", F.col("component").alias("comp")), "tree-state")

@@ -162,3 +162,23 @@ def test_the_flat_pipeline_takes_these_clusters(spark):
     found = {r["id"]: (r["predicted_label"], r["confidence"]) for r in cluster.flat_pipeline(df, ["id"], clusters=lambda d: hierarchy.hierarchical_clusters(d)).collect()}
     assert [found[i][0] for i in range(28)] == [1] * 14 + [0] * 14 and found[28] == found[29] == (0, 0.0)
     assert all(0 < found[i][1] <= 1 for i in range(28)) and len({c for _, c in found.values()}) > 5
+
+
+def test_few_points_meet_other_cells(spark, monkeypatch):
+    """Outliers make wide cells; all the same a point meets those of few other cells, and the tree is exact."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(400, 2))
+    core = np.sort(np.sqrt(((vectors[:, None] - vectors[None]) ** 2).sum(axis=2)), axis=1)[:, 3]
+    monkeypatch.setattr(hierarchy, "CELL_POINTS", 100)
+    rows, kept = [], hierarchy.durable
+
+    def counted(df, label):
+        out = kept(df, label)
+        if label == "tree-visits":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(hierarchy, "durable", counted)
+    points = spark.createDataFrame([(i + 1, v.tolist(), float(c)) for i, (v, c) in enumerate(zip(vectors, core, strict=True))], "point long, vec array<double>, core double")
+    assert sorted(tuple(r) for r in hierarchy.spanning_tree(points).collect()) == sorted(plain_tree(vectors, core))
+    assert rows and max(rows) < 3 * len(vectors)
