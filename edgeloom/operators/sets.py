@@ -20,6 +20,15 @@ PROGRAM_KEY = ("program", *KEY)
 MASK_BITS = 63
 
 
+def dealt(edges: DataFrame, key: Sequence[str] = PROGRAM_KEY) -> DataFrame:
+    """``edges`` dealt by ``key`` to as many tasks as ``spark.sql.shuffle.partitions`` names, for all groupings by the key that follow.
+
+    The number is given, since Spark merges parts that it numbers itself until there is
+    about one a core, and then what a task holds grows with the table.
+    """
+    return edges.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+
+
 def same(left: DataFrame, right: DataFrame, key: Sequence[str]) -> Column:
     """Equality on a key in which null equals null."""
     conditions = [left[c].eqNullSafe(right[c]) for c in key]
@@ -76,8 +85,8 @@ def symmetric_difference(left: DataFrame, right: DataFrame, names: tuple[str, st
 
 
 def membership(edges: DataFrame, member: str = "config_id", group: Sequence[str] = ("program",), key: Sequence[str] = KEY) -> DataFrame:
-    """Per key, in how many sets it lies (``n``), of how many that aren't empty in its group (``of``)."""
-    per_key = edges.groupBy(*group, *key).agg(F.count_distinct(member).alias("n"))
+    """Per key, in how many sets it lies (``n``), of how many that aren't empty in its group (``of``). Repeated rows count once."""
+    per_key = dealt(edges.select(*group, *key, member), [*group, *key]).groupBy(*group, *key).agg(F.count_distinct(member).alias("n"))
     total = edges.select(*group, member).distinct().groupBy(*group).agg(F.count("*").alias("of"))
     return per_key.join(total, list(group))
 

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from edgeloom.operators import filters, sets, stats, subsets
 from edgeloom.plans.registry import query
 from edgeloom.plans.views import EDGE_SQL, RAW_SQL, false_edges, raw_edges, table, total_edges, true_edges
+from edgeloom.schema import KEY
 
 K = 'program, method, "offset", target'
 
 
 def three_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All edges, with the configurations put together to a few by their number modulo 3."""
+    """All edges, repeated rows included, with the configurations put together to a few by their number modulo 3."""
     few = F.concat(F.lit("g"), (F.substring("config_id", 2, 9).cast("int") % 3).cast("string"))
-    return total_edges(spark, sf_dir).withColumn("config_id", few).distinct()
+    return raw_edges(spark, sf_dir).select("program", "tool", few.alias("config_id"), *KEY)
 
 
 def app_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
