@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgeloom.operators import evaluate, ranks
+from edgeloom.operators.labels import label_edges
+from edgeloom.operators.sets import dealt
 from edgeloom.plans.labelling import labelled
 from edgeloom.plans.registry import query
-from edgeloom.plans.views import EDGE_SQL, raw_edges, true_edges
+from edgeloom.plans.views import EDGE_SQL, false_edges, raw_edges, true_edges
 from edgeloom.storage import durable
 
 K = 'program, method, "offset", target'
@@ -20,8 +22,9 @@ PREDICTION_SQL = f"""facts AS (SELECT {K}, tool, config_id, min(l_discount)::DOU
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["program", "method", "offset", "target", "tool", "config_id"]
-    facts = raw_edges(spark, sf_dir).groupBy(*keys).agg(F.min("l_discount").cast("double").alias("discount"), F.max("l_tax").cast("double").alias("confidence"), F.min("row_order").alias("row_order"))
-    joined = facts.join(labelled(spark, sf_dir), keys)
+    rows = dealt(raw_edges(spark, sf_dir).select(*keys, "l_discount", "l_tax", "row_order"))
+    facts = rows.groupBy(*keys).agg(F.min("l_discount").cast("double").alias("discount"), F.max("l_tax").cast("double").alias("confidence"), F.min("row_order").alias("row_order"))
+    joined = label_edges(facts.dropna(subset=keys), dealt(true_edges(spark, sf_dir)), dealt(false_edges(spark, sf_dir)))  # facts have a row for each edge of a configuration
     label = F.when(F.col("is_false"), 0).when(F.col("is_true"), 1).otherwise(-1)
     at = F.col("row_order") % 11
     return joined.select(*keys, "discount", "confidence", "row_order", label.alias("true_label"), (F.col("discount") >= 0.05).cast("int").alias("predicted_label"), F.when(at == 0, 1).when(at == 1, 0).alias("ground_truth"), (F.col("row_order") % 5).cast("int").alias("fold"))

@@ -13,3 +13,10 @@ def test_membership_is_dealt_by_key_and_repeats_count_once(spark):
         assert {(r["method"], r["n"], r["of"]) for r in found.collect()} == {(f"m{i}", 3, 3) for i in range(50)}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_predictions_label_each_edge_without_a_second_pass(spark):
+    from edgeloom.plans.evaluation_plans import predictions
+
+    plan = predictions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 3
